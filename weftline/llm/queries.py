@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op2_decontaminate
+from .secrets import op8_secret_scan
 from .substring_dedup import op1_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontaminate": op2_decontaminate,
+    "op8_secret_scan": op8_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
