@@ -17,26 +17,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size of the input; for files, their size. No job runs."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:
-        return 0
+        return 1 << 60
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+LEAST_BUCKETS = 64
+
+
 def bucket_count(df: DataFrame) -> int:
     """Buckets that the rows of a table are dealt to.
 
     A bucket's size grows with the square root of the input, from 1 MB to 256 MB of files: so a bucket fits a
-    worker and the pieces that buckets exchange don't become too small. Twice the shuffle partitions at least.
+    worker and the pieces that buckets exchange don't become too small.
     """
-    size = max(1, estimated_bytes(df))
+    size = estimated_bytes(df)
     if size > 1 << 50:  # no statistics
-        size = 1 << 40
+        size = 1 << 36
     each = min(256 << 20, max(1 << 20, int(math.sqrt(size * 4096))))
-    return max(2 * partitions(df.sparkSession), -(-size // each))
+    return max(LEAST_BUCKETS, -(-size // each))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
