@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op2_decontaminate
 from .secrets import op8_secret_scan
 from .substring_dedup import op1_substring_dedup
+from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_toxicity": op3_toxicity,
     "op8_secret_scan": op8_secret_scan,
 }
 

@@ -1,0 +1,54 @@
+"""Per-word work done once a worker: tokens of texts as numbers, and rows of values for the distinct ones.
+
+Texts repeat their words, so a model that scores words scores each distinct word once a task and documents sum
+or pool rows by number. The store forgets everything when it holds ``most`` words: memory stays bounded, results
+don't change.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import numpy as np
+
+
+class WordStore:
+    """``values(words)`` gives an array with a row for each new word."""
+
+    def __init__(self, values: Callable[[Sequence[str]], np.ndarray], most: int = 300_000):
+        self.values, self.most = values, most
+        self.numbers: dict[str, int] = {}
+        self.rows: np.ndarray | None = None
+        self.n = 0
+
+    def look_up(self, words: Sequence[str]) -> np.ndarray:
+        """The numbers of the words; ``rows`` holds their values until the next call."""
+        numbers = self.numbers
+        new = [w for w in dict.fromkeys(words) if w not in numbers]
+        if new:
+            if self.n + len(new) > self.most and self.n:
+                numbers.clear()
+                self.n = 0
+                new = list(dict.fromkeys(words))
+            got = self.values(new)
+            if self.rows is None or self.n + len(new) > len(self.rows):
+                grown = np.zeros((max(self.n + len(new), 2 * self.n, 1024), *got.shape[1:]), got.dtype)
+                if self.n:
+                    grown[: self.n] = self.rows[: self.n]
+                self.rows = grown
+            self.rows[self.n : self.n + len(new)] = got
+            numbers.update(zip(new, range(self.n, self.n + len(new)), strict=True))
+            self.n += len(new)
+        return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+
+
+def groups(texts: Sequence[str | None], most: int = 1 << 20):
+    """Ranges of texts with about ``most`` characters together."""
+    a = n = 0
+    for i, t in enumerate(texts):
+        n += len(t or "")
+        if n >= most:
+            yield a, i + 1
+            a, n = i + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
