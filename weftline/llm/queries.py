@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op2_decontaminate
+from .language_id import op5_language_id
+from .packing import op6_packing
+from .quality import op10_quality
 from .secrets import op8_secret_scan
 from .substring_dedup import op1_substring_dedup
 from .toxicity import op3_toxicity
@@ -15,7 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
+    "op5_language_id": op5_language_id,
+    "op6_packing": op6_packing,
     "op8_secret_scan": op8_secret_scan,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
