@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op2_decontaminate
 from .language_id import op5_language_id
+from .near_dup import op4_near_dup
 from .packing import op6_packing
 from .quality import op10_quality
 from .secrets import op8_secret_scan
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
+    "op4_near_dup": op4_near_dup,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op8_secret_scan": op8_secret_scan,
