@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .additive_quant import op7_nearest
 from .decontaminate import op2_decontaminate
+from .html_extract import op9_html_extract
 from .language_id import op5_language_id
 from .near_dup import op4_near_dup
 from .packing import op6_packing
@@ -22,7 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dup": op4_near_dup,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
+    "op7_nearest": op7_nearest,
     "op8_secret_scan": op8_secret_scan,
+    "op9_html_extract": op9_html_extract,
     "op10_quality": op10_quality,
 }
 
