@@ -8,7 +8,7 @@ their ids through the shuffle. A group's last ids go to sequences whose lengths
 padding.
 
 Tokens. The tokenizer drops white space and never joins across it, so texts are cut at spaces and line ends, each
-distinct part is encoded once a task, and documents gather their ids.
+distinct part is encoded once a worker, and documents gather their ids.
 
 Recovery: a task's result depends on its rows in order, so packing reads a table (as the pipeline does) and not
 the output of a shuffle; the first pass is checkpointed before the leftovers are read.
@@ -19,9 +19,10 @@ Edge cases: a null or empty text has only the end id; null ids are kept; an empt
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
-from .wordcache import groups
+from .hashnumbers import HashNumbers
+from .wordhash import chunks, split_words, word_table
 
 WINDOW, OPEN_WINDOWS, END_ID, MERGE = 2048, 16, 1, 64
 TOKENIZER = "word_bpe_49k.json"
+#: Texts are cut at spaces and line ends; other white space stays in a part, for the tokenizer.
+PARTS = word_table(" \n")
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[33:128] = True
+_MARK[_LETTER] = False
+_MARK[39] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _fewer_parts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ASCII letters in lower case, and cuts between an ASCII letter and an ASCII mark or digit.
+
+    The tokenizer does both itself: only an apostrophe may join a mark to letters, and a letter before a non-ASCII
+    byte may be composed with it, so these are left alone.
+    """
+    after = np.append(data[1:], np.uint8(0))
+    low = np.where(after < 128, _LOWER[data], data)
+    letter, mark = _LETTER[data], _MARK[data]
+    cut = np.zeros(len(data), dtype=bool)
+    cut[1:] = letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
+    return low, cut
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
@@ -49,57 +75,70 @@ def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True  # a document can't put in an end marker: such strings are ordinary text
+    return out
 
 
 class Encoder:
-    """Ids of texts, from the ids of their distinct parts."""
+    """Ids of texts, from the ids of their distinct parts, which are known by 64-bit hashes.
 
-    def __init__(self, path: str, most: int = 250_000):
+    It lives as long as the worker, so later tasks find the parts of earlier ones; at ``most`` parts it forgets all.
+    """
+
+    def __init__(self, path: str, most: int = 1 << 20):
         self.tokenizer, self.most = _tokenizer(path), most
         self._forget()
 
     def _forget(self):
-        self.numbers: dict[str, int] = {}
+        self.numbers = HashNumbers(self.most)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
         self.n = self.used = 0
 
     def _learn(self, parts: list[str]):
-        for a in range(0, len(parts), 4096):
-            some = parts[a : a + 4096]
-            got = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while self.n + len(some) > len(self.at):
-                self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.at[self.n : self.n + len(some)] = self.used + np.cumsum(size) - size
-            self.size[self.n : self.n + len(some)] = size
-            self.numbers.update(zip(some, range(self.n, self.n + len(some)), strict=True))
-            self.n += len(some)
-            self.used += len(flat)
-
-    def encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(parts) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.at[self.n : self.n + len(parts)] = self.used + np.cumsum(size) - size
+        self.size[self.n : self.n + len(parts)] = size
+        self.n += len(parts)
+        self.used += len(flat)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
-        bags = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        flat = [w for bag in bags for w in bag]
-        new = [w for w in dict.fromkeys(flat) if w not in self.numbers]
-        if self.n + len(new) > self.most and self.n:
-            self._forget()
-            new = list(dict.fromkeys(flat))
-        self._learn(new)
-        at = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
+        words = split_words(texts, PARTS, _fewer_parts)
+        h = words.hashes()
+        at = self.numbers.find(h)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            new = new[np.unique(h[new], return_index=True)[1]]
+            if self.n + len(new) > self.most and self.n:
+                self._forget()
+                new = np.unique(h, return_index=True)[1]
+            if len(new) > self.numbers.most:  # a single text with more parts than the store is made for
+                self.numbers = HashNumbers(2 * len(new))
+            for a in range(0, len(new), 4096):
+                some = new[a : a + 4096]
+                self._learn([words.data[x:y].tobytes().decode() for x, y in zip(words.start[some].tolist(), words.end[some].tolist(), strict=True)])
+            self.numbers.add(h[new])
+            at = self.numbers.find(h)
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(self.at[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        words = np.cumsum([0, *map(len, bags)])
-        cut = np.concatenate([[0], ends])[words]
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            yield np.append(ids[a:b], np.uint32(END_ID))
+        cut = np.concatenate([[0], ends])[words.first].tolist()
+        return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in itertools.pairwise(cut)]
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 class Piece:
@@ -198,11 +237,11 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     path = path or tokenizer_path()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(path), Packer(TaskContext.get().partitionId() << 32, window, open_windows)
+        encoder, packer = _encoder(path), Packer(TaskContext.get().partitionId() << 32, window, open_windows)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in groups(texts):
-                for doc_id, tokens in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in chunks(texts):
+                for doc_id, tokens in zip(ids[a:b], encoder.encode(texts.slice(a, b - a)), strict=True):
                     packer.add(Piece(doc_id, len(tokens), 0, tokens))
                 if len(packer.out) > 4096:
                     yield packer.rows()

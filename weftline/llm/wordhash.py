@@ -6,7 +6,7 @@ few numpy passes. Separators are ASCII in every word definition used here, so by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,13 +114,17 @@ class Words:
         return h
 
 
-def split_words(column: pa.Array, table: tuple[np.ndarray, np.ndarray]) -> Words:
+def split_words(column: pa.Array, table: tuple[np.ndarray, np.ndarray], parted: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> Words:
+    """``parted`` may map the bytes again and say before which of them a word ends, though no separator stands there."""
     is_word, mapped = table
     raw, offs = text_bytes(column)
     data = mapped[raw]
     inside = is_word[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[offs] = True
+    if parted is not None:
+        data, at = parted(data)
+        edge[:-1] |= at
     before = np.zeros(len(raw), dtype=bool)
     before[1:] = inside[:-1]
     start = np.flatnonzero(inside & (~before | edge[:-1]))
