@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -38,7 +39,7 @@ def token_set(a: str, b: str) -> float:
     if both and (not left or not right):
         return 1.0
     one, other = f"{both} {left}".strip(), f"{both} {right}".strip()
-    return max(indel(one, other), *((indel(both, one), indel(both, other)) if both else ()))
+    return max([indel(one, other), *([indel(both, one), indel(both, other)] if both else [])])
 
 
 def partial(a: str, b: str) -> float:
@@ -78,7 +79,7 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def _arrow(f):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict[tuple[str, str], float] = {}
         out = []

@@ -110,7 +110,7 @@ def is_abbreviation(short: Column, long: Column) -> Column:
     pattern = F.concat(F.lit("^"), F.array_join(F.filter(F.split(short, ""), lambda x: x != ""), ".*"))
     digits = short.rlike(r"(?U)^\d+$") | long.rlike(r"(?U)^\d+$")
     plain = short.rlike(r"(?U)^\w+$")
-    return plain & (F.length(short) < F.length(long)) & ~digits & long.rlike(pattern)
+    return plain & (F.length(short) < F.length(long)) & ~digits & F.regexp_like(long, pattern)
 
 
 def side_state(a: Column, b: Column) -> Column:

@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ASCII = r"^[\x00-\x7F]*$"
 _INITIALS = r"(?<!\w)(?:[^\W\d_]\.){2,}"
@@ -39,12 +40,12 @@ def fold_marks_text(text: str | None) -> str:
     return " ".join(words.split(" ")).strip() if "  " not in words else re.sub(" +", " ", words).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_arrow(s: pd.Series) -> pd.Series:
     return s.map(fold_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_marks_arrow(s: pd.Series) -> pd.Series:
     return s.map(fold_marks_text)
 

@@ -37,7 +37,8 @@ def family_keys(r: DataFrame, family: str) -> DataFrame:
         keys = F.flatten(F.transform(some, lambda n: F.transform(near, lambda w: F.concat_ws("\x1f", n, w))))
     else:
         raise ValueError(family)
-    return r.select("id", "src", F.concat_ws("\x1f", F.lit(family), "country", F.explode(keys)).alias("key")).distinct()
+    each = r.select("id", "src", "country", F.explode(keys).alias("k"))
+    return each.select("id", "src", F.concat_ws("\x1f", F.lit(family), "country", "k").alias("key")).distinct()
 
 
 def weighted_keys(keys: DataFrame, n_others: DataFrame, family: str) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from weftline.functions import kernels
 from weftline.functions.address import address_slots
@@ -97,10 +98,10 @@ def soft_tfidf(a: dict[str, float], b: dict[str, float]) -> tuple[float, float,
         return 0.0, max(a.values(), default=0.0), max(b.values(), default=0.0)
     dot, met_a, met_b = 0.0, set(), set()
     for w in sorted(a):
-        best = max(((word_similarity(w, v), -i) for i, v in enumerate(ordered := sorted(b))), default=(0.0, 0))
-        if best[0] >= SOFT:
-            v = ordered[-best[1]]
-            dot += a[w] * b[v] * best[0]
+        v = max(sorted(b), key=lambda v: word_similarity(w, v))
+        best = word_similarity(w, v)
+        if best >= SOFT:
+            dot += a[w] * b[v] * best
             met_a.add(w)
             met_b.add(v)
     for v in b:
@@ -110,7 +111,7 @@ def soft_tfidf(a: dict[str, float], b: dict[str, float]) -> tuple[float, float,
     return min(1.0, dot / norm), max((x for w, x in a.items() if w not in met_a), default=0.0), max((x for w, x in b.items() if w not in met_b), default=0.0)
 
 
-@F.pandas_udf("score double, miss_a double, miss_b double")
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("score", "miss_a", "miss_b")]))
 def soft_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Of two columns of word -> idf maps."""
     as_dict = lambda x: dict(x) if x is not None else {}

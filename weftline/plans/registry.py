@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import block_queries, decide_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**text_queries.QUERIES, **block_queries.QUERIES, **decide_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **block_queries.ORACLES, **decide_queries.ORACLES}
