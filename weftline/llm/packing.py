@@ -86,7 +86,7 @@ class Encoder:
     It lives as long as the worker, so later tasks find the parts of earlier ones; at ``most`` parts it forgets all.
     """
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1 << 19):
         self.tokenizer, self.most = _tokenizer(path), most
         self._forget()
 

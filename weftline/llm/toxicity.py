@@ -23,6 +23,7 @@ Edge cases: null, empty and letterless texts score as a document whose worst uni
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -34,14 +35,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc32_of_id, fresh, table
+from .hashnumbers import WordRows, kept_rows
 from .labels import labelled_sample
-from .wordcache import WordStore, groups
+from .wordhash import WHITESPACE_WORDS, Words, chunks, split_words
 
 SPAN, DECAY, LONGEST = 7, 0.7, 22
 LANDMARKS = 192
 PER_CLASS, MAX_CHARS = 2500, 20_000
 HELD_MODULUS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
+STORED_WORDS = 1 << 19
+#: Words between white space, ASCII capitals as small letters, which a unit has anyway.
+LOWER_WORDS = (WHITESPACE_WORDS[0], np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8))
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _LETTER = np.zeros(1 << 16, dtype=np.int32)
@@ -102,20 +107,20 @@ def triples(clean: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _norms(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The root of the kernel of each row with itself."""
+    """The root of the kernel of each row with itself: squares of the weights, and products of equal triples."""
     k = np.sort(keys, axis=1)
-    w = np.where(k >= 0, weights[k & 7], 0.0)
-    total = np.cumsum(w, axis=1)
-    last = np.ones(k.shape, dtype=bool)
-    last[:, :-1] = (k[:, 1:] >> 3) != (k[:, :-1] >> 3)
-    last &= k >= 0
-    row, _ = np.nonzero(last)
-    ends = total[last]
-    before = np.concatenate([[0.0], ends[:-1]])
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = row[1:] != row[:-1]
-    before[new] = 0.0
-    return np.sqrt(np.bincount(row, (ends - before) ** 2, minlength=len(k)))
+    w = weights.astype(np.float32)[k & 7]
+    w[k < 0] = 0
+    key = k >> 3
+    out = np.einsum("ij,ij->i", w, w).astype(np.float64)
+    rows, lag = np.arange(len(k)), 1
+    while lag < key.shape[1] and len(rows):
+        same = (key[:, lag:] == key[:, :-lag]) & (key[:, lag:] >= 0)
+        some = same.any(axis=1)
+        rows, key, w, same = rows[some], key[some], w[some], same[some]
+        out[rows] += 2 * np.einsum("ij,ij,ij->i", w[:, lag:], w[:, :-lag], same.astype(np.float32))
+        lag += 1
+    return np.sqrt(out)
 
 
 @dataclass
@@ -142,7 +147,9 @@ class Model:
 
     def _values(self, clean: Sequence[str]) -> np.ndarray:
         keys, weights = triples(clean)
-        sums = np.where(keys >= 0, self.weight[keys >> 3] * weights[keys & 7], 0.0).sum(axis=1)
+        w = weights.astype(np.float32)[keys & 7]
+        w[keys < 0] = 0
+        sums = np.einsum("ij,ij->i", self.weight.astype(np.float32)[keys >> 3], w)
         return sums / np.maximum(_norms(keys, weights), 1e-12) + self.bias
 
     def empty(self) -> float:
@@ -326,28 +333,41 @@ def train(rows: Sequence[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
                         more[top] = seen[top]
             worst = np.argsort(-model.margins(every), kind="stable")[:4000]
             negatives = list(dict.fromkeys([*negatives, *(every[i] for i in worst)]))
-    top = worst_units(WordStore(model.margins), model, [t for t, _ in rows])
+    top = worst_units(WordRows(model.margins), model, pa.array([t for t, _ in rows], pa.string()))
     model.a, model.b = _logistic(np.clip(top, -1.5, 1.5), np.array([y for _, y in rows], float))
     return model
 
 
-def worst_units(store: WordStore, model: Model, texts: Sequence[str | None]) -> np.ndarray:
+def worst_units(store: WordRows, model: Model, texts: pa.Array) -> np.ndarray:
     """The machine's value of each text's worst unit."""
-    out = np.empty(len(texts))
-    floor = model.empty()
-    for a, b in groups(texts):
-        bags = [list(dict.fromkeys(units(t))) if t else [] for t in texts[a:b]]
-        flat = [w for bag in bags for w in bag]
-        size = np.fromiter(map(len, bags), np.int64, len(bags))
-        top = np.full(b - a, floor)
-        if flat:
-            at = store.look_up(flat)
-            np.maximum.at(top, np.repeat(np.arange(b - a), size), store.rows[at])
-        out[a:b] = top
+    out = np.full(len(texts), model.empty())
+    for a, b in chunks(texts):
+        words = split_words(texts.slice(a, b - a), LOWER_WORDS)
+        at = store.look_up(words)
+        full = np.flatnonzero(words.counts)
+        if len(full):
+            out[a + full] = np.maximum(out[a + full], np.maximum.reduceat(store.rows[at], words.first[full]))
+        for d, unit in spelled_units(words):
+            out[a + d] = max(out[a + d], float(model.margins([unit]).max()))
     return out
 
 
-def score_texts(store: WordStore, model: Model, texts: Sequence[str | None]) -> np.ndarray:
+def spelled_units(words: Words) -> Iterator[tuple[int, str]]:
+    """(text, letters) of runs of three or more single letters; of a run of one letter again and again only a part."""
+    single = words.end - words.start == 1
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
+    for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        if y - x < 3:
+            continue
+        for d in range(int(words.doc[x]), int(words.doc[y - 1]) + 1):
+            i, j = max(x, int(words.first[d])), min(y, int(words.first[d + 1]))
+            if j - i >= 3:
+                run = words.data[words.start[i:j]]
+                run = run[np.append(True, run[1:] != run[:-1])] if len(run) > LONGEST and (run == run[0]).mean() > 0.9 else run
+                yield d, run.tobytes().decode()
+
+
+def score_texts(store: WordRows, model: Model, texts: pa.Array) -> np.ndarray:
     """The probability that each text is toxic."""
     return model.probability(worst_units(store, model, texts))
 
@@ -359,13 +379,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, max_c
 def with_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text") -> tuple[DataFrame, str]:
     """The rows with a column of scores, and its name."""
     (name,) = fresh(docs, "toxicity")
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    sent, at, key = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        store = WordStore(own.margins)
+        store = kept_rows(f"toxicity {key}", lambda: WordRows(own.margins, STORED_WORDS))
         for batch in batches:
-            scores = score_texts(store, own, batch.column(at).to_pylist())
+            scores = score_texts(store, own, batch.column(at))
             yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())])), name

@@ -19,7 +19,7 @@ _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 #: Words longer than this are hashed one at a time.
 _LONG = 512
 #: Bytes of text handled at once; a longer text forms a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def word_table(separators: str | None = None, *, alnum: bool = False) -> tuple[np.ndarray, np.ndarray]:
