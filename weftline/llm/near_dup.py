@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, fresh, table
 from .components import components
 from .wordhash import ALNUM_WORDS, chunks, kgram, mix, split_words
 
@@ -174,7 +174,7 @@ def _star(members: DataFrame) -> DataFrame:
 
 
 def near_dup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, cid (the text's digest) and class_id, the least doc_id of its class."""
+    """Per row: doc_id, cid (the text's digest), root (the least digest of its class) and class_id, its least doc_id."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = checkpointed(texts.mapInArrow(_sketches, "doc_id long, cid binary, keys array<long>"))
     one = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
@@ -210,7 +210,7 @@ def near_dup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = rows.select("doc_id", "cid").join(root, F.col("cid") == F.col("node"), "left")
     named = named.select("doc_id", "cid", F.coalesce("root", "cid").alias("root"))
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select("doc_id", "cid", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"))
+    return named.join(least, "root", "left").select("doc_id", "cid", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"))
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,11 +218,13 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that of the least doc_id. Rows without text or without id stay."""
+    """One document of each class: that of the least doc_id, and of the least digest if ids repeat. Rows without text
+    or without id stay."""
     found = near_dup_classes(docs)
-    kept = found.where("cid IS NOT NULL AND doc_id = class_id").groupBy("doc_id").agg(F.min("cid").alias("cid"))
+    one, digest = fresh(docs, "one_id", "one_digest")
+    least = found.where("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "cid")).alias("m"))
+    kept = least.select(F.col("m.doc_id").alias(one), F.col("m.cid").alias(digest))
     left = docs.where("text IS NULL OR doc_id IS NULL")
-    text_id = F.unhex(F.md5(F.col("text").cast("string")))
     rest = docs.where("text IS NOT NULL AND doc_id IS NOT NULL")
-    keyed = rest.join(kept.withColumnRenamed("cid", "__cid").withColumnRenamed("doc_id", "__id"), (F.col("doc_id") == F.col("__id")) & (text_id == F.col("__cid")))
-    return keyed.dropDuplicates(["__id"]).select(*docs.columns).unionByName(left)
+    same = (F.col("doc_id") == F.col(one)) & (F.unhex(F.md5(F.col("text").cast("string"))) == F.col(digest))
+    return rest.join(kept, same).dropDuplicates([one, digest]).select(*docs.columns).unionByName(left)
