@@ -8,7 +8,8 @@ similarity of 0.8 a band is shared with probability 0.8 ** 4 = 0.41, one of 20 b
 Candidates. Equal texts are one class from the start and go on as one row. In the bucket of a key, members aren't
 paired with each other: each is paired with the bucket's centre, the member that meets most others over all its
 buckets (an original among its edited copies). Buckets in which a pair fails are dealt again, by their key and
-each other band's key, and each finer bucket has a centre of its own; pairs already tried aren't tried again. So
+each other band's key; whoever failed is paired with the centre of each finer bucket and with ``DRAWN`` members that
+a hash draws: a text that is like it shares many finer buckets with it. Pairs already tried aren't tried again. So
 the pairs grow with the members, not with their square.
 
 Verification. A pair is a link if the multisets of shingles have a Jaccard similarity of ``SIMILARITY`` or more,
@@ -38,6 +39,8 @@ from .components import components
 from .wordhash import ALNUM_WORDS, chunks, kgram, mix, split_words
 
 K, MINIMA, BANDS, SIMILARITY = 5, 4, 20, 0.8
+#: Members of a finer bucket that whoever failed to meet a centre is tried against, beside its centre.
+DRAWN = 3
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix(_SEEDS) | np.uint64(1)
 
@@ -197,12 +200,16 @@ def near_dup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tried = checkpointed(_star(ranked))
     first = verified(tried.select("cid", "rep").distinct())
 
-    # Buckets with a pair that failed, dealt again by each other band.
-    failed = tried.join(first.where("NOT ok"), ["cid", "rep"]).select("key").distinct()
-    again = ranked.join(failed, "key")
+    # Buckets with a pair that failed, dealt again by each other band: whoever failed there meets the finer buckets'
+    # centres and some members drawn by a hash.
+    bad = tried.join(first.where("NOT ok"), ["cid", "rep"]).select("key", "cid")
+    again = ranked.join(bad.select("key").distinct(), "key")
     others = ranked.select("cid", F.col("key").alias("other"))
-    finer = again.join(others, "cid").where("key <> other").select(F.xxhash64("key", "other").alias("key"), "cid", "central")
-    pairs = _star(finer).select("cid", "rep").distinct()
+    finer = again.join(others, "cid").where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "cid", "central").distinct()
+    drawn = [F.min(F.struct(F.xxhash64("key", "cid", F.lit(n)), "cid"))["cid"] for n in range(DRAWN)]
+    reps = finer.groupBy("key").agg(F.array_distinct(F.array(F.max(F.struct("central", "cid"))["cid"], *drawn)).alias("reps"))
+    alone = finer.join(bad.select("cid").distinct(), "cid", "left_semi").join(reps, "key")
+    pairs = alone.select("cid", F.explode("reps").alias("rep")).where("cid <> rep").distinct()
     pairs = pairs.join(first, ["cid", "rep"], "left_anti")
     second = verified(pairs)
     root = components(first.unionByName(second).where("ok").select(F.col("cid").alias("a"), F.col("rep").alias("b")))
