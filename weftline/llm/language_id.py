@@ -3,7 +3,7 @@
 A word's grams are the runs of one to four characters of its lower-cased letters between end marks, hashed to
 ``BUCKETS``. Training counts grams by language and keeps smoothed log-probabilities, a (buckets x languages)
 matrix that is broadcast; its size is fixed by ``BUCKETS`` and ``most_languages``. Scoring is a sparse product:
-each distinct word's row of sums is found once a task, and a document adds its words' rows.
+each distinct word's row of sums is found once a worker, and a document adds its words' rows.
 
 Bounds: ``per_language`` training documents of each language, those with the least hash of their id, of
 ``max_chars`` characters at most. The commonest ``most_languages`` are learned. Texts are scored whole.
@@ -14,6 +14,7 @@ The score is the posterior of the predicted language; ties go to the first langu
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import crc32_of_id, fresh, table
+from .hashnumbers import WordRows, kept_rows
 from .toxicity import letters
-from .wordcache import WordStore, groups
+from .wordhash import WHITESPACE_WORDS, chunks, split_words
 
 BUCKETS, LONGEST_GRAM = 1 << 17, 4
 PER_LANGUAGE, MAX_CHARS, MOST_LANGUAGES = 1500, 20_000, 256
@@ -83,19 +85,17 @@ def train(rows: Sequence[tuple[str, str]], counts: dict[str, int] | None = None)
     return Model(languages, np.log(total / total.sum()) if len(languages) else total, np.log(seen / seen.sum(axis=0)))
 
 
-def predict(store: WordStore, model: Model, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
+def predict(store: WordRows, model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     lang, score = ["und"] * len(texts), np.ones(len(texts))
     if not model.languages:
         return lang, score
-    for a, b in groups(texts):
-        bags = [t.split() if t else [] for t in texts[a:b]]
-        flat = [w for bag in bags for w in bag]
-        if not flat:
+    for a, b in chunks(texts):
+        words = split_words(texts.slice(a, b - a), WHITESPACE_WORDS)
+        full = np.flatnonzero(words.counts)
+        if not len(full):
             continue
-        size = np.fromiter(map(len, bags), np.int64, len(bags))
-        at = store.look_up(flat)
-        full = np.flatnonzero(size)
-        sums = np.add.reduceat(store.rows[at], np.concatenate([[0], np.cumsum(size[full])[:-1]]), axis=0)
+        at = store.look_up(words)
+        sums = np.add.reduceat(store.rows[at], words.first[full], axis=0)
         value = sums[:, 1:] + model.prior
         best = value.argmax(axis=1)
         p = 1 / np.exp(value - value.max(axis=1, keepdims=True)).sum(axis=1)
@@ -126,13 +126,13 @@ def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, max_chars: int = M
 def with_language(docs: DataFrame, model: Model, *, text_col: str = "text") -> tuple[DataFrame, str, str]:
     """The rows with the predicted language and its score, and those columns' names."""
     names = fresh(docs, "lang_pred", "lang_score")
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    sent, at, key = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        store = WordStore(own.rows)
+        store = kept_rows(f"language {key}", lambda: WordRows(own.rows))
         for batch in batches:
-            lang, p = predict(store, own, batch.column(at).to_pylist())
+            lang, p = predict(store, own, batch.column(at))
             yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(p, pa.float64())], [*batch.schema.names, *names])
 
     fields = [*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]
