@@ -11,6 +11,7 @@ from .decontaminate import op2_decontaminate
 from .html_extract import op9_html_extract
 from .language_id import op5_language_id
 from .near_dup import op4_near_dup
+from .oracles import ORACLES
 from .packing import op6_packing
 from .quality import op10_quality
 from .secrets import op8_secret_scan
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
