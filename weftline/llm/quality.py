@@ -18,6 +18,7 @@ with only one label in the sample the score is that label's share.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc32_of_id, fresh, table
+from .hashnumbers import WordRows, kept_rows
 from .labels import labelled_sample
-from .wordcache import WordStore, groups
+from .wordhash import WHITESPACE_WORDS, chunks, split_words
 
 DIMENSIONS, NONZERO, REACH, VOCABULARY = 64, 6, 2, 40_000
 PER_CLASS, MAX_CHARS = 2500, 20_000
@@ -92,19 +94,16 @@ def _forward(layers, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, h @ w2 + b2
 
 
-def pool(store: WordStore, texts: Sequence[str | None]) -> np.ndarray:
+def pool(store: WordRows, texts: pa.Array) -> np.ndarray:
     out = np.zeros((len(texts), DIMENSIONS + 3))
     out[:, DIMENSIONS] = -6.0
-    for a, b in groups(texts, 1 << 19):
-        bags = [t.split() if t else [] for t in texts[a:b]]
-        flat = [w for bag in bags for w in bag]
-        if not flat:
+    for a, b in chunks(texts, 1 << 18):
+        words = split_words(texts.slice(a, b - a), WHITESPACE_WORDS)
+        full = np.flatnonzero(words.counts)
+        if not len(full):
             continue
-        size = np.fromiter(map(len, bags), np.int64, len(bags))
-        at = store.look_up(flat)
-        full = np.flatnonzero(size)
-        first = np.concatenate([[0], np.cumsum(size[full])[:-1]])
-        n = size[full]
+        at = store.look_up(words)
+        first, n = words.first[full], words.counts[full]
         mean = np.add.reduceat(store.rows[at], first, axis=0) / n[:, None]
         same = np.zeros(len(at))
         same[1:] = at[1:] == at[:-1]
@@ -173,7 +172,7 @@ def train(rows: Sequence[tuple[str, int]], share: float | None = None) -> Model:
         return Model({}, np.zeros((0, DIMENSIONS), np.float32), {}, flat, np.zeros(width), np.ones(width), 1.0, float(np.log(share / (1 - share))))
     numbers, context, shapes = _contexts(texts)
     model = Model(numbers, context, shapes, (np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0), np.zeros(width), np.ones(width))
-    x = pool(WordStore(model.rows), texts)
+    x = pool(WordRows(model.rows, 1 << 16), pa.array(texts, pa.string()))
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = (x - model.mean) / model.scale
     apart = np.fromiter((zlib.crc32(t.encode()) % 5 == 0 for t in texts), bool, len(texts))
@@ -197,13 +196,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, max_c
 def with_quality(docs: DataFrame, model: Model, *, text_col: str = "text") -> tuple[DataFrame, str]:
     """The rows with a column of scores, and its name."""
     (name,) = fresh(docs, "quality_score")
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    sent, at, key = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        store = WordStore(own.rows, 100_000)
+        store = kept_rows(f"quality {key}", lambda: WordRows(own.rows, 1 << 16))
         for batch in batches:
-            p = own.probability(pool(store, batch.column(at).to_pylist()))
+            p = own.probability(pool(store, batch.column(at)))
             yield pa.record_batch([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())])), name
