@@ -11,7 +11,7 @@ table look-ups, and gives exactly the machine's value.
 Training. Labels are of documents, so sentences are learned as bags of units: units of clean documents are
 negative; positive are the units that a likelihood-ratio test finds in toxic documents, and of the toxic documents
 without one the unit that scores best. These choices and the machine improve each other for a few rounds, in which
-the worst clean units join the negatives. Positive units are also trained with a character inserted. A document
+the worst clean units join the negatives and the landmarks. Positive units are also trained with a character inserted. A document
 scores as its worst unit, through a logistic fit on the documents; copies count once in the test.
 
 Bounds: ``per_class`` labelled documents of each label, of ``max_chars`` characters at most.
@@ -241,13 +241,18 @@ def _distinct(bags: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
     return out
 
 
-def _telling(bags: list[tuple[list[str], int]], longest: int = 7) -> set[str]:
-    """Words (``^word$``) and word beginnings (``^wor``) that toxic documents have far oftener than clean ones.
+def _beginnings(w: str, longest: int = 8) -> set[str]:
+    """The beginnings of a word, without the word itself."""
+    return {"^" + w[:n] for n in range(3, min(len(w) - 1, longest) + 1)}
+
+
+def _telling(bags: list[tuple[list[str], int]]) -> set[str]:
+    """Words (``^word$``) and beginnings of longer words (``^wor``) that toxic documents have far oftener than clean ones.
 
     The test is a likelihood ratio with as many hypotheses as there are candidates.
     """
     def marks(b: list[str]) -> set[str]:
-        return {f"^{w}$" for w in b} | {"^" + w[:n] for w in b for n in range(3, min(len(w), longest) + 1)}
+        return {f"^{w}$" for w in b}.union(*map(_beginnings, b))
 
     seen: dict[str, int] = {}
     for b, y in bags:
@@ -268,10 +273,8 @@ def _telling(bags: list[tuple[list[str], int]], longest: int = 7) -> set[str]:
     for b, y in bags:
         if y:
             for w in b:
-                for n in range(3, min(len(w), longest) + 1):
-                    if "^" + w[:n] in words:
-                        own = words["^" + w[:n]]
-                        own[w] = own.get(w, 0) + 1
+                for m in _beginnings(w) & words.keys():
+                    words[m][w] = words[m].get(w, 0) + 1
     out = set()
     for m, n in seen.items():
         if m in words and (len(words[m]) < 4 or max(words[m].values()) > 0.5 * sum(words[m].values())):
@@ -298,7 +301,7 @@ def train(rows: Sequence[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
         if f"^{w}$" in strong:
             return True
         n, c = seen.get(w, 0), clean.get(w, 0)
-        return (c < 2 or n > 3 * c) and any("^" + w[:k] in strong for k in range(3, min(len(w), 7) + 1))
+        return (c < 2 or n > 3 * c) and not strong.isdisjoint(_beginnings(w))
 
     clean = {w: n for w, n in clean.items() if not is_strong(w)}
     if not toxic or not clean:
@@ -309,10 +312,12 @@ def train(rows: Sequence[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
         told = {w: n for w, n in rest.items() if n == max(rest.values())}
     negatives = sorted(clean, key=lambda w: (hash_of(w), w))[:20_000]
     common = sorted(clean, key=lambda w: (-clean[w], w))[: landmarks // 6]
-    marks = _Landmarks(list(dict.fromkeys([*sorted(told, key=lambda w: (-told[w], w))[: landmarks * 2 // 3], *common, *negatives]))[:landmarks])
+    telling = sorted(told, key=lambda w: (-told[w], w))[: landmarks // 2]
+    hard: list[str] = []
     every = sorted(clean)
     model, more = Model(np.zeros(1 << 18), 0.0), {}
     for r in range(rounds):
+        marks = _Landmarks(list(dict.fromkeys([*telling, *common, *hard, *negatives]))[:landmarks])
         positive = told | more
         own = sorted(positive)
         near = [_inserted(w, hash_of(w) % 9973 + i) for w in own if len(w) >= 4 for i in range(2)]
@@ -332,6 +337,7 @@ def train(rows: Sequence[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
                     if value[top] >= 0.5 and top not in clean:
                         more[top] = seen[top]
             worst = np.argsort(-model.margins(every), kind="stable")[:4000]
+            hard = list(dict.fromkeys([*(every[i] for i in worst[: landmarks // 6]), *hard]))[: landmarks // 3]
             negatives = list(dict.fromkeys([*negatives, *(every[i] for i in worst)]))
     top = worst_units(WordRows(model.margins), model, pa.array([t for t, _ in rows], pa.string()))
     model.a, model.b = _logistic(np.clip(top, -1.5, 1.5), np.array([y for _, y in rows], float))
