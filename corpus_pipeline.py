@@ -35,13 +35,21 @@ def _shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "weftline-pipeline")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents of ``sf_dir``."""
+    """The last stage's rows over the documents of ``sf_dir``. A stage's rows are deleted when the next are written."""
     folder = f"{_shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ""
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         path = f"{folder}/{i}-{name}"
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if i:
+            _delete(spark, before)
+        before = path
     return docs
