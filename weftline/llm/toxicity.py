@@ -56,7 +56,8 @@ _HEAD, _TAIL = 62, 63
 
 
 def letters(word: str) -> str:
-    return _NOT_LETTERS.sub("", word.lower())
+    out = _NOT_LETTERS.sub("", word.lower())
+    return out if out.isalpha() else "".join(filter(str.isalpha, out))  # the pattern leaves superscripts and the like
 
 
 def units(text: str) -> list[str]:
