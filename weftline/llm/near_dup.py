@@ -196,23 +196,32 @@ def near_dup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         a, b = words.select("cid", F.col("words").alias("wa")), words.select(F.col("cid").alias("rep"), F.col("words").alias("wb"))
         return checkpointed(pairs.join(a, "cid").join(b, "rep").select("cid", "rep", "wa", "wb").mapInArrow(_verified, "cid binary, rep binary, ok boolean"))
 
+    def links(pairs: DataFrame) -> DataFrame:
+        return components(pairs.where("ok").select(F.col("cid").alias("a"), F.col("rep").alias("b")))
+
     ranked = checkpointed(members.join(central.select("cid", "central"), "cid").select("key", "cid", "central"))
     tried = checkpointed(_star(ranked))
     first = verified(tried.select("cid", "rep").distinct())
 
-    # Buckets with a pair that failed, dealt again by each other band: whoever failed there meets the finer buckets'
-    # centres and some members drawn by a hash.
-    bad = tried.join(first.where("NOT ok"), ["cid", "rep"]).select("key", "cid")
-    again = ranked.join(bad.select("key").distinct(), "key")
-    others = ranked.select("cid", F.col("key").alias("other"))
-    finer = again.join(others, "cid").where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "cid", "central").distinct()
-    drawn = [F.min(F.struct(F.xxhash64("key", "cid", F.lit(n)), "cid"))["cid"] for n in range(DRAWN)]
-    reps = finer.groupBy("key").agg(F.array_distinct(F.array(F.max(F.struct("central", "cid"))["cid"], *drawn)).alias("reps"))
-    alone = finer.join(bad.select("cid").distinct(), "cid", "left_semi").join(reps, "key")
-    pairs = alone.select("cid", F.explode("reps").alias("rep")).where("cid <> rep").distinct()
+    # Buckets with a pair that failed and that no chain of links joins, dealt again by each other band: whoever failed
+    # there meets the finer buckets' centres and some members drawn by a hash, those of other components.
+    joined = links(first)
+    part = ranked.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "central", F.coalesce("root", "cid").alias("root"))
+    part = checkpointed(part)
+    at = part.select("key", "cid", "root")
+    failed = tried.join(first.where("NOT ok"), ["cid", "rep"]).join(at, ["key", "cid"]).join(at.select("key", F.col("cid").alias("rep"), F.col("root").alias("other_root")), ["key", "rep"])
+    bad = failed.where("root <> other_root").select("key", "cid")
+    again = part.join(bad.select("key").distinct(), "key")
+    others = part.select("cid", F.col("key").alias("other"))
+    finer = again.join(others, "cid").where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "cid", "central", "root").distinct()
+    member = F.struct("cid", "root")
+    drawn = [F.min(F.struct(F.xxhash64("key", "cid", F.lit(n)).alias("h"), member.alias("m")))["m"] for n in range(DRAWN)]
+    reps = finer.groupBy("key").agg(F.array_distinct(F.array(F.max(F.struct("central", member.alias("m")))["m"], *drawn)).alias("reps"), F.min("root").alias("one"), F.max("root").alias("two"))
+    alone = finer.join(bad.select("cid").distinct(), "cid", "left_semi").join(reps.where("one <> two"), "key")
+    pairs = alone.select("cid", F.explode(F.filter("reps", lambda r: r["root"] != F.col("root"))["cid"]).alias("rep")).distinct()
     pairs = pairs.join(first, ["cid", "rep"], "left_anti")
     second = verified(pairs)
-    root = components(first.unionByName(second).where("ok").select(F.col("cid").alias("a"), F.col("rep").alias("b")))
+    root = links(first.unionByName(second))
 
     named = rows.select("doc_id", "cid").join(root, F.col("cid") == F.col("node"), "left")
     named = named.select("doc_id", "cid", F.coalesce("root", "cid").alias("root"))
