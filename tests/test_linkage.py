@@ -12,6 +12,9 @@ def test_end_to_end(spark, tmp_path):
     records, truth = Generator(3).frames(spark, 60)
     bundle = linkage.train(records, truth, kind="logistic")
     assert bundle.report["chosen"] in bundle.report["cv"] and len(bundle.report["cv"]) == 6
+    assert bundle.words.legal and bundle.words.cues
+    linkage.save(bundle, spark, str(tmp_path / "model"))
+    bundle = linkage.load(spark, str(tmp_path / "model"))
     other, real = Generator(9, hard=True).frames(spark, 50)
     scored, universe = linkage.predict(other, bundle)
     got = metrics.score(universe.withColumnRenamed("s1", "i"), scored.where("emitted"), real).first()

@@ -5,13 +5,15 @@ Lineage is cut, by a checkpoint in the shared folder, after prepare, block, pair
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import kernels
-from weftline.operators import context, decide, metrics, models, retrieval
+from weftline.operators import context, decide, lexicon, metrics, models, retrieval
 from weftline.operators.features import CHANNELS, CONTEXT_FEATURES, PAIR_FEATURES, pair_features, prepare, record_keys
 from weftline.sources.cut import cut
 
@@ -41,6 +43,26 @@ class Bundle:
     tau: float
     rule: Rule
     report: dict = field(default_factory=dict)
+    words: lexicon.Lexicon = field(default_factory=lexicon.Lexicon)
+
+
+def save(bundle: Bundle, spark: SparkSession, path: str) -> None:
+    """Spark ML models and one line of JSON, in any store that Spark writes."""
+    for kind, found in (("pruner", bundle.pruners), ("matcher", bundle.matchers)):
+        for k, m in enumerate(found):
+            m.write().overwrite().save(f"{path}/{kind}-{k}")
+    words = {"abbreviations": bundle.words.abbreviations, "legal": sorted(bundle.words.legal), "cues": sorted(bundle.words.cues)}
+    kind = "gbt" if isinstance(bundle.pruners[0], GBTClassificationModel) else "logistic"
+    meta = {"kind": kind, "pruners": len(bundle.pruners), "matchers": len(bundle.matchers), "tau": bundle.tau, "rule": asdict(bundle.rule), "report": bundle.report, "words": words}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load(spark: SparkSession, path: str) -> Bundle:
+    meta = json.loads(spark.read.text(f"{path}/meta").first().value)
+    model = GBTClassificationModel if meta["kind"] == "gbt" else LogisticRegressionModel
+    read = lambda kind: [model.load(f"{path}/{kind}-{k}") for k in range(meta[f"{kind}s"])]
+    words = lexicon.Lexicon(meta["words"]["abbreviations"], set(meta["words"]["legal"]), set(meta["words"]["cues"]))
+    return Bundle(read("pruner"), read("matcher"), meta["tau"], Rule(**meta["rule"]), meta["report"], words)
 
 
 def views(p: DataFrame) -> DataFrame:
@@ -49,6 +71,19 @@ def views(p: DataFrame) -> DataFrame:
     return p.select("id", "src", core.alias("name_char"), F.concat_ws(" ", "core_str", "addr_str").alias("full_char"), F.concat_ws(" ", "name_str", "addr_str", F.array_join("numbers", " ")).alias("word"))
 
 
+def prepared(records: DataFrame, words: lexicon.Lexicon) -> DataFrame:
+    return cut(prepare(records, words.abbreviations, words.legal, words.cues))
+
+
+def label_groups(p: DataFrame, *, df_cap: int | None = 1000) -> dict[str, str]:
+    """Country labels that name one country: those of nearest neighbours by name and address."""
+    x = retrieval.postings(views(p).select("id", "src", retrieval.char_terms(F.col("full_char"), 3, 3).alias("terms")), min_df=2, max_df=0.5)
+    best = retrieval.top_k(retrieval.cosine_pairs(x, df_cap=df_cap), "i", "j", 1)
+    of = p.select("id", "country")
+    links = best.join(of.select(F.col("id").alias("i"), F.col("country").alias("a")), "i").join(of.select(F.col("id").alias("j"), F.col("country").alias("b")), "j")
+    return lexicon.country_groups(links.select("a", "b", "sim"), p.where("country <> ''").groupBy(F.col("country").alias("label")).agg(F.count("*").alias("n")))
+
+
 def channel_pairs(p: DataFrame, *, df_cap: int | None = 1000) -> dict[str, DataFrame]:
     """Similar pairs (i, j, sim) by each channel."""
     v = views(p)
@@ -104,8 +139,9 @@ def train(records: DataFrame, truth: DataFrame, *, kind: str = "gbt", rounds: in
 
     With ``by_country`` the rules are also scored with folds by country, and ``unseen_share`` weighs both.
     """
-    p = cut(prepare(records))
-    x = cut(label(pair_features(cut(block(p)), p), truth).withColumn("fold", models.fold_of(F.col("i"))))
+    words = lexicon.fit(records, truth)
+    p = prepared(records, words)
+    x = cut(label(pair_features(cut(block(p)), p, label_groups(p)), truth).withColumn("fold", models.fold_of(F.col("i"))))
     universe = p.where("src = 1").select(F.col("id").alias("i"))
     options = {"kind": kind, "rounds": rounds} if kind == "gbt" else {"kind": kind}
 
@@ -140,12 +176,12 @@ def train(records: DataFrame, truth: DataFrame, *, kind: str = "gbt", rounds: in
         report["loco"] = {n: metrics.score(universe, answer(other, rule), truth).first().macro_f for n, (_, rule) in cv.items()}
         value = {n: (1 - unseen_share) * f + unseen_share * report["loco"][n] for n, f in value.items()}
     best = max(value, key=lambda n: (value[n], n))
-    return Bundle(pruners, matchers, tau, cv[best][1], report | {"chosen": best})
+    return Bundle(pruners, matchers, tau, cv[best][1], report | {"chosen": best}, words)
 
 
 def score_pool(p: DataFrame, pool: DataFrame, bundle: Bundle) -> DataFrame:
     """(i, j, p1, p): prune and match scores; p is null for pruned pairs."""
-    first = cut(models.bagged(cut(pair_features(pool, p)), PAIR_FEATURES, bundle.pruners))
+    first = cut(models.bagged(cut(pair_features(pool, p, label_groups(p))), PAIR_FEATURES, bundle.pruners))
     kept = cut(first.where(F.col("p") >= bundle.tau).withColumnRenamed("p", "p1").join(context_features(first, p), ["i", "j"]))
     second = models.bagged(kept, PAIR_FEATURES + CONTEXT_FEATURES, bundle.matchers).select("i", "j", "p")
     return first.select("i", "j", F.col("p").alias("p1")).join(second, ["i", "j"], "left")
@@ -153,7 +189,7 @@ def score_pool(p: DataFrame, pool: DataFrame, bundle: Bundle) -> DataFrame:
 
 def predict(records: DataFrame, bundle: Bundle) -> tuple[DataFrame, DataFrame]:
     """(scored pairs with ``emitted``, universe)."""
-    p = cut(prepare(records))
+    p = prepared(records, bundle.words)
     scored = cut(score_pool(p, cut(block(p)), bundle))
     kept = scored.where("p IS NOT NULL").withColumn("pc", F.col("p"))
     out = answer(kept, bundle.rule).withColumn("emitted", F.lit(True))
