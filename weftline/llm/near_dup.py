@@ -172,7 +172,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _star(members: DataFrame) -> DataFrame:
     """(cid, rep) pairs of each bucket's members with its centre, from (key, cid, central)."""
-    centre = members.groupBy("key").agg(F.max(F.struct("central", "cid"))["cid"].alias("rep"))
+    centre = checkpointed(members.groupBy("key").agg(F.max(F.struct("central", "cid"))["cid"].alias("rep")))
     return members.join(centre, "key").where("cid <> rep").select("key", "cid", "rep")
 
 
@@ -182,7 +182,9 @@ def near_dup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = checkpointed(texts.mapInArrow(_sketches, "doc_id long, cid binary, keys array<long>"))
     one = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
     exploded = one.select("cid", "first_id", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # What is joined at keys that may be hot is checkpointed first: then both sides of the join are exchanged, and
+    # adaptive execution can split a hot key, as it can't where an aggregate's own partitioning is used.
+    shared = checkpointed(exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = checkpointed(exploded.join(shared, "key").select("key", "cid", "first_id", "n"))
     central = members.groupBy("cid").agg(F.sum("n").alias("central"), F.first("first_id").alias("first_id"))
 
@@ -225,7 +227,7 @@ def near_dup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     named = rows.select("doc_id", "cid").join(root, F.col("cid") == F.col("node"), "left")
     named = named.select("doc_id", "cid", F.coalesce("root", "cid").alias("root"))
-    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = checkpointed(named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")))
     return named.join(least, "root", "left").select("doc_id", "cid", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"))
 
 
