@@ -22,10 +22,6 @@ def estimated_bytes(df: DataFrame) -> int:
         return 1 << 60
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 LEAST_BUCKETS = 64
 
 
