@@ -98,6 +98,41 @@ def test_near_dup(spark):
     assert N.near_dup_classes(table(spark, [])).count() == 0
 
 
+def test_near_dup_template_family(spark):
+    """Planted pairs just above 0.8 among texts that share a template: each is found, whatever the hot buckets hold."""
+    rng = random.Random(8)
+    template = words(rng, 192)
+    texts = []
+    for _ in range(200):
+        own = template + words(rng, 28)
+        texts += [own, own[:198] + words(rng, 18) + own[216:]]
+    hashed = [numbers(" ".join(t)) for t in texts]
+    want = [N.similar(hashed[i], hashed[i + 1]) for i in range(0, len(texts), 2)]
+    assert all(want) and not any(N.similar(hashed[0], h) for h in hashed[2:])
+    got = {r.doc_id: r.class_id for r in N.near_dup_classes(table(spark, [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_prefix_filter_is_exact(spark):
+    """Pairs of the exact step contain all pairs of a multiset Jaccard similarity of 0.8 or more."""
+    rng = random.Random(5)
+    vocabulary, texts = words(rng, 12), []
+    for _ in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(4, 60))]
+        for _ in range(3):
+            t = list(base)
+            for _ in range(rng.randint(0, 1)):
+                t[rng.randrange(len(t))] = rng.choice(vocabulary)
+            texts.append(t + [rng.choice(vocabulary) for _ in range(rng.randint(0, 1))])
+    hashed = [numbers(" ".join(t)) for t in texts]
+    ids = [i.to_bytes(4, "big") for i in range(len(texts))]
+    df = spark.createDataFrame([(bytearray(i), bytearray(i), bytearray(h.tobytes())) for i, h in zip(ids, hashed, strict=True)], "cid binary, root binary, words binary")
+    got = {frozenset((bytes(r.cid), bytes(r.rep))) for r in N._rest(df).collect()}
+    sets = [N.shingles(h.astype(np.uint64)) for h in hashed]
+    want = {frozenset((ids[i], ids[j])) for i in range(len(ids)) for j in range(i) if N._multiset_jaccard(sets[i], sets[j]) >= N.SIMILARITY}
+    assert len(want) > 50 and want <= got
+
+
 def test_near_dup_stage_with_repeated_ids(spark):
     a, b = " ".join(words(random.Random(1), 40)), " ".join(words(random.Random(2), 40))
     data = [(5, a, "en", "s", 0), (5, b, "en", "s", 0), (5, a, "en", "s", 0), (6, b.upper(), "en", "s", 0), (7, a, "en", "s", 0)]

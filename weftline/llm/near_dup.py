@@ -9,8 +9,15 @@ Candidates. Equal texts are one class from the start and go on as one row. In th
 paired with each other: each is paired with the bucket's centre, the member that meets most others over all its
 buckets (an original among its edited copies). Buckets in which a pair fails are dealt again, by their key and
 each other band's key; whoever failed is paired with the centre of each finer bucket and with ``DRAWN`` members that
-a hash draws: a text that is like it shares many finer buckets with it. Pairs already tried aren't tried again. So
-the pairs grow with the members, not with their square.
+a hash draws: a text that is like it shares many finer buckets with it. Pairs already tried aren't tried again.
+
+Rest. What these rounds leave in a bucket as two components or more is joined exactly, whatever its bands: texts whose
+multisets have a Jaccard similarity of ``SIMILARITY`` share one of their rarest shingles (prefix filter; the shorter
+text needs fewer of them), and its place bounds what they can have in common. All pairs of different components that
+pass are verified, so no text that shares a bucket with one like it stays apart. Any order of the shingles gives the
+same links; counts in ``CELLS`` cells put a template's shingles last, so its members don't meet by them. The pairs
+before this step grow with the members; here they can grow with the square of a group whose texts share rare
+shingles and yet differ.
 
 Verification. A pair is a link if the multisets of shingles have a Jaccard similarity of ``SIMILARITY`` or more,
 and a banded alignment of the word sequences matches that share of their words in order (2 x matches / words of
@@ -41,6 +48,9 @@ from .wordhash import ALNUM_WORDS, chunks, kgram, mix, split_words
 K, MINIMA, BANDS, SIMILARITY = 5, 4, 20, 0.8
 #: Members of a finer bucket that whoever failed to meet a centre is tried against, beside its centre.
 DRAWN = 3
+#: Cells in which shingles are counted for the order of prefixes.
+CELL_BITS = 18
+CELLS = 1 << CELL_BITS
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix(_SEEDS) | np.uint64(1)
 
@@ -170,6 +180,77 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["cid", "rep", "ok"])
 
 
+def _least(x: np.ndarray | float) -> np.ndarray:
+    """The least whole number that isn't below x, but for rounding."""
+    return np.ceil(x - 1e-9).astype(np.int64)
+
+
+def _shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    for raw in column.to_pylist():
+        yield labelled(shingles(np.frombuffer(raw, np.uint32).astype(np.uint64)))
+
+
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for s in _shingle_sets(batch.column(0)):
+            np.add.at(total, _cell(s), 1)
+    at = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+
+def prefix(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest shingles, one of which any similar text has, and how many of them do if the other isn't shorter."""
+    m = len(s)
+    most = m + 1 - int(_least(np.float64(SIMILARITY * m)))
+    few = m + 1 - int(_least(np.float64(2 * SIMILARITY / (1 + SIMILARITY) * m)))
+    return s[np.lexsort((s, counts[_cell(s)]))[:most]], few
+
+
+def _rest(texts: DataFrame) -> DataFrame:
+    """(cid, rep) of all texts of different roots that can be similar, from (cid, root, words)."""
+    cells = texts.select("words").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                batch = whole.slice(a, 512)
+                tokens, rows, sizes, places, fews = [], [], [], [], []
+                for i, s in enumerate(_shingle_sets(batch.column(2))):
+                    if not len(s):
+                        continue
+                    t, few = prefix(s, own)
+                    at = np.flatnonzero(own[_cell(t)] > 1)  # the others are in no other text
+                    tokens.append(t[at])
+                    places.append(at)
+                    rows.append(np.full(len(at), i))
+                    sizes.append(np.full(len(at), len(s)))
+                    fews.append(at < few)
+                if tokens:
+                    row = pa.array(np.concatenate(rows))
+                    columns = [pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)]
+                    columns += [pa.array(np.concatenate(x).astype(np.int64)) for x in (sizes, places)] + [pa.array(np.concatenate(fews))]
+                    yield pa.record_batch(columns, ["token", "cid", "root", "size", "place", "few"])
+
+    posts = checkpointed(texts.select("cid", "root", "words").mapInArrow(postings, "token long, cid binary, root binary, size long, place long, few boolean"))
+    a = posts.where("few").drop("few")
+    b = posts.select("token", F.col("cid").alias("rep"), F.col("root").alias("root2"), F.col("size").alias("size2"), F.col("place").alias("place2"))
+    size, size2 = F.col("size"), F.col("size2")
+    first = (size < size2) | ((size == size2) & (F.col("cid") < F.col("rep")))
+    near = size >= SIMILARITY * size2 - 1e-6
+    common = F.least(size - F.col("place"), size2 - F.col("place2"))
+    enough = (1 + SIMILARITY) * common >= SIMILARITY * (size + size2) - 1e-6
+    return a.join(b, "token").where((F.col("root") != F.col("root2")) & first & near & enough).select("cid", "rep").distinct()
+
+
 def _star(members: DataFrame) -> DataFrame:
     """(cid, rep) pairs of each bucket's members with its centre, from (key, cid, central)."""
     centre = checkpointed(members.groupBy("key").agg(F.max(F.struct("central", "cid"))["cid"].alias("rep")))
@@ -223,7 +304,16 @@ def near_dup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = alone.select("cid", F.explode(F.filter("reps", lambda r: r["root"] != F.col("root"))["cid"]).alias("rep")).distinct()
     pairs = pairs.join(first, ["cid", "rep"], "left_anti")
     second = verified(pairs)
-    root = links(first.unionByName(second))
+
+    # Buckets that still hold two components: all of their texts that can be similar are compared.
+    tried = first.unionByName(second)
+    roots = links(tried).withColumnRenamed("node", "cid")
+    part = checkpointed(ranked.join(roots, "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root")))
+    torn = checkpointed(part.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key"))
+    apart = part.join(torn, "key").select("cid", "root").distinct()
+    known = tried.select("cid", "rep").unionByName(tried.select(F.col("rep").alias("cid"), F.col("cid").alias("rep")))
+    third = verified(_rest(checkpointed(apart.join(words, "cid"))).join(known, ["cid", "rep"], "left_anti"))
+    root = links(tried.unionByName(third))
 
     named = rows.select("doc_id", "cid").join(root, F.col("cid") == F.col("node"), "left")
     named = named.select("doc_id", "cid", F.coalesce("root", "cid").alias("root"))
