@@ -2,12 +2,25 @@ import json
 import threading
 import urllib.request
 
+from pyspark.sql import functions as F
+
 from weftline.operators import metrics
+from weftline.operators.features import prepare
 from weftline.plans import linkage
 from weftline.plans.console import Console, package, report_markdown, serve
+from weftline.sources.records import clean_records
 from weftline.sources.synthetic import Generator
 
 
+def test_common_terms_are_compared(spark):
+    """Records that share only a word of more than 1,000 records meet, in salted blocks; a cap is an option."""
+    data = [(f"S1-{i}", "alpha", f"street{i}", "us") for i in range(3)] + [(f"S2-{i}", "alpha", f"road{i}", "us") for i in range(1100)]
+    records = clean_records(spark.createDataFrame(data, "entity_id string, business_name string, business_address string, country string"))
+    p = prepare(records.withColumn("src", F.substring("entity_id", 2, 1).cast("int"))).persist()
+    assert linkage.channel_pairs(p)["word"].count() == 3300
+    assert linkage.channel_pairs(p, df_cap=1000)["word"].count() < 3300
+
+
 def test_end_to_end(spark, tmp_path):
     records, truth = Generator(3).frames(spark, 60)
     bundle = linkage.train(records, truth, kind="logistic")

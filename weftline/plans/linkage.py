@@ -75,7 +75,7 @@ def prepared(records: DataFrame, words: lexicon.Lexicon) -> DataFrame:
     return cut(prepare(records, words.abbreviations, words.legal, words.cues))
 
 
-def label_groups(p: DataFrame, *, df_cap: int | None = 1000) -> dict[str, str]:
+def label_groups(p: DataFrame, *, df_cap: int | None = None) -> dict[str, str]:
     """Country labels that name one country: those of nearest neighbours by name and address."""
     x = retrieval.postings(views(p).select("id", "src", retrieval.char_terms(F.col("full_char"), 3, 3).alias("terms")), min_df=2, max_df=0.5)
     best = retrieval.top_k(retrieval.cosine_pairs(x, df_cap=df_cap), "i", "j", 1)
@@ -84,7 +84,7 @@ def label_groups(p: DataFrame, *, df_cap: int | None = 1000) -> dict[str, str]:
     return lexicon.country_groups(links.select("a", "b", "sim"), p.where("country <> ''").groupBy(F.col("country").alias("label")).agg(F.count("*").alias("n")))
 
 
-def channel_pairs(p: DataFrame, *, df_cap: int | None = 1000) -> dict[str, DataFrame]:
+def channel_pairs(p: DataFrame, *, df_cap: int | None = None) -> dict[str, DataFrame]:
     """Similar pairs (i, j, sim) by each channel."""
     v = views(p)
     made = {
@@ -97,7 +97,7 @@ def channel_pairs(p: DataFrame, *, df_cap: int | None = 1000) -> dict[str, DataF
     return out | {"keys": retrieval.key_pairs(retrieval.block_keys(keys))}
 
 
-def block(p: DataFrame, *, k: int = retrieval.TOP, pool: int = retrieval.POOL, df_cap: int | None = 1000) -> DataFrame:
+def block(p: DataFrame, *, k: int = retrieval.TOP, pool: int = retrieval.POOL, df_cap: int | None = None) -> DataFrame:
     """The fused pool of candidate pairs of prepared records."""
     rows = None
     for name, pairs in channel_pairs(p, df_cap=df_cap).items():
