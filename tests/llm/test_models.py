@@ -65,6 +65,13 @@ def test_toxicity_held_out():
     assert ((odd >= 0) & (odd <= 1)).all() and odd[0] == odd[1] == odd[2] and odd[5] > 0.5
 
 
+@pytest.mark.parametrize("text", ["b l ö d", "d é b i l e", "д у р а к", "x b l o c k y", "Ö d e r", "so ö d", "笨 蛋 人 𝒳"])
+def test_spelled_units_count_letters(text):
+    """Scoring joins the same runs of single letters as training, whatever a letter's bytes."""
+    got = [u for _, u in T.spelled_units(T.split_words(pa.array([text]), T.LOWER_WORDS))]
+    assert [u.lower() for u in got] == [u.lower() for u in T.units(text)[len(text.split()):]]
+
+
 def test_toxicity_without_labels():
     assert T.train([]).probability(np.array([0.0])) < 0.1
     assert T.train([("a b c", 0)]).probability(np.array([0.0])) < 0.1

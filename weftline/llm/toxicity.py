@@ -361,7 +361,9 @@ def worst_units(store: WordRows, model: Model, texts: pa.Array) -> np.ndarray:
 
 def spelled_units(words: Words) -> Iterator[tuple[int, str]]:
     """(text, letters) of runs of three or more single letters; of a run of one letter again and again only a part."""
-    single = words.end - words.start == 1
+    # A letter is one code point: bytes that don't continue one are counted.
+    leads = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+    single = leads[words.end] - leads[words.start] == 1
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
     for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         if y - x < 3:
@@ -369,9 +371,9 @@ def spelled_units(words: Words) -> Iterator[tuple[int, str]]:
         for d in range(int(words.doc[x]), int(words.doc[y - 1]) + 1):
             i, j = max(x, int(words.first[d])), min(y, int(words.first[d + 1]))
             if j - i >= 3:
-                run = words.data[words.start[i:j]]
+                run = np.array([words.data[a:b].tobytes().decode() for a, b in zip(words.start[i:j].tolist(), words.end[i:j].tolist(), strict=True)])
                 run = run[np.append(True, run[1:] != run[:-1])] if len(run) > LONGEST and (run == run[0]).mean() > 0.9 else run
-                yield d, run.tobytes().decode()
+                yield d, "".join(run.tolist())
 
 
 def score_texts(store: WordRows, model: Model, texts: pa.Array) -> np.ndarray:
