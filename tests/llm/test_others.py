@@ -169,7 +169,7 @@ def test_nearest(spark, metric):
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 16), (2040, [None] + [1.0] * 15), (2060, [float("nan")] * 16), (2080, [float("inf")] * 16), (2100, [1.0, 2.0]), (None, [1.0] * 16)]
     df = clashing(spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3))
     got = collections.defaultdict(list)
-    for r in A.nearest(df, df.where("vec_id % 20 = 0"), metric=metric, rerank=150, query_block=25).orderBy("query_id", "rank").collect():
+    for r in A.nearest(df, df.where("vec_id % 20 = 0"), metric=metric, rerank=150, query_block=25, row_block=100).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     y = x.astype(np.float64)
     recall = []
@@ -190,6 +190,28 @@ def test_nearest_few_rows(spark):
     assert A.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_does_not_depend_on_blocks(spark):
+    """The same answer for any partitions and blocks, with far fewer rows reranked than a block holds."""
+    x = np.random.default_rng(8).normal(size=(900, 8)).astype(np.float32)
+    x[100:130] = x[99]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    ask, got = df.where("vec_id % 20 = 0"), []
+    for parts, blocks in ((1, {}), (8, {"row_block": 70, "query_block": 7}), (3, {"row_block": 901, "query_block": 11})):
+        got.append(sorted(tuple(r) for r in A.nearest(df.repartition(parts), ask, rerank=25, **blocks).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 45 * 20
+
+
+def test_nearest_repeated_ids(spark):
+    """Each row is a candidate and a query; a query leaves out one row with its id and vector."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.9, 0.1]), (1, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in A.nearest(df, df.where("vec_id = 0 AND embedding[0] = 1")).collect())
+    assert got == [(1, 0, 1.0)] * 2 + [(2, 0, 0.9)] * 2 + [(3, 1, 0.5)] * 2
+    hot = spark.createDataFrame([(7, [1.0, 0.0])] * 3000 + [(i, [0.0, 1.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    got = A.nearest(hot, hot.where("vec_id = 0"), row_block=100).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, 20)) + [7]
+
+
 FIELD = H.train(H.labelled_pages())
 
 
