@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -124,7 +125,7 @@ def slow_spans(t):
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
-    return sorted(out)
+    return sorted(out)  # by start, then kind
 
 
 PIECES = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "=", ":", " ", "  ", '"', "'", "\n", "é", "日", "AKIA", "AKIA" + "Z9" * 8, "0123456789abcdef" * 2, "abcdef", "abc", "x" * 7, "-", ".", "tok", "en", "AK"]
@@ -154,6 +155,42 @@ def test_lanes_equal_one_pass():
         assert S.run_automaton(dfa, data, width).tolist() == slow
 
 
+def test_own_automata_equal_regex():
+    """The rules beside the base kinds, against Python's regexes of the same patterns."""
+    rng, pieces = np.random.default_rng(7), [*PIECES, "ghp_", "xoxb-", "AIza", "eyJ", "Ab3_-" * 8, "a1B2c3D4e5F6" * 3, ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "EC PRIVATE KEY-----", "ghp_" + "a1B2c3D4e5F6" * 3, "xoxb-12345-67890", "AIza" + "Ab3_-" * 7, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0", "-----BEGIN PRIVATE KEY-----"]
+    scanner = S.Scanner(S.RULES, test_automaton_equals_regex.dfa)
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 14))) for _ in range(1500)]
+    got = scanner.spans(pa.array(texts, pa.string()))
+    seen = collections.Counter()
+    for i, t in enumerate(texts):
+        for k, rule in enumerate(S.RULES[:-1]):
+            want = [m.span() for m in re.finditer(rule.pattern, t) if re.fullmatch(rule.kept, m[0])]
+            assert [(s, e) for s, e, x in got.get(i, []) if x == k] == want
+            seen[rule.kind] += len(want)
+        pem = [m.start() for m in re.finditer(S.RULES[-1].pattern, t)]
+        assert [s for s, _, x in got.get(i, []) if x == len(S.RULES) - 1] == pem
+        seen["pem"] += len(pem)
+        assert got.get(i, []) == sorted(got.get(i, []), key=lambda x: (x[0], x[2]))
+    assert all(seen[r.kind] for r in S.RULES)
+
+
+def test_private_keys_are_covered():
+    body = "\n".join(["MIIEpAIBAAKCAQEA7" + "x" * 47] * 3)
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut = f"-----BEGIN PRIVATE KEY-----\n{body}"
+    got = S.Scanner(S.RULES, test_automaton_equals_regex.dfa).spans(pa.array([f"é {key} after", f"{cut}\nand so on", "-----BEGIN PRIVATE KEY-----  is how it begins"]))
+    pem = {d: [(s, e) for s, e, k in x if S.RULES[k].kind == "pem"] for d, x in got.items()}
+    assert pem == {0: [(2, 2 + len(key))], 1: [(0, len(cut))], 2: [(0, 27)]}
+
+
+@pytest.mark.parametrize("text", ["password = hunter2xyz and 0123456789abcdef01234567\n" * 80_000, "token=abcdefg0 " * 260_000, "eyJ" * 1_300_000, "-----BEGIN PRIVATE KEY-----\n" * 150_000, "token  " * 600_000, "f" * 4_000_000])
+def test_secrets_of_long_texts_take_linear_time(text):
+    scanner = S.Scanner(S.RULES, test_automaton_equals_regex.dfa)
+    began = time.perf_counter()
+    scanner.spans(pa.array([text]))
+    assert time.perf_counter() - began < 10
+
+
 def test_secret_rows(spark):
     data = [(1, 'Password : "hunter22x" é', "", "", 0), (2, None, "", "", 0), (3, "", "", "", 0), (1, "ghp_" + "a" * 40, "", "", 0), (4, "f" * 100_000, "", "", 0)]
     got = {(r.doc_id, tuple((s.kind, s.start, s.end) for s in r.spans)) for r in S.scan_secrets(clashing(table(spark, data))).collect()}

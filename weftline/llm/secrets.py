@@ -1,15 +1,18 @@
 """Operator 8: secret scan with one deterministic automaton for all rules.
 
 The rules' regexes are parsed to an NFA, made deterministic by subset construction over byte classes, minimised
-by partition refinement and kept as a transition array. The state says which rules have a match that ends at a
-byte. No rule matches a line end, so at a line end the automaton is in its start state; a byte that UTF-8 never
-uses parts the documents.
+by partition refinement and kept as transition arrays. The state of the combined automaton says for which rules a
+match of sufficient length ends at a byte. No rule's head matches a line end, so at a line end the automaton is in
+its start state; a byte that UTF-8 never uses parts the documents. The base kinds stand in it in full. Of the other
+rules it knows ``sign``, which each match holds: with their long counts the states would be the product of all
+counts (the construction had not ended after two minutes); their own automata then decide.
 
 Scan. The bytes of a batch are cut into lanes that advance together, one numpy gather a step: one pass for all
 rules. A lane starts in the start state; where the lane before it ended in another state, the lane's first bytes
-run again until both runs agree, so the states are those of a single sequential pass. Lines in which a rule
-accepts are then read with that rule's regex, which gives the leftmost non-overlapping spans; lines without an
-accepting state are never looked at again.
+run again until both runs agree, so the states are those of a single sequential pass. In lines in which a rule
+accepts, that rule's own automata give the leftmost non-overlapping spans: one for the reversed regex, run backwards,
+marks all starts, and an anchored one goes from a start to the furthest end. Lines without an accepting state are
+never looked at again. The work is linear in a text's length, whatever it holds.
 
 Edge cases: a null text is empty; spans count code points; a match too short for its rule is dropped, and what it
 covers is not searched again.
@@ -17,7 +20,6 @@ covers is not searched again.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,16 +34,17 @@ from .wordhash import chunks, text_bytes
 
 @dataclass(frozen=True)
 class Rule:
-    """``accept`` is what the automaton looks for, a part that each match has; ``pattern`` gives the spans.
+    """``pattern`` gives the spans; those stay that ``kept``, the same with the least lengths, matches too.
 
-    ``group`` of a match has ``least`` characters or more.
+    ``sign`` is what the combined automaton looks for: ``kept``, or a part that each match holds. ``tail`` goes on
+    from a span's end, over line ends.
     """
 
     kind: str
-    accept: str
     pattern: str
-    group: int = 0
-    least: int = 0
+    kept: str
+    sign: str
+    tail: str = ""
 
 
 def _either(words: str) -> str:
@@ -49,47 +52,68 @@ def _either(words: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in words)
 
 
+def _long(kind: str, pattern: str, least: int, sign: str = "") -> Rule:
+    """A rule whose pattern ends in a class with ``+``, of which a match must have ``least`` characters."""
+    kept = f"{pattern[:-1]}{{{least},}}"
+    return Rule(kind, pattern, kept, sign or kept)
+
+
 _KEYS = "|".join(_either(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either("api") + "_?" + _either("key")
 _GLUE = r"""["']?\x20*[:=]\x20*["']?"""
-_VALUE = "[A-Za-z0-9+/_.=-]"
 BASE = (
-    Rule("assign", f"({_KEYS}){_GLUE}{_VALUE}{{6}}", f"({_KEYS}){_GLUE}({_VALUE}+)", 2, 6),
-    Rule("access", "AKIA[A-Z0-9]{16}", "AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", "[0-9a-f]{24}", "[0-9a-f]+", 0, 24),
+    _long("assign", f"({_KEYS}){_GLUE}[A-Za-z0-9+/_.=-]+", 6),
+    _long("access", "AKIA[A-Z0-9]+", 16),
+    _long("hex", "[0-9a-f]+", 24),
 )
+_JWT = r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}(\.[A-Za-z0-9_-]+)?"
+_PEM = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: The rest of a key: all up to its end mark, or the lines of base64 that follow.
+_PEM_REST = r"[A-Za-z0-9+/=:,\x20\x0D\x0A]*-----END [A-Z ]*PRIVATE KEY-----|([\x20\x0D]*\x0A[A-Za-z0-9+/=]{16,})*"
 #: Formats of issued credentials that the base kinds miss; fixed values.
 MORE = (
-    Rule("github", "gh[pousr]_[A-Za-z0-9]{4}", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{4}", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("google", "AIza[A-Za-z0-9_-]{4}", "AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{4}", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+)?"),
-    Rule("pem", "PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    _long("github", "gh[pousr]_[A-Za-z0-9]+", 36, "gh[pousr]_"),
+    _long("slack", "xox[abprs]-[A-Za-z0-9-]+", 10, "xox[abprs]-"),
+    _long("google", "AIza[A-Za-z0-9_-]+", 35, "AIza"),
+    Rule("jwt", _JWT, _JWT, "eyJ"),
+    Rule("pem", _PEM, _PEM, "PRIVATE KEY-----", _PEM_REST),
 )
 RULES = BASE + MORE
 #: Parts documents; not in any UTF-8 text.
 SEPARATOR = 0xFF
 
 
-# Regex to NFA: literals, classes, groups, |, ?, *, + and {n}.
+# Regex to NFA: literals, classes, groups, |, ?, *, + and {n,}.
 
 
 class _Nfa:
     def __init__(self):
         self.eps: list[list[int]] = []
-        self.step: list[tuple[frozenset[int], int] | None] = []
+        self.step: list[list[tuple[frozenset[int], int]]] = []
         #: The states of each counted repetition, in order.
         self.runs: dict[int, list[int]] = {}
 
     def state(self) -> int:
         self.eps.append([])
-        self.step.append(None)
+        self.step.append([])
         return len(self.eps) - 1
 
     def literal(self, chars: frozenset[int]) -> tuple[int, int]:
         a, b = self.state(), self.state()
-        self.step[a] = (chars, b)
+        self.step[a].append((chars, b))
         return a, b
 
+    def reversed(self) -> _Nfa:
+        out = _Nfa()
+        for _ in self.eps:
+            out.state()
+        for a, to in enumerate(self.eps):
+            for b in to:
+                out.eps[b].append(a)
+        for a, to in enumerate(self.step):
+            for chars, b in to:
+                out.step[b].append((chars, a))
+        return out
+
 
 class _Parser:
     def __init__(self, source: str, nfa: _Nfa):
@@ -121,16 +145,17 @@ class _Parser:
         a, b = self.atom()
         what = self.s[self.i : self.i + 1]
         if what == "{":
-            to = self.s.index("}", self.i)
-            n, after = int(self.s[self.i + 1 : to]), to + 1
-            run = len(self.nfa.runs)
+            to = self.s.index(",}", self.i)
+            n, after = int(self.s[self.i + 1 : to]), to + 2
+            run, last = len(self.nfa.runs), a
             self.nfa.runs[run] = [a]
             for _ in range(n - 1):
                 self.i = at
-                x, y = self.atom()
-                self.nfa.eps[b].append(x)
-                self.nfa.runs[run].append(x)
+                last, y = self.atom()
+                self.nfa.eps[b].append(last)
+                self.nfa.runs[run].append(last)
                 b = y
+            self.nfa.eps[b].append(last)
             self.i = after
             return a, b
         if what and what in "?*+":
@@ -183,26 +208,24 @@ class _Parser:
 
 @dataclass(frozen=True)
 class Automaton:
-    """``move[state * classes + byte_class]`` is the next state times ``classes``; ``accepts[state]`` has a bit a rule."""
+    """``move[state * classes + byte_class]`` is the next state times ``classes``; ``accepts[state]`` has a bit a rule.
+
+    State 0 is the start; ``dead``, times ``classes``, is the state that nothing leaves, or -1.
+    """
 
     byte_class: np.ndarray
     classes: int
     move: np.ndarray
     accepts: np.ndarray
+    dead: int = -1
 
     @property
     def states(self) -> int:
         return len(self.accepts)
 
 
-def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
-    """The minimal automaton that says, after each byte, which rules have a match that ends there."""
-    nfa = _Nfa()
-    heads, finals = [], {}
-    for bit, rule in enumerate(rules):
-        a, b = _Parser(rule.accept, nfa).either()
-        heads.append(a)
-        finals[b] = 1 << bit
+def _subsets(nfa: _Nfa, heads: list[int], finals: dict[int, int], *, anywhere: bool) -> Automaton:
+    """The minimal automaton that says, after each byte, which finals are reached; from any byte on, or the first only."""
     closure_of: dict[int, frozenset[int]] = {}
 
     def closure(states) -> frozenset[int]:
@@ -214,12 +237,12 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
                 todo += nfa.eps[x]
         return frozenset(x for x in out if nfa.step[x] or x in finals)
 
-    sets = {s[0] for s in nfa.step if s}
+    sets = {chars for to in nfa.step for chars, _ in to}
     groups: dict[tuple, int] = {}
     byte_class = np.zeros(256, dtype=np.uint8)
     samples = []
     for byte in range(256):
-        own = tuple(byte in s for s in sets) if byte not in (10, SEPARATOR) else ()
+        own = tuple(byte in s for s in sets) if byte != SEPARATOR else ()
         if own not in groups:
             groups[own] = len(groups)
             samples.append(byte)
@@ -235,20 +258,21 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
         return frozenset(x for x in states if x not in count or best[count[x][0]] == count[x][1])
 
     closure_heads = closure(heads)
+    again = closure_heads if anywhere else frozenset()
     start = furthest(set(closure_heads))
     ids, todo, rows = {start: 0}, [start], []
     while todo:
-        now = todo.pop(0)
         row = []
+        now = todo.pop(0)
         for byte in samples:
-            to = set(closure_heads)
-            if byte not in (10, SEPARATOR):
+            to = set(again)
+            if byte != SEPARATOR:
                 for x in now:
-                    if nfa.step[x] and byte in nfa.step[x][0]:
-                        y = nfa.step[x][1]
-                        if y not in closure_of:
-                            closure_of[y] = closure([y])
-                        to |= closure_of[y]
+                    for chars, y in nfa.step[x]:
+                        if byte in chars:
+                            if y not in closure_of:
+                                closure_of[y] = closure([y])
+                            to |= closure_of[y]
             to = furthest(to)
             if to not in ids:
                 ids[to] = len(ids)
@@ -272,7 +296,34 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
     part = order[part]
     first = np.unique(part, return_index=True)[1]
     classes = len(samples)
-    return Automaton(byte_class, classes, (part[move[first]] * classes).astype(np.int32).ravel(), accepts[first])
+    move = part[move[first]]
+    dead = np.flatnonzero((move == np.arange(len(move))[:, None]).all(axis=1) & (accepts[first] == 0))
+    return Automaton(byte_class, classes, (move * classes).astype(np.int32).ravel(), accepts[first], int(dead[0]) * classes if len(dead) else -1)
+
+
+def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
+    """The combined automaton: after each byte, the rules whose sign ends there."""
+    nfa = _Nfa()
+    heads, finals = [], {}
+    for bit, rule in enumerate(rules):
+        a, b = _Parser(rule.sign, nfa).either()
+        heads.append(a)
+        finals[b] = 1 << bit
+    return _subsets(nfa, heads, finals, anywhere=True)
+
+
+def _anchored(*patterns: str) -> Automaton:
+    """From the first byte on; a bit for each pattern that matches up to a byte."""
+    nfa = _Nfa()
+    ends = [_Parser(p, nfa).either() for p in patterns]
+    return _subsets(nfa, [a for a, _ in ends], {b: 1 << i for i, (_, b) in enumerate(ends)}, anywhere=False)
+
+
+def _backwards(pattern: str) -> Automaton:
+    """Over reversed bytes: accepts where a match of the pattern starts."""
+    nfa = _Nfa()
+    a, b = _Parser(pattern, nfa).either()
+    return _subsets(nfa.reversed(), [b], {a: 1}, anywhere=True)
 
 
 def run_automaton(dfa: Automaton, data: np.ndarray, width: int = 1024) -> np.ndarray:
@@ -310,10 +361,54 @@ def run_automaton(dfa: Automaton, data: np.ndarray, width: int = 1024) -> np.nda
     return flags[(states // dfa.classes)].T.ravel()[:n]
 
 
+class _Spans:
+    """A rule's own automata: leftmost non-overlapping spans in lines that hold its sign."""
+
+    def __init__(self, rule: Rule):
+        self.back = _backwards(rule.pattern)
+        self.ahead = self._lists(_anchored(rule.pattern, rule.kept))
+        self.tail = self._lists(_anchored(rule.tail)) if rule.tail else None
+
+    @staticmethod
+    def _lists(dfa: Automaton) -> tuple[list[int], list[int], list[int], int]:
+        return dfa.byte_class.tolist(), dfa.move.tolist(), np.repeat(dfa.accepts, dfa.classes).tolist(), dfa.dead
+
+    @staticmethod
+    def _furthest(automaton: tuple, data: bytes, at: int) -> tuple[int, int]:
+        """The furthest end of a match from ``at`` (or -1) and which patterns match up to it."""
+        byte_class, move, accepts, dead = automaton
+        state, end, which = 0, -1, 0
+        while at < len(data):
+            state = move[state + byte_class[data[at]]]
+            if state == dead:
+                break
+            at += 1
+            if accepts[state]:
+                end, which = at, accepts[state]
+        return end, which
+
+    def find(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+        """Spans in the lines ``data[starts:ends]``, which end in a byte that no match holds."""
+        n = ends - starts
+        to = np.cumsum(n)
+        raw = np.frombuffer(data, np.uint8)
+        where = np.repeat(starts - (to - n), n) + np.arange(int(to[-1]))
+        begins = where[::-1][np.flatnonzero(run_automaton(self.back, raw[where][::-1]))][::-1]
+        out, free = [], 0
+        for at in begins.tolist():
+            if at >= free:
+                free, which = self._furthest(self.ahead, data, at)
+                if self.tail:
+                    free = max(free, self._furthest(self.tail, data, free)[0])
+                if which & 2:
+                    out.append((at, free))
+        return out
+
+
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...], dfa: Automaton):
         self.rules, self.dfa = rules, dfa
-        self.patterns = [re.compile(r.pattern.encode()) for r in rules]
+        self.own = [_Spans(r) for r in rules]
 
     def spans(self, column: pa.Array) -> dict[int, list[tuple[int, int, int]]]:
         """For each row with matches: (start, end, rule) in code points, by start, then rule."""
@@ -325,28 +420,27 @@ class Scanner:
         keep[at[1:] - 1] = False
         data[keep] = raw
         flags = run_automaton(self.dfa, data)
-        ends = np.flatnonzero(flags)
+        hits = np.flatnonzero(flags)
         out: dict[int, list[tuple[int, int, int]]] = {}
-        if not len(ends):
+        if not len(hits):
             return out
         breaks = np.flatnonzero((data == 10) | (data == SEPARATOR))
-        line = np.searchsorted(breaks, ends)
-        doc = np.searchsorted(at, ends, side="right") - 1
-        for one in np.unique(line).tolist():
-            mine = ends[line == one] if len(ends) < 64 else ends[np.searchsorted(line, one) : np.searchsorted(line, one, side="right")]
-            a, b = (int(breaks[one - 1]) + 1 if one else 0), int(breaks[one])
-            d = int(doc[np.searchsorted(ends, mine[0])])
-            text = data[a:b].tobytes()
-            before = int(np.count_nonzero((data[at[d] : a] & 0xC0) != 0x80))
-            which = int(np.bitwise_or.reduce(flags[mine]))
-            found = out.setdefault(d, [])
-            for k, (rule, pattern) in enumerate(zip(self.rules, self.patterns, strict=True)):
-                if which >> k & 1:
-                    for m in pattern.finditer(text):
-                        if len(m.group(rule.group)) >= rule.least:
-                            s = before + len(text[: m.start()].decode())
-                            found.append((s, s + len(m.group(0).decode()), k))
-        return {d: sorted(x) for d, x in out.items() if x}
+        text = data.tobytes()
+        found: list[np.ndarray] = []
+        for k, own in enumerate(self.own):
+            mine = hits[(flags[hits] >> k & 1).astype(bool)]
+            if len(mine):
+                line = np.unique(np.searchsorted(breaks, mine))
+                spans = own.find(text, np.where(line > 0, breaks[line - 1] + 1, 0), breaks[line] + 1)
+                found.append(np.array([(a, b, k) for a, b in spans], np.int64).reshape(-1, 3))
+        every = np.concatenate(found)
+        doc = np.searchsorted(at, every[:, 0], side="right") - 1
+        leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
+        every[:, :2] = leads[every[:, :2]] - leads[at[doc]][:, None]
+        order = np.lexsort((every[:, 2], every[:, 0], doc))
+        for d, span in zip(doc[order].tolist(), every[order].tolist(), strict=True):
+            out.setdefault(d, []).append(tuple(span))
+        return out
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
