@@ -35,18 +35,19 @@ def _quoted(x: str) -> str:
 
 
 def _secret_scan() -> str:
-    least = " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(RULES))
+    whole = [f"({r.pattern})({r.tail})" if r.tail else r.pattern for r in RULES]
+    least = " ".join(f"WHEN {i} THEN regexp_full_match(m, {_quoted(f'({r.kept})({r.tail})' if r.tail else r.kept)})" for i, r in enumerate(RULES))
     parts = "\nUNION ALL ".join(
-        f"""SELECT r, {i} AS o, '{rule.kind}' AS kind, unnest(m) AS m, unnest(v) AS v, unnest(gap[1:len(m)]) AS gap, generate_subscripts(m, 1) AS k
- FROM (SELECT r, regexp_extract_all(text, {_quoted(rule.pattern)}) AS m, regexp_extract_all(text, {_quoted(rule.pattern)}, {rule.group}) AS v, regexp_split_to_array(text, {_quoted(rule.pattern)}) AS gap FROM d)"""
-        for i, rule in enumerate(RULES)
+        f"""SELECT r, {i} AS o, '{rule.kind}' AS kind, unnest(m) AS m, unnest(gap[1:len(m)]) AS gap, generate_subscripts(m, 1) AS k
+ FROM (SELECT r, regexp_extract_all(text, {_quoted(x)}) AS m, regexp_split_to_array(text, {_quoted(x)}) AS gap FROM d)"""
+        for i, (rule, x) in enumerate(zip(RULES, whole, strict=True))
     )
     base = ", ".join(f"'{r.kind}'" for r in BASE)
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
 part AS ({parts}),
 place AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY r, o ORDER BY k) AS BIGINT) AS e FROM part),
-span AS (SELECT r, o, kind, e - length(m) AS s, kind || ':' || (e - length(m)) || ':' || e AS x FROM place WHERE length(v) >= CASE o {least} END),
+span AS (SELECT r, o, kind, e - length(m) AS s, kind || ':' || (e - length(m)) || ':' || e AS x FROM place WHERE CASE o {least} END),
 one AS (SELECT r, {', '.join(f"count(*) FILTER (kind = '{k.kind}') AS n_{k.kind}" for k in BASE)}, string_agg(x, ',' ORDER BY s, o) FILTER (kind IN ({base})) AS base, string_agg(x, ',' ORDER BY s, o) AS spans FROM span GROUP BY r)
 SELECT doc_id, {', '.join(f'coalesce(n_{k.kind}, 0) AS n_{k.kind}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN one USING (r)"""
 
