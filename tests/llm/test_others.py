@@ -1,6 +1,7 @@
 import collections
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -247,6 +248,10 @@ def test_viterbi_is_the_best_path():
         ("<html><head><title>no</title><style>p{}</style></head><body><main><p>In <i>li</i>ne text, and more of it.</p><script>var a='<p>x</p>';</script><form><p>Sign up now</p></form></main></body>", "In line text, and more of it."),
         ("<article><p>Body text, long enough to be read.</p></article><div class=comments><div class=comment><p>Reader says a lot here, too.</p></div></div>", "Body text, long enough to be read."),
         ('<article><p>Price 3&lt;4&#x20;ok&nbsp;then, yes.</p><!-- hidden <p>no</p> --><aside><p>Other stories</p></aside></article>', "Price 3<4 ok then, yes."),
+        ("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math>, as we know it.</p></article>", "Energy is E=m, as we know it."),
+        ("<article><p>And if a <b or c <d then more, I say.</p></article>", "And if a <b or c <d then more, I say."),
+        ("<article><p>See <object data=x>the picture</object> and <svg><title>no</title><path d=''/></svg>read on, please.</p></article>", "See the picture and read on, please."),
+        ("<article><p>Before it, some words.</p><div><select><option>one</div><p>After it, more words.</p></article>", "Before it, some words. After it, more words."),
         ("", ""), (None, ""), ("<nav>menu</nav>", ""), ("<div class=cookie-notice><p>We use cookies here.</p></div>", ""),
     ],
 )
@@ -254,6 +259,13 @@ def test_pages(page, text):
     assert H.main_text(page, FIELD) == text
 
 
+@pytest.mark.parametrize("page", ["<a " * 1_300_000, "if a <b or c <d then " * 200_000 + "</p>", '<a b="' * 600_000 + ">", "<a b='x\" " * 400_000, "<!" * 2_000_000, "<!--" * 1_000_000, "<p><div>" + "<x>" * 20_000 + "<pre></pre>" * 20_000, "<p>" * 300_000, "<script>" * 400_000, "<select>" * 100_000 + "x"])
+def test_markup_takes_linear_time(page):
+    began = time.perf_counter()
+    leaf_blocks(page)
+    assert time.perf_counter() - began < 5
+
+
 def test_odd_markup_ends(spark):
     for page in ("<" * 1000, "<p" * 500, '<a title="' * 300, "<div>" * 3000 + "x" + "</p>" * 3000, "<!--", "<script>", "</p></div>x", "<p>a<p>b</x><p/>"):
         leaf_blocks(page)

@@ -10,13 +10,20 @@ from dataclasses import dataclass
 #: Elements of running text and those without content or end tag; fixed values of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object select option datalist canvas audio video title".split())
+#: Elements whose content isn't markup, and those whose text is never shown with the page; fixed values of HTML.
+RAW = frozenset("script style textarea iframe title noembed noframes xmp".split())
+UNSEEN = frozenset("select datalist template".split())
+#: Elements that stand in running text and show what is in them; in the first two all tags are part of a formula or drawing.
+FOREIGN = frozenset("math svg".split())
+INLINE |= frozenset("object canvas audio video picture map meter progress slot".split())
 #: Open elements that a start tag ends; fixed values of HTML.
 _P_ENDERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": set(), "tbody": {"thead", "tr", "td", "th"}}
 _SCOPE = frozenset("table ul ol dl body html article section div main aside nav header footer form".split())
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+#: A tag. Quotes hold a value only after ``=``; a quote that isn't closed is a character like others. Another ``<`` outside
+#: a value shows that this one was no tag. Nothing is tried twice, so a page takes time in proportion to its length.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+)>""")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|data-content)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -49,12 +56,13 @@ def _own(tag: str, attributes: str) -> tuple[set[str], bool]:
 def leaf_blocks(page: str, known: Collection[str] | None = None) -> list[Block]:
     """The blocks of a page in order. With ``known``, other ancestor features are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = [("", frozenset(), False)]
-    opened: dict[str, int] = {}
+    stack: list[tuple[str, frozenset[str], bool, bool]] = [("", frozenset(), False, False)]  # tag, features, content, unseen
+    places: dict[str, list[int]] = {}  # of open elements in the stack
+    scopes = [0]
     pieces: list[str] = []
-    links = linked = 0
+    links = linked = foreign = 0
     blank = True  # the open block has no text but white space so far
-    inside = ("", frozenset(), False)  # where the first text of the open block stands
+    inside = stack[0]  # where the first text of the open block stands
 
     def flush():
         nonlocal linked, blank
@@ -67,11 +75,14 @@ def leaf_blocks(page: str, known: Collection[str] | None = None) -> list[Block]:
 
     def pop(to: int):
         while len(stack) > to:
-            opened[stack.pop()[0]] -= 1
+            tag = stack.pop()[0]
+            places[tag].pop()
+            if tag in _SCOPE:
+                scopes.pop()
 
     def add(text: str):
         nonlocal linked, inside, blank
-        if not text:
+        if not text or stack[-1][3]:
             return
         if blank:
             inside, blank = stack[-1], text.isspace()
@@ -79,25 +90,48 @@ def leaf_blocks(page: str, known: Collection[str] | None = None) -> list[Block]:
         if links:
             linked += len(text)
 
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
-        m = _MARK.search(page, at)
-        if m is None:
+        begin = page.find("<", at)
+        if begin < 0 or begin > last and not page.startswith("<!--", begin):
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
+        add(page[at:begin])
+        if page.startswith("<!--", begin):
+            at = page.find("-->", begin + 4)
+            if at < 0:
+                break
+            at += 3
+            continue
+        if page.startswith(("<!", "<?"), begin):
+            at = page.index(">", begin) + 1
+            continue
+        m = _TAG.match(page, begin)
+        if m is None:
+            add("<")
+            at = begin + 1
+            continue
         at = m.end()
-        name = m[2] or m[5]  # the last form has a quote that isn't closed
-        if name is None:
+        tag, closing = m[2].lower(), m[1] == "/"
+        if tag in FOREIGN:
+            foreign = max(0, foreign - 1) if closing else foreign + (m[3][-1:] != "/")
+            continue
+        if tag in RAW and not closing:
+            if not foreign:
+                flush()
+            if m[3][-1:] != "/":
+                end = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
+                at = end.end() if end else n
+            continue
+        if foreign and tag not in _P_ENDERS and tag not in _ENDS and tag != "body":
             continue
-        tag, closing = name.lower(), (m[1] or m[4]) == "/"
         if tag == "a":
             links = 0 if closing else 1
             continue
         if tag in INLINE:
             continue
-        if tag == "br" or tag == "hr" or tag == "p" and closing and not opened.get("p"):
+        foreign = 0
+        if tag == "br" or tag == "hr" or tag == "p" and closing and not places.get("p"):
             flush()
             continue
         if tag in VOID:
@@ -105,35 +139,21 @@ def leaf_blocks(page: str, known: Collection[str] | None = None) -> list[Block]:
         flush()
         links = 0
         if closing:
-            if opened.get(tag):
-                i = len(stack) - 1
-                while stack[i][0] != tag:
-                    i -= 1
-                pop(i)
-            continue
-        if tag in RAW:
-            if page[m.end() - 2] != "/":
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if places.get(tag):
+                pop(places[tag][-1])
             continue
-        if tag in _P_ENDERS and opened.get("p"):
-            i = len(stack) - 1
-            while i and stack[i][0] != "p" and stack[i][0] not in _SCOPE:
-                i -= 1
-            if stack[i][0] == "p":
-                pop(i)
-        elif tag in _ENDS and any(opened.get(x) for x in _ENDS[tag]):
-            i = len(stack) - 1
-            while i and stack[i][0] not in _ENDS[tag] and stack[i][0] not in _SCOPE:
-                i -= 1
-            if stack[i][0] in _ENDS[tag]:
-                pop(i)
-        own, content = _own(tag, m[3] or m[6] or "")
+        ends = {"p"} if tag in _P_ENDERS else _ENDS.get(tag, ())
+        open_at = max((places[x][-1] for x in ends if places.get(x)), default=0)
+        if open_at > scopes[-1]:
+            pop(open_at)
+        own, content = _own(tag, m[3])
         if known is not None:
             own = {f for f in own if f in known}
         above = stack[-1]
-        stack.append((tag, above[1] if own <= above[1] else above[1] | own, above[2] or content))
-        opened[tag] = opened.get(tag, 0) + 1
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
+        stack.append((tag, above[1] if own <= above[1] else above[1] | own, above[2] or content, above[3] or tag in UNSEEN))
     flush()
     return out
 

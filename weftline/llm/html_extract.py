@@ -9,7 +9,8 @@ Labelled pages. The corpus has none, so they are written here: ``labelled_pages`
 whose content blocks carry a mark that the features don't show. Their number is the bound of the fit.
 
 Edge cases: a null or empty page, or one without text, has empty text; unclosed and stray tags are read as
-browsers do; only the weights, some hundred numbers, are sent to the executors.
+browsers do, but a ``<`` that no tag follows is text; formulas and fallbacks are running text; a page is read once,
+whatever its markup; rows of a repeated id are rows of their own; only the weights, some hundred numbers, are sent to the executors.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def _outside(rng: random.Random, kind: str) -> str:
         return f"<{(t := rng.choice(["section", "div", "ol"]))} {at}>{inner}</{t}>"
     inner = rng.choice([say(3, 60), f"<p>{say(3, 60)}</p>", f"<p>{say(3, 40)}</p><p>{say(3, 40)}</p><button>{_words(rng, 1)}</button>", f"<p>{say(3, 40)} <a href=#>{_words(rng, 2)}</a></p>"])
     if kind == "notice" and rng.random() < 0.2:
-        return f"<dialog>{inner}</dialog>"
+        return f"<{(t := rng.choice(['dialog', 'noscript']))}>{inner}</{t}>"
     return f"<{(t := rng.choice(["div", "div", "section", "p"] if "<p>" not in inner else ["div", "section"]))} {at}>{inner}</{t}>"
 
 
