@@ -8,12 +8,14 @@ their ids through the shuffle. A group's last ids go to sequences whose lengths
 padding.
 
 Tokens. The tokenizer drops white space and never joins across it, so texts are cut at spaces and line ends, each
-distinct part is encoded once a worker, and documents gather their ids.
+distinct part is encoded once a worker, and documents gather their ids. A text that holds the string of one of the
+tokenizer's special tokens goes to the tokenizer whole, which gives that token's id there.
 
 Recovery: a task's result depends on its rows in order, so packing reads a table (as the pipeline does) and not
 the output of a shuffle; the first pass is checkpointed before the leftovers are read.
 
-Edge cases: a null or empty text has only the end id; null ids are kept; an empty table gives no rows.
+Edge cases: a null or empty text has only the end id; null ids are kept; rows of a repeated id are documents of
+their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,9 +79,7 @@ def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # a document can't put in an end marker: such strings are ordinary text
-    return out
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -88,6 +90,7 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 1 << 19):
         self.tokenizer, self.most = _tokenizer(path), most
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self._forget()
 
     def _forget(self):
@@ -133,7 +136,12 @@ class Encoder:
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(self.at[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         cut = np.concatenate([[0], ends])[words.first].tolist()
-        return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in itertools.pairwise(cut)]
+        out = [np.append(ids[a:b], np.uint32(END_ID)) for a, b in itertools.pairwise(cut)]
+        if self.special:
+            for i in np.flatnonzero(pc.match_substring_regex(texts, self.special).fill_null(False)):
+                whole = self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids
+                out[i] = np.array([*whole, END_ID], np.uint32)
+        return out
 
 
 @functools.lru_cache(maxsize=1)
