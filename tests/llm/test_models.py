@@ -3,7 +3,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import language_id as L
 from weftline.llm import quality as Q
@@ -50,7 +52,9 @@ def test_kernel_by_definition():
     assert np.allclose(marks.rows @ marks.rows.T, [[slow_kernel(a, b) for b in units] for a in units], atol=1e-5)
     machine = np.arange(1.0, 6.0)
     direct = marks.features(units) @ machine + 0.5
-    assert np.allclose(T.Model(marks.weights(machine), 0.5).margins(units), direct, atol=1e-4)
+    both = np.stack([marks.weights(machine), marks.weights(-machine)], axis=1)
+    model = T.Model(both, np.array([0.5, 0.0]), np.ones(2), np.zeros(2))
+    assert np.allclose(model.margins(units), np.stack([direct, 0.5 - direct], axis=1), atol=1e-4)
 
 
 def test_toxicity_held_out():
@@ -72,6 +76,26 @@ def test_spelled_units_count_letters(text):
     assert [u.lower() for u in got] == [u.lower() for u in T.units(text)[len(text.split()):]]
 
 
+@pytest.mark.parametrize("n", [1, T.LONGEST, T.LONGEST + 1, 5 * T.LONGEST + 3])
+def test_long_words_are_read_in_windows(n):
+    """Fitting and scoring see the same units of a long word, from its first to its last letter."""
+    word = "".join(chr(97 + i % 26) for i in range(n))
+    got = T.windows(word)
+    assert got[0] == word[: T.LONGEST] and got[-1] == word[-T.LONGEST :] and all(len(u) <= T.LONGEST for u in got)
+    assert all(any(word[i : i + T.LONGEST // 2] in u for u in got) for i in range(n))
+    model = T.train(sentences(1, 200, ["nitwit", "blockhead"]))
+    assert np.allclose(model.margins([word])[0], model.margins(got).max(axis=0))
+
+
+def test_run_of_one_letter_is_scored_whole():
+    model = T.train(sentences(1, 400, ["nitwit", "blockhead"]))
+    store = WordRows(model.margins, 64)
+    run = "a" * 3000 + "nitwit" + "a" * 3000
+    got = T.worst_units(store, model, pa.array([" ".join(run), "a " * 6000, run]))
+    assert np.allclose(got[0, 0], max(model.margins(T.windows(run))[:, 0].max(), model.margins(["a"])[0, 0]))
+    assert np.allclose(got[2, 0], model.margins(T.windows(run))[:, 0].max()) and got[0, 0] > got[1, 0]
+
+
 def test_toxicity_without_labels():
     assert T.train([]).probability(np.array([0.0])) < 0.1
     assert T.train([("a b c", 0)]).probability(np.array([0.0])) < 0.1
@@ -150,3 +174,61 @@ def test_operators(spark, op):
     rows = out.collect()
     assert len(rows) == 122 and all(0 <= r[name] <= 1 for r in rows) and set(docs.columns) < set(out.columns)
     assert out.limit(0).count() == 0
+
+
+def _folded(target, modulus, held_out):
+    """(text, value, held out) of sf0.1's labelled documents."""
+    folder = "/root/testdata/sf0.1"
+    docs = pq.read_table(f"{folder}/documents.parquet").to_pylist()
+    known = {r["doc_id"]: r[target] for r in (docs if target == "lang" else pq.read_table(f"{folder}/labels.parquet").to_pylist())}
+    rows = [(r["text"], known[r["doc_id"]], fold(r["doc_id"], modulus) == held_out) for r in docs if r["text"] is not None and known.get(r["doc_id"]) is not None]
+    return [(t, y) for t, y, h in rows if not h and len(t) <= T.MAX_CHARS], [(t, y) for t, y, h in rows if h]
+
+
+def test_toxicity_of_held_out_documents():
+    """About one label in twenty is wrong in these tables."""
+    known, apart = _folded("toxic", T.HELD_MODULUS, T.HELD_OUT)
+    model = T.train(known)
+    p, y = T.score_texts(WordRows(model.margins), model, pa.array([t for t, _ in apart])), np.array([y for _, y in apart])
+    assert (p[y == 1] >= T.THRESHOLD).mean() >= 0.9 and (p[y == 0] >= T.THRESHOLD).mean() <= 0.02
+
+
+def test_language_of_held_out_documents():
+    known, apart = _folded("lang", L.HELD_MODULUS, L.HELD_OUT)
+    model = L.train(known[:3000])
+    got, _ = L.predict(WordRows(model.rows), model, pa.array([t for t, _ in apart]))
+    assert np.mean([x == y or x == "und" for x, (_, y) in zip(got, apart, strict=True)]) >= 0.99
+
+
+def test_quality_of_held_out_documents():
+    known, apart = _folded("quality", Q.HELD_MODULUS, Q.HELD_OUT)
+    model = Q.train(known)
+    p, y = model.probability(Q.pool(WordRows(model.rows, 1 << 16), pa.array([t for t, _ in apart]))), np.array([y for _, y in apart])
+    assert ((p >= 0.5) == (y == 1)).mean() >= 0.95 and np.mean(p[y == 1][:, None] > p[y == 0][None, :]) >= 0.97
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """100,000 rows without id, one id 100,000 times: the driver gets no more rows than the bound."""
+    text, doc = F.concat(F.lit("the garden is green "), F.col("id")), F.lit("en")
+    many = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), doc.alias("lang"))
+    many = many.unionByName(spark.range(100_000).select(F.lit(8).cast("long").alias("doc_id"), F.lit("das haus").alias("text"), F.lit("de").alias("lang")))
+    many = many.unionByName(spark.range(50_000).select(F.lit(9).cast("long").alias("doc_id"), text.alias("text"), doc.alias("lang")))
+    labels = spark.createDataFrame([(8, 1, 1), (9, 0, 0), (9, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = labelled_sample(many, labels, "toxic", modulus=3, held_out=1, per_class=40, max_chars=1000)
+    assert sorted(y for _, y in got) == [0] * 40 + [1]
+    sizes = []
+    train, L.train = L.train, lambda rows, counts=None: sizes.append((len(rows), counts)) or train(rows, counts)
+    try:
+        model = L.fit(many, per_language=60)
+    finally:
+        L.train = train
+    assert sizes == [(61, {"en": 150_000, "de": 100_000})] and model.languages == ["de", "en"]
+
+
+def test_many_languages():
+    """No language is left out; the matrix stays within its bytes."""
+    rows = [(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", f"l{i:04}") for i in range(1500)]
+    model = L.train(rows)
+    assert len(model.languages) == 1500 and model.log_p.nbytes <= L.MATRIX_BYTES
+    got, _ = L.predict(WordRows(model.rows, 64), model, pa.array([rows[i][0] for i in (0, 700, 1499)]))
+    assert got == ["l0000", "l0700", "l1499"]

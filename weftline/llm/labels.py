@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 from pyspark.sql import DataFrame
@@ -9,25 +10,35 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id
 
+#: Words between ASCII white space: the same in fitting as where texts are scored.
+words_of = re.compile(r"[^\x20\x09-\x0D]+").findall
+
 
 def fold(doc_id: object, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 
 
+def chosen_texts(texts: DataFrame, chosen: DataFrame, target: str) -> list[tuple[str, object]]:
+    """(text, target) of the rows whose hash is chosen, from (h, text) and a bounded (h, target). Repeated rows count once."""
+    found = texts.join(F.broadcast(chosen), "h").dropDuplicates(["h", target]).collect()
+    return [(r.text, r[target]) for r in sorted(found, key=lambda r: (r.h, r.text, str(r[target])))]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, *, modulus: int, held_out: int, per_class: int, max_chars: int) -> list[tuple[str, int]]:
     """At most ``per_class`` (text, label) rows of each label, none of them held out.
 
-    The rows with the least hash of their id are taken: the same rows at every run. The labels choose the ids, so
-    the texts of other documents are never gathered. Only documents of ``max_chars`` characters or fewer are taken,
-    whole: this bounds what the fit holds in the driver. Scoring reads every text whole.
+    Of the documents of ``max_chars`` characters or fewer that have a label, those with the least hash of id and text
+    are taken, whole: the same rows at every run. This bounds what the fit holds in the driver, by rows and by
+    characters, whatever ids repeat. Rows without id have no label, an id with both labels counts as 1. Only hashes
+    are joined with the labels; the chosen ones then pick their texts. Scoring reads every text whole.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & (F.pmod(crc32_of_id(), F.lit(modulus)) != held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y"))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    order = F.xxhash64("doc_id").alias("o")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
+    texts = texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
+    hashed = texts.select("doc_id", "h").join(known, "doc_id").select("y", "h")
     chosen = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class)
+        part = hashed.where(F.col("y") == y).distinct().orderBy("h").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    return chosen_texts(texts.select("h", "text"), chosen, "y")

@@ -2,14 +2,17 @@
 
 A word's grams are the runs of one to four characters of its lower-cased letters between end marks, hashed to
 ``BUCKETS``. Training counts grams by language and keeps smoothed log-probabilities, a (buckets x languages)
-matrix that is broadcast; its size is fixed by ``BUCKETS`` and ``most_languages``. Scoring is a sparse product:
-each distinct word's row of sums is found once a worker, and a document adds its words' rows.
+matrix that is broadcast. Every language of the training rows is learned; where there are so many that the matrix
+would pass ``MATRIX_BYTES`` (1,024 languages), it has fewer buckets. Scoring is a sparse product: each distinct word's
+row of sums is found once a worker, and a document adds its words' rows.
 
-Bounds: ``per_language`` training documents of each language, those with the least hash of their id, of
-``max_chars`` characters at most. The commonest ``most_languages`` are learned. Texts are scored whole.
+Bounds: ``per_language`` training documents of each language, fewer if there are more than ``most_rows`` of them
+together, those with the least hash of id and text, of ``max_chars`` characters at most; repeated rows count once.
+Texts are scored whole.
 
 Edge cases: null and letterless texts are ``und`` with score 1; with nothing to learn from all texts are ``und``.
-The score is the posterior of the predicted language; ties go to the first language in order.
+The score is the posterior of the predicted language; ties go to the first language in order. Rows without id are
+training rows like others; of rows of a repeated id each is scored.
 """
 
 from __future__ import annotations
@@ -21,21 +24,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import crc32_of_id, fresh, table
 from .hashnumbers import WordRows, kept_rows
+from .labels import chosen_texts, words_of
 from .toxicity import letters
 from .wordhash import WHITESPACE_WORDS, chunks, split_words
 
 BUCKETS, LONGEST_GRAM = 1 << 17, 4
-PER_LANGUAGE, MAX_CHARS, MOST_LANGUAGES = 1500, 20_000, 256
+PER_LANGUAGE, MAX_CHARS, MOST_ROWS, MATRIX_BYTES = 1500, 20_000, 30_000, 1 << 29
 HELD_MODULUS, HELD_OUT = 4, 2
 
 
-def gram_buckets(clean: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+def gram_buckets(clean: Sequence[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word) of all grams."""
     size = np.fromiter((len(w) + 2 for w in clean), np.int64, len(clean))
     flat = np.frombuffer("".join(f"^{w}$" for w in clean).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
@@ -46,7 +50,7 @@ def gram_buckets(clean: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     for n in range(1, LONGEST_GRAM + 1):
         key = key[: len(flat) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + flat[n - 1 :] + np.uint64(n)
         ok = left[: len(key)] >= n
-        out.append((((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(47)).astype(np.int64)[ok] % BUCKETS)
+        out.append((((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(47)).astype(np.int64)[ok] % buckets)
         words.append(owner[: len(key)][ok])
     return np.concatenate(out), np.concatenate(words)
 
@@ -65,7 +69,7 @@ class Model:
         out[have, 0] = 1
         for a in range(0, len(have), 8192):
             at = have[a : a + 8192]
-            bucket, word = gram_buckets([clean[i] for i in at])
+            bucket, word = gram_buckets([clean[i] for i in at], len(self.log_p))
             for k in range(len(self.languages)):
                 out[at, k + 1] = np.bincount(word, self.log_p[bucket, k], minlength=len(at))
         return out
@@ -74,15 +78,18 @@ class Model:
 def train(rows: Sequence[tuple[str, str]], counts: dict[str, int] | None = None) -> Model:
     languages = sorted({lang for _, lang in rows})
     total = np.array([(counts or Counter(lang for _, lang in rows))[x] for x in languages], float)
-    seen = np.full((BUCKETS, len(languages)), 0.05)
+    buckets = BUCKETS
+    while buckets * len(languages) * 4 > MATRIX_BYTES:
+        buckets //= 2
+    seen = np.full((buckets, len(languages)), 0.05, np.float32)
     for k, lang in enumerate(languages):
-        words = Counter(w for t, x in rows if x == lang for w in map(letters, t.split()) if w)
+        words = Counter(w for t, x in rows if x == lang for w in map(letters, words_of(t)) if w)
         known = list(words)
         n = np.fromiter(words.values(), float, len(known))
         for a in range(0, len(known), 8192):
-            bucket, word = gram_buckets(known[a : a + 8192])
-            seen[:, k] += np.bincount(bucket, n[a + word], minlength=BUCKETS)
-    return Model(languages, np.log(total / total.sum()) if len(languages) else total, np.log(seen / seen.sum(axis=0)))
+            bucket, word = gram_buckets(known[a : a + 8192], buckets)
+            seen[:, k] += np.bincount(bucket, n[a + word], minlength=buckets)
+    return Model(languages, np.log(total / total.sum()) if len(languages) else total, np.log(seen / seen.sum(axis=0, dtype=np.float64)).astype(np.float32))
 
 
 def predict(store: WordRows, model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -105,22 +112,21 @@ def predict(store: WordRows, model: Model, texts: pa.Array) -> tuple[list[str],
     return lang, score
 
 
-def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS, most_languages: int = MOST_LANGUAGES) -> Model:
+def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS, most_rows: int = MOST_ROWS) -> Model:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where((F.length("text") <= max_chars) & F.col("lang").isNotNull() & (F.pmod(crc32_of_id(), F.lit(HELD_MODULUS)) != HELD_OUT))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
-    if not counts:
+    hashed = known.select("lang", F.xxhash64("doc_id", "text").alias("h"))
+    found = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("different")).collect()
+    if not found:
         return train([])
-    part = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / n))])
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.withColumn("o", order).where(F.col("o") < F.element_at(part, F.col("lang"))).select("o", "doc_id", "lang", "text").collect()
-    taken: Counter[str] = Counter()
-    chosen = []
-    for r in sorted(rows, key=lambda r: (r.o, str(r.doc_id), r.text)):
-        if taken[r.lang] < per_language:
-            taken[r.lang] += 1
-            chosen.append((r.text, r.lang))
-    return train(chosen, counts)
+    most = max(1, min(per_language, most_rows // len(found)))
+    # About twice as many hashes as wanted pass the first filter, whatever the table's size; equal rows have one hash.
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 2.0 * most / r.different)) for r in found], "lang string, share double")
+    low = hashed.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    chosen = low.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= most).select("lang", "h")
+    texts = known.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    return train(chosen_texts(texts, chosen, "lang"), {r.lang: r.n for r in found})
 
 
 def with_language(docs: DataFrame, model: Model, *, text_col: str = "text") -> tuple[DataFrame, str, str]:

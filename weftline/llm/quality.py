@@ -12,7 +12,7 @@ Bounds: ``per_class`` labelled documents of each label, of ``max_chars`` charact
 words with context vectors (fixed by the model's size, which is broadcast). Texts are scored whole.
 
 Edge cases: null and empty texts have zero vectors and no words and get the score that the network gives those;
-with only one label in the sample the score is that label's share.
+with only one label in the sample the score is that label's share; of rows of a repeated id each is scored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc32_of_id, fresh, table
 from .hashnumbers import WordRows, kept_rows
-from .labels import labelled_sample
+from .labels import labelled_sample, words_of
 from .wordhash import WHITESPACE_WORDS, chunks, split_words
 
 DIMENSIONS, NONZERO, REACH, VOCABULARY = 64, 6, 2, 40_000
@@ -46,7 +46,7 @@ def shape(word: str) -> str:
     if word.isalpha():
         return "A" if word.isupper() and len(word) > 1 else "Aa" if word[0].isupper() else "a"
     out = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
-    return re.sub(r"(.)\1+", r"\1\1", re.sub(r"\d+", "9", out))[:12]
+    return re.sub(r"(.)\1+", r"\1\1", re.sub(r"\d+", "9", out))
 
 
 def index_vectors(words: Sequence[str]) -> np.ndarray:
@@ -116,7 +116,7 @@ def pool(store: WordRows, texts: pa.Array) -> np.ndarray:
 
 
 def _contexts(texts: Sequence[str]) -> tuple[dict[str, int], np.ndarray, dict[str, np.ndarray]]:
-    counts = Counter(w for t in texts for w in t.split())
+    counts = Counter(w for t in texts for w in words_of(t))
     known = sorted(counts, key=lambda w: (-counts[w], w))[:VOCABULARY]
     numbers = {w: i for i, w in enumerate(known)}
     index = index_vectors(known) + index_vectors([f"\0{shape(w)}" for w in known])
@@ -124,7 +124,7 @@ def _contexts(texts: Sequence[str]) -> tuple[dict[str, int], np.ndarray, dict[st
     rest = dict(zip(forms, index_vectors([f"\0{s}" for s in forms]), strict=True))
     context = np.zeros((len(known), DIMENSIONS))
     for t in texts:
-        words = t.split()
+        words = words_of(t)
         at = np.fromiter((numbers.get(w, -1) for w in words), np.int64, len(words))
         own = np.array([index[k] if k >= 0 else rest[shape(w)] for w, k in zip(words, at, strict=True)]).reshape(-1, DIMENSIONS)
         around = np.zeros_like(own)

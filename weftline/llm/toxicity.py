@@ -11,13 +11,19 @@ table look-ups, and gives exactly the machine's value.
 Training. Labels are of documents, so sentences are learned as bags of units: units of clean documents are
 negative; positive are the units that a likelihood-ratio test finds in toxic documents, and of the toxic documents
 without one the unit that scores best. These choices and the machine improve each other for a few rounds, in which
-the worst clean units join the negatives and the landmarks. Positive units are also trained with a character inserted. A document
-scores as its worst unit, through a logistic fit on the documents; copies count once in the test.
+the worst clean units join the negatives and the landmarks. Positive units are also trained with a character inserted. Copies count once in the test. The test also finds beginnings that toxic documents have in several words and clean
+ones in one word by chance: units with these are positive for a second machine. A document scores by its worst unit
+and by the ``SEVERAL``-th of its distinct units as the second machine orders them, each through a logistic fit on the
+documents; the greater of the two probabilities is its score.
 
-Bounds: ``per_class`` labelled documents of each label, of ``max_chars`` characters at most.
+A unit has at most ``LONGEST`` letters: of a longer word or run all windows of that length, half a length apart, and
+its end are units, in training as in scoring.
 
-Edge cases: null, empty and letterless texts score as a document whose worst unit is empty; words longer than
-``LONGEST`` letters are scored in overlapping pieces; with no toxic or no clean label nothing is toxic.
+Bounds: ``per_class`` labelled documents of each label, of ``max_chars`` characters at most; ``negatives`` clean units
+by a hash, and the ``hardest`` that a round's machine gives the most to, join the machine's rows.
+
+Edge cases: null, empty and letterless texts score as a document whose worst unit is empty; with no toxic or no clean
+label nothing is toxic; of rows of a repeated id each is scored.
 """
 
 from __future__ import annotations
@@ -36,15 +42,16 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc32_of_id, fresh, table
 from .hashnumbers import WordRows, kept_rows
-from .labels import labelled_sample
+from .labels import labelled_sample, words_of
 from .wordhash import WHITESPACE_WORDS, Words, chunks, split_words
 
 SPAN, DECAY, LONGEST = 7, 0.7, 22
-LANDMARKS = 192
+LANDMARKS, NEGATIVES, HARDEST = 192, 20_000, 4000
 PER_CLASS, MAX_CHARS = 2500, 20_000
 HELD_MODULUS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 STORED_WORDS = 1 << 19
+SEVERAL = 3
 #: Words between white space, ASCII capitals as small letters, which a unit has anyway.
 LOWER_WORDS = (WHITESPACE_WORDS[0], np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8))
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -62,7 +69,7 @@ def letters(word: str) -> str:
 
 def units(text: str) -> list[str]:
     """The words of a text, with runs of three or more single letters joined."""
-    words = text.split()
+    words = words_of(text)
     size = np.fromiter(map(len, words), np.int64, len(words))
     single = np.concatenate([[0], (size == 1).astype(np.int8), [0]])
     if single.any():
@@ -73,17 +80,10 @@ def units(text: str) -> list[str]:
     return words
 
 
-def _pieces(clean: Sequence[str]) -> tuple[list[str], np.ndarray]:
-    out, owner = [], []
-    for i, w in enumerate(clean):
-        if len(w) <= LONGEST:
-            out.append(w)
-            owner.append(i)
-        else:
-            for a in range(0, len(w) - LONGEST // 2, LONGEST // 2):
-                out.append(w[a : a + LONGEST])
-                owner.append(i)
-    return out, np.array(owner, np.int64)
+def windows(clean: str) -> list[str]:
+    """The units of a word's letters."""
+    n, half = len(clean), LONGEST // 2
+    return [clean] if n <= LONGEST else [*(clean[a : a + LONGEST] for a in range(0, n - LONGEST, half)), clean[-LONGEST:]]
 
 
 def triples(clean: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,38 +126,47 @@ def _norms(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    """Two machines, a column each: for the worst unit, and for the units of which a document must have several."""
+
     weight: np.ndarray  # of each triple
-    bias: float
-    a: float = 1.0
-    b: float = 0.0
+    bias: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
 
     def margins(self, words: Sequence[str]) -> np.ndarray:
-        """The machine's value of each word as it stands in a text."""
-        clean, back = {}, np.empty(len(words), np.int64)
+        """The machines' values of each word as it stands in a text: of its best unit."""
+        known: dict[str, int] = {}
+        at, owner = [], []
         for i, w in enumerate(words):
-            back[i] = clean.setdefault(letters(w), len(clean))
-        pieces, owner = _pieces(list(clean))
-        got = np.empty(len(pieces))
-        order = np.argsort([len(p) for p in pieces], kind="stable")
+            for unit in windows(letters(w)):
+                at.append(known.setdefault(unit, len(known)))
+                owner.append(i)
+        every, got = list(known), np.empty((len(known), 2))
+        order = np.argsort([len(u) for u in every], kind="stable")
         for x in range(0, len(order), 4096):
-            at = order[x : x + 4096]
-            got[at] = self._values([pieces[i] for i in at])
-        out = np.full(len(clean), -np.inf)
-        np.maximum.at(out, owner, got)
-        return out[back]
+            some = order[x : x + 4096]
+            got[some] = self.values([every[i] for i in some])
+        out = np.full((len(words), 2), -np.inf)
+        np.maximum.at(out, owner, got[at])
+        return out
 
-    def _values(self, clean: Sequence[str]) -> np.ndarray:
+    def values(self, clean: Sequence[str]) -> np.ndarray:
         keys, weights = triples(clean)
         w = weights.astype(np.float32)[keys & 7]
         w[keys < 0] = 0
-        sums = np.einsum("ij,ij->i", self.weight.astype(np.float32)[keys >> 3], w)
-        return sums / np.maximum(_norms(keys, weights), 1e-12) + self.bias
+        table, at = self.weight.astype(np.float32), keys >> 3
+        sums = np.stack([np.einsum("ij,ij->i", table[:, k][at], w) for k in (0, 1)], axis=1)
+        return sums / np.maximum(_norms(keys, weights), 1e-12)[:, None] + self.bias
 
-    def empty(self) -> float:
-        return float(self._values([""])[0])
+    def empty(self) -> np.ndarray:
+        return self.values([""])[0]
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.a * np.clip(margin, -1.5, 1.5) + self.b, -30, 30)))
+        return (1.0 / (1.0 + np.exp(-np.clip(self.a * np.clip(margin, -1.5, 1.5) + self.b, -30, 30)))).max(axis=-1)
+
+
+#: Nothing is toxic.
+NOTHING = Model(np.zeros((1 << 18, 2)), np.full(2, -1.0), np.ones(2), np.full(2, -5.0))
 
 
 class _Landmarks:
@@ -248,12 +257,18 @@ def _beginnings(w: str, longest: int = 8) -> set[str]:
 
 
 def _telling(bags: list[tuple[list[str], int]]) -> set[str]:
-    """Words (``^word$``) and beginnings of longer words (``^wor``) that toxic documents have far oftener than clean ones.
+    """Words (``^word$``), beginnings of longer words (``^wor``) and beginnings that several words of a document have
+    (``2^wor``) that toxic documents have far oftener than clean ones.
 
     The test is a likelihood ratio with as many hypotheses as there are candidates.
     """
     def marks(b: list[str]) -> set[str]:
-        return {f"^{w}$" for w in b}.union(*map(_beginnings, b))
+        first, more = {f"^{w}$" for w in b}, set()
+        for w in b:
+            own = _beginnings(w)
+            more.update(f"2{m}" for m in own & first)
+            first |= own
+        return first | more
 
     seen: dict[str, int] = {}
     for b, y in bags:
@@ -267,10 +282,9 @@ def _telling(bags: list[tuple[list[str], int]]) -> set[str]:
     clean = dict.fromkeys(seen, 0)
     for b, y in bags:
         if not y:
-            for m in marks(b):
-                if m in clean:
-                    clean[m] += 1
-    words: dict[str, dict[str, int]] = {m: {} for m in seen if m[-1] != "$"}
+            for m in marks(b) & clean.keys():
+                clean[m] += 1
+    words: dict[str, dict[str, int]] = {m.lstrip("2"): {} for m in seen if m[-1] != "$"}
     for b, y in bags:
         if y:
             for w in b:
@@ -278,89 +292,127 @@ def _telling(bags: list[tuple[list[str], int]]) -> set[str]:
                     words[m][w] = words[m].get(w, 0) + 1
     out = set()
     for m, n in seen.items():
-        if m in words and (len(words[m]) < 4 or max(words[m].values()) > 0.5 * sum(words[m].values())):
+        of = words.get(m.lstrip("2"))
+        if of is not None and (len(of) < 4 or max(of.values()) > 0.5 * sum(of.values())):
             continue  # a beginning must tell by several words, not by one
         c, both = clean[m], n + clean[m]
         gain = n * np.log(n / (both * share)) + (c * np.log(c / (both * (1 - share))) if c else 0.0)
-        if n / both > max(0.85, share) and gain > need:
+        if n / both > max(0.75 if m[0] == "2" else 0.85, share) and gain > need:
             out.add(m)
     return out
 
 
-def train(rows: Sequence[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4) -> Model:
-    bags = _distinct([(sorted({w for w in map(letters, units(t)) if len(w) >= 2}), y) for t, y in rows])
-    toxic = [b for b, y in bags if y and b]
-    strong = _telling(bags)
-    clean: dict[str, int] = {}
-    seen: dict[str, int] = {}
-    for b, y in bags:
-        to = seen if y else clean
-        for w in b:
-            to[w] = to.get(w, 0) + 1
+@dataclass
+class _Sizes:
+    landmarks: int
+    rounds: int
+    negatives: int
+    hardest: int
 
-    def is_strong(w: str) -> bool:
-        if f"^{w}$" in strong:
-            return True
-        n, c = seen.get(w, 0), clean.get(w, 0)
-        return (c < 2 or n > 3 * c) and not strong.isdisjoint(_beginnings(w))
 
-    clean = {w: n for w, n in clean.items() if not is_strong(w)}
-    if not toxic or not clean:
-        return Model(np.zeros(1 << 18), -1.0, 1.0, -5.0)
-    told = {w: n for w, n in seen.items() if w not in clean and is_strong(w)}
-    if not told:  # too few labels for the test: the words that most toxic documents share
-        rest = {w: n for w, n in seen.items() if w not in clean} or seen
-        told = {w: n for w, n in rest.items() if n == max(rest.values())}
-    negatives = sorted(clean, key=lambda w: (hash_of(w), w))[:20_000]
+def _machine(told: dict[str, int], seen: dict[str, int], clean: dict[str, int], toxic: list[list[str]], sizes: _Sizes) -> tuple[np.ndarray, float]:
+    """Weights of triples and bias: told units against clean ones, with more of both by what each round's machine says."""
+    landmarks = sizes.landmarks
+    below = sorted(clean, key=lambda w: (hash_of(w), w))[: sizes.negatives]
     common = sorted(clean, key=lambda w: (-clean[w], w))[: landmarks // 6]
     telling = sorted(told, key=lambda w: (-told[w], w))[: landmarks // 2]
     hard: list[str] = []
-    every = sorted(clean)
-    model, more = Model(np.zeros(1 << 18), 0.0), {}
-    for r in range(rounds):
-        marks = _Landmarks(list(dict.fromkeys([*telling, *common, *hard, *negatives]))[:landmarks])
+    every, more = sorted(clean), {}
+    for r in range(sizes.rounds):
+        marks = _Landmarks(list(dict.fromkeys([*telling, *common, *hard, *below]))[:landmarks])
         positive = told | more
         own = sorted(positive)
         near = [_inserted(w, hash_of(w) % 9973 + i) for w in own if len(w) >= 4 for i in range(2)]
-        x = marks.features([*own, *near, *negatives])
-        y = np.concatenate([np.ones(len(own) + len(near)), -np.ones(len(negatives))])
-        cost = np.concatenate([[min(positive[w], 10.0) for w in own], np.full(len(near), 2.0), np.ones(len(negatives))])
+        x = marks.features([*own, *near, *below])
+        y = np.concatenate([np.ones(len(own) + len(near)), -np.ones(len(below))])
+        cost = np.concatenate([[min(positive[w], 10.0) for w in own], np.full(len(near), 2.0), np.ones(len(below))])
         up = y > 0
         cost[up] *= 0.5 * cost[~up].sum() / cost[up].sum()
         machine, bias = _svm(x, y, cost * 10)
-        model = Model(marks.weights(machine), bias)
-        if r + 1 < rounds:
-            value = dict(zip(seen, model.margins(list(seen)), strict=True))
+        weight = marks.weights(machine)
+        if r + 1 < sizes.rounds:
+            model = Model(np.stack([weight, weight], axis=1), np.array([bias, bias]), np.ones(2), np.zeros(2))
+            value = dict(zip(seen, model.margins(list(seen))[:, 0], strict=True))
             more = {}
             for b in toxic:  # bags that nothing explains yet give their likeliest unit
                 if not any(w in told for w in b):
                     top = max(b, key=lambda w: (value[w], w))
                     if value[top] >= 0.5 and top not in clean:
                         more[top] = seen[top]
-            worst = np.argsort(-model.margins(every), kind="stable")[:4000]
+            worst = np.argsort(-model.margins(every)[:, 0], kind="stable")[: sizes.hardest]
             hard = list(dict.fromkeys([*(every[i] for i in worst[: landmarks // 6]), *hard]))[: landmarks // 3]
-            negatives = list(dict.fromkeys([*negatives, *(every[i] for i in worst)]))
+            below = list(dict.fromkeys([*below, *(every[i] for i in worst)]))
+    return weight, bias
+
+
+def train(rows: Sequence[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4, *, negatives: int = NEGATIVES, hardest: int = HARDEST) -> Model:
+    bags = _distinct([(sorted({w for x in units(t) for w in windows(letters(x)) if len(w) >= 2}), y) for t, y in rows])
+    toxic = [b for b, y in bags if y and b]
+    strong = _telling(bags)
+    counted: dict[str, int] = {}
+    seen: dict[str, int] = {}
+    for b, y in bags:
+        to = seen if y else counted
+        for w in b:
+            to[w] = to.get(w, 0) + 1
+
+    def is_strong(w: str) -> bool:
+        if f"^{w}$" in strong:
+            return True
+        n, c = seen.get(w, 0), counted.get(w, 0)
+        return (c < 2 or n > 3 * c) and not strong.isdisjoint(_beginnings(w))
+
+    def is_one_of_several(w: str) -> bool:
+        return not strong.isdisjoint({f"2{m}" for m in _beginnings(w)})
+
+    clean = {w: n for w, n in counted.items() if not is_strong(w)}
+    if not toxic or not clean:
+        return NOTHING
+    told = {w: n for w, n in seen.items() if w not in clean and is_strong(w)}
+    if not told:  # too few labels for the test: the words that most toxic documents share
+        rest = {w: n for w, n in seen.items() if w not in clean} or seen
+        told = {w: n for w, n in rest.items() if n == max(rest.values())}
+    first = _machine(told, seen, clean, toxic, _Sizes(landmarks, rounds, negatives, hardest))
+    second = np.zeros(1 << 18), -1.0
+    several = {w: n for w, n in seen.items() if is_one_of_several(w)}
+    if several:
+        rest = {w: n for w, n in clean.items() if not is_one_of_several(w)}
+        second = _machine(told | several, seen, rest, toxic, _Sizes(landmarks, 2, negatives, hardest))
+    model = Model(np.stack([first[0], second[0]], axis=1), np.array([first[1], second[1]]), np.ones(2), np.full(2, -5.0))
     top = worst_units(WordRows(model.margins), model, pa.array([t for t, _ in rows], pa.string()))
-    model.a, model.b = _logistic(np.clip(top, -1.5, 1.5), np.array([y for _, y in rows], float))
+    y = np.array([y for _, y in rows], float)
+    for k in range(1 + bool(several)):
+        model.a[k], model.b[k] = _logistic(np.clip(top[:, k], -1.5, 1.5), y)
     return model
 
 
 def worst_units(store: WordRows, model: Model, texts: pa.Array) -> np.ndarray:
-    """The machine's value of each text's worst unit."""
-    out = np.full(len(texts), model.empty())
+    """For each text the first machine's value of its worst unit, and the second's of the ``SEVERAL``-th worst distinct one."""
+    out = np.tile(model.empty(), (len(texts), 1))
     for a, b in chunks(texts):
         words = split_words(texts.slice(a, b - a), LOWER_WORDS)
         at = store.look_up(words)
-        full = np.flatnonzero(words.counts)
-        if len(full):
-            out[a + full] = np.maximum(out[a + full], np.maximum.reduceat(store.rows[at], words.first[full]))
-        for d, unit in spelled_units(words):
-            out[a + d] = max(out[a + d], float(model.margins([unit]).max()))
+        doc, own = words.doc, store.rows[at]
+        spelled = list(spelled_units(words))
+        if spelled:
+            known: dict[str, int] = {}
+            number = np.array([known.setdefault(u, len(known)) for _, u in spelled])
+            doc = np.concatenate([doc, [d for d, _ in spelled]])
+            at = np.concatenate([at, number + int(at.max()) + 1])
+            own = np.concatenate([own, model.margins(list(known))[number]])
+        if len(doc):
+            np.maximum.at(out[:, 0], a + doc, own[:, 0])
+            hit = np.flatnonzero(own[:, 1] > out[0, 1] if len(out) else [])  # the others count as the empty unit
+            hit = hit[np.unique(doc[hit] * (int(at.max()) + 1) + at[hit], return_index=True)[1]]
+            hit = hit[np.lexsort((-own[hit, 1], doc[hit]))]
+            place = np.arange(len(hit)) - np.searchsorted(doc[hit], doc[hit])
+            third = hit[place == SEVERAL - 1]
+            out[a + doc[third], 1] = own[third, 1]
     return out
 
 
 def spelled_units(words: Words) -> Iterator[tuple[int, str]]:
-    """(text, letters) of runs of three or more single letters; of a run of one letter again and again only a part."""
+    """(text, letters) of runs of three or more single letters."""
     # A letter is one code point: bytes that don't continue one are counted.
     leads = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
     single = leads[words.end] - leads[words.start] == 1
@@ -371,9 +423,7 @@ def spelled_units(words: Words) -> Iterator[tuple[int, str]]:
         for d in range(int(words.doc[x]), int(words.doc[y - 1]) + 1):
             i, j = max(x, int(words.first[d])), min(y, int(words.first[d + 1]))
             if j - i >= 3:
-                run = np.array([words.data[a:b].tobytes().decode() for a, b in zip(words.start[i:j].tolist(), words.end[i:j].tolist(), strict=True)])
-                run = run[np.append(True, run[1:] != run[:-1])] if len(run) > LONGEST and (run == run[0]).mean() > 0.9 else run
-                yield d, "".join(run.tolist())
+                yield d, "".join([words.data[a:b].tobytes().decode() for a, b in zip(words.start[i:j].tolist(), words.end[i:j].tolist(), strict=True)])
 
 
 def score_texts(store: WordRows, model: Model, texts: pa.Array) -> np.ndarray:
