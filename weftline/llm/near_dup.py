@@ -7,11 +7,9 @@ similarity of 0.8 a band is shared with probability 0.8 ** 4 = 0.41, one of 20 b
 
 Candidates. Equal texts are one class from the start and go on as one row. In the bucket of a key, members aren't
 paired with each other: each is paired with the bucket's centre, the member that meets most others over all its
-buckets (an original among its edited copies). Buckets in which a pair fails are dealt again, by their key and
-each other band's key; whoever failed is paired with the centre of each finer bucket and with ``DRAWN`` members that
-a hash draws: a text that is like it shares many finer buckets with it. Pairs already tried aren't tried again.
+buckets (an original among its edited copies).
 
-Rest. What these rounds leave in a bucket as two components or more is joined exactly, whatever its bands: texts whose
+Rest. What the centres leave in a bucket as two components or more is joined exactly, whatever its bands: texts whose
 multisets have a Jaccard similarity of ``SIMILARITY`` share one of their rarest shingles (prefix filter; the shorter
 text needs fewer of them), and its place bounds what they can have in common. All pairs of different components that
 pass are verified, so no text that shares a bucket with one like it stays apart. Any order of the shingles gives the
@@ -20,8 +18,8 @@ before this step grow with the members; here they can grow with the square of a
 shingles and yet differ.
 
 Verification. A pair is a link if the multisets of shingles have a Jaccard similarity of ``SIMILARITY`` or more,
-and a banded alignment of the word sequences matches that share of their words in order (2 x matches / words of
-both). Classes are the connected components of the links.
+and a banded alignment of the word sequences, as 32-bit hashes of words, matches that share of their words in order
+(2 x matches / words of both). Classes are the connected components of the links.
 
 Plan. Documents give (id, text digest, keys); only the texts of bucket members are joined back. Counts, centres
 and classes are partial aggregates and joins, which adaptive execution splits at hot keys.
@@ -46,8 +44,6 @@ from .components import components
 from .wordhash import ALNUM_WORDS, chunks, kgram, mix, split_words
 
 K, MINIMA, BANDS, SIMILARITY = 5, 4, 20, 0.8
-#: Members of a finer bucket that whoever failed to meet a centre is tried against, beside its centre.
-DRAWN = 3
 #: Cells in which shingles are counted for the order of prefixes.
 CELL_BITS = 18
 CELLS = 1 << CELL_BITS
@@ -283,37 +279,16 @@ def near_dup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return components(pairs.where("ok").select(F.col("cid").alias("a"), F.col("rep").alias("b")))
 
     ranked = checkpointed(members.join(central.select("cid", "central"), "cid").select("key", "cid", "central"))
-    tried = checkpointed(_star(ranked))
-    first = verified(tried.select("cid", "rep").distinct())
-
-    # Buckets with a pair that failed and that no chain of links joins, dealt again by each other band: whoever failed
-    # there meets the finer buckets' centres and some members drawn by a hash, those of other components.
-    joined = links(first)
-    part = ranked.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "central", F.coalesce("root", "cid").alias("root"))
-    part = checkpointed(part)
-    at = part.select("key", "cid", "root")
-    failed = tried.join(first.where("NOT ok"), ["cid", "rep"]).join(at, ["key", "cid"]).join(at.select("key", F.col("cid").alias("rep"), F.col("root").alias("other_root")), ["key", "rep"])
-    bad = failed.where("root <> other_root").select("key", "cid")
-    again = part.join(bad.select("key").distinct(), "key")
-    others = part.select("cid", F.col("key").alias("other"))
-    finer = again.join(others, "cid").where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "cid", "central", "root").distinct()
-    member = F.struct("cid", "root")
-    drawn = [F.min(F.struct(F.xxhash64("key", "cid", F.lit(n)).alias("h"), member.alias("m")))["m"] for n in range(DRAWN)]
-    reps = finer.groupBy("key").agg(F.array_distinct(F.array(F.max(F.struct("central", member.alias("m")))["m"], *drawn)).alias("reps"), F.min("root").alias("one"), F.max("root").alias("two"))
-    alone = finer.join(bad.select("cid").distinct(), "cid", "left_semi").join(reps.where("one <> two"), "key")
-    pairs = alone.select("cid", F.explode(F.filter("reps", lambda r: r["root"] != F.col("root"))["cid"]).alias("rep")).distinct()
-    pairs = pairs.join(first, ["cid", "rep"], "left_anti")
-    second = verified(pairs)
+    first = verified(_star(ranked).select("cid", "rep").distinct())
 
     # Buckets that still hold two components: all of their texts that can be similar are compared.
-    tried = first.unionByName(second)
-    roots = links(tried).withColumnRenamed("node", "cid")
+    roots = links(first).withColumnRenamed("node", "cid")
     part = checkpointed(ranked.join(roots, "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root")))
     torn = checkpointed(part.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key"))
     apart = part.join(torn, "key").select("cid", "root").distinct()
-    known = tried.select("cid", "rep").unionByName(tried.select(F.col("rep").alias("cid"), F.col("cid").alias("rep")))
-    third = verified(_rest(checkpointed(apart.join(words, "cid"))).join(known, ["cid", "rep"], "left_anti"))
-    root = links(tried.unionByName(third))
+    known = first.select("cid", "rep").unionByName(first.select(F.col("rep").alias("cid"), F.col("cid").alias("rep")))
+    second = verified(_rest(checkpointed(apart.join(words, "cid"))).join(known, ["cid", "rep"], "left_anti"))
+    root = links(first.unionByName(second))
 
     named = rows.select("doc_id", "cid").join(root, F.col("cid") == F.col("node"), "left")
     named = named.select("doc_id", "cid", F.coalesce("root", "cid").alias("root"))
