@@ -96,15 +96,31 @@ def test_decontaminate(spark):
     items = [(1, data[0][1]), (2, " ".join(data[3][1].split()[:12]).upper()), (3, "two words"), (4, None), (5, "..."), (2, "a a"), (None, data[6][1]), (30, data[6][1])]
     data += [(950, "x two, WORDS y", "en", "s", 0)]
     bench = clashing(spark.createDataFrame(items, "item_id long, text string"))
-    for block in (1, 1 << 20):
-        got = D.decontaminate(clashing(table(spark, data)), bench, block_words=block).collect()
-        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in got) == sorted(slow_hits(data, items))
+    df, want = clashing(table(spark, [*data, data[0]])), slow_hits([*data, data[0]], items)
+    for most in (400, 1 << 20):  # many blocks, one block
+        got = D.decontaminate(df, bench, broadcast_chars=most).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in got) == sorted(want)
         assert all(sum(s.words for s in r.spans) == r.n_hit for r in got)
+        kept = D.without_benchmark(df, bench, broadcast_chars=most)
+        assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(r[0] for r in want if not r[-1])
+        assert D.without_benchmark(df.limit(0), bench, broadcast_chars=most).count() == 0
     empty = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in D.decontaminate(table(spark, data), empty).collect())
+    assert D.without_benchmark(df, empty).count() == len(data) + 1
     assert D.decontaminate(table(spark, []), bench).count() == 0
 
 
+def test_benchmark_segments_hold_every_window(spark):
+    """A long item is dealt in pieces; blocks stay near their size."""
+    rng = np.random.default_rng(3)
+    text = " ".join(rng.choice(["\n", "\t", " "]) + f"w{x}" for x in rng.integers(0, 10_000, 3000))
+    items = spark.createDataFrame([(1, text), (1, text), (2, "\n".join("ab" for _ in range(500)))], "item_id long, text string")
+    blocks = list(D._blocks(items, "item_id", "text", 10, 5, 3000))
+    assert len(blocks) > 5 and max(len(b.data) for b in blocks) < 6000
+    whole = D.make_block([("1", text), ("2", "ab " * 500)])
+    assert {x for b in blocks for x in b.by_size[10].keys.tolist()} == set(whole.by_size[10].keys.tolist())
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -5,9 +5,11 @@ and item the k-gram hashes are winnowed: of ``window - k + 1`` consecutive k-gra
 that share a window keep a common fingerprint in it. A document's fingerprints are looked up among the
 benchmark's; a hit is extended to the windows around it, and each window is compared word by word.
 
-Plan. The benchmark is read in blocks of at most ``block_words`` words, so no broadcast grows with it: one block
-is one broadcast, and more blocks are more broadcasts of that size, scanned one after the other by the same pass
-over the documents. Documents aren't shuffled. Hashes only propose; words decide.
+Plan. A benchmark of at most ``broadcast_chars`` characters is one broadcast of a few bytes a character, and one pass
+over the documents, without a shuffle. A larger one is dealt to blocks of that size (long items in segments that
+overlap by a window): each block is broadcast, scanned and destroyed before the next, so neither the driver nor a
+worker ever holds more than one; a pass leaves a bit a word of the documents that it hit, and these are joined to the
+documents by id and digest. Hashes only propose; words decide.
 
 Edge cases: null or word-free texts have no words; items without words match nothing; repeated items count once
 for each distinct item id; a null item id marks words but can't be listed; repeated documents each get a row.
@@ -15,8 +17,9 @@ for each distinct item id; a null item id marks words but can't be listed; repea
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import fresh, table
+from .common import checkpointed, fresh, table
 from .wordhash import ALNUM_WORDS, Words, chunks, covered, kgram, split_words
 
 WINDOW, K = 10, 5
-BLOCK_WORDS = 1 << 20
+#: Characters of the benchmark that one broadcast may hold, and words of the longest segment of an item.
+BROADCAST_CHARS, SEGMENT = 1 << 23, 1 << 16
 
 
 def winnow(keys: np.ndarray, w: int) -> np.ndarray:
@@ -45,6 +49,16 @@ def winnow(keys: np.ndarray, w: int) -> np.ndarray:
     return np.unique(at)
 
 
+@dataclass
+class Windows:
+    """Windows of one size in order of their keys: where their texts stand in the block's bytes, and whose they are."""
+
+    keys: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    item: np.ndarray
+
+
 @dataclass
 class Block:
     """Fingerprints and windows of some items, as arrays that go to the executors."""
@@ -52,47 +66,35 @@ class Block:
     window: int
     k: int
     prints: np.ndarray  # sorted fingerprints of windows of full length
-    by_size: dict[int, tuple[np.ndarray, list[list[tuple[bytes, list[str]]]]]] = field(default_factory=dict)
-
-    def look_up(self, size: int, keys: np.ndarray) -> np.ndarray:
-        """For each key the place among the windows of this size, or -1."""
-        known = self.by_size[size][0]
-        i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[i] == keys, i, -1)
-
-
-def _text(words: Words, at: int, size: int) -> bytes:
-    return b" ".join(words.data[words.start[i] : words.end[i]].tobytes() for i in range(at, at + size))
+    ids: list[str | None]
+    data: bytes  # the items' words, joined by one space
+    by_size: dict[int, Windows]
 
 
 def make_block(items: list[tuple[str | None, str | None]], window: int = WINDOW, k: int = K) -> Block:
     words = split_words(pa.array([t for _, t in items], pa.string()), ALNUM_WORDS)
     h = words.hashes()
-    sizes: dict[int, dict[int, dict[bytes, set[str | None]]]] = {}
-    prints = []
-    grams = kgram(h, k)
-    for d, n in enumerate(words.counts.tolist()):
-        if not n:
-            continue
-        a, size = int(words.first[d]), min(n, window)
-        keys = kgram(h[a : a + n], size)
-        if size == window:
-            g = grams[a : a + n - k + 1]
-            prints.append(g[winnow(g, window - k + 1)])
-        for i, key in enumerate(keys.tolist()):
-            sizes.setdefault(size, {}).setdefault(key, {}).setdefault(_text(words, a + i, size), set()).add(items[d][0])
-    by_size = {}
-    for size, found in sizes.items():
-        keys = sorted(found)
-        by_size[size] = (np.array(keys, np.uint64), [[(t, sorted(x for x in ids if x is not None)) for t, ids in found[key].items()] for key in keys])
-    return Block(window, k, np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64), by_size)
-
-
-def _hits(words: Words, h: np.ndarray, block: Block) -> list[tuple[int, int, list[str]]]:
+    grams, counts = kgram(h, k), words.counts
+    prints, sizes = [], {}
+    data = b" ".join(words.data[a:b].tobytes() for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True))
+    begin = np.concatenate([[0], np.cumsum(words.end - words.start + 1)])  # of each word in data
+    for d in np.flatnonzero(counts >= window):
+        g = grams[words.first[d] : words.first[d + 1] - k + 1]
+        prints.append(g[winnow(g, window - k + 1)])
+    for size in sorted({min(int(n), window) for n in counts if n}):
+        own = counts >= window if size == window else counts == size
+        at = np.flatnonzero(own[words.doc] & (words.pos + size <= counts[words.doc]))
+        keys = kgram(h, size)[at]
+        order = np.lexsort((words.doc[at], keys))
+        at, keys = at[order], keys[order]
+        sizes[size] = Windows(keys, begin[at], begin[at + size] - 1, words.doc[at].astype(np.int32))
+    return Block(window, k, np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64), [i for i, _ in items], data, sizes)
+
+
+def _hits(words: Words, h: np.ndarray, block: Block) -> Iterator[tuple[int, int, set[str]]]:
     """(first word, size, items) of the windows of a block that occur in the texts."""
-    out = []
     counts, pos = words.counts[words.doc], words.pos
-    for size in block.by_size:
+    for size, known in block.by_size.items():
         if size == block.window:
             span = block.window - block.k + 1
             grams = kgram(h, block.k)
@@ -113,69 +115,160 @@ def _hits(words: Words, h: np.ndarray, block: Block) -> list[tuple[int, int, lis
                 continue
             starts = np.flatnonzero(pos[: len(keys)] + size <= counts[: len(keys)])
             keys = keys[starts]
-        if not len(starts):
-            continue
-        place = block.look_up(size, keys)
-        for j in np.flatnonzero(place >= 0).tolist():
-            text = _text(words, int(starts[j]), size)
-            for known, ids in block.by_size[size][1][place[j]]:
-                if known == text:
-                    out.append((int(starts[j]), size, ids))
+        low, high = np.searchsorted(known.keys, keys), np.searchsorted(known.keys, keys, side="right")
+        for j in np.flatnonzero(high > low).tolist():
+            a = int(starts[j])
+            text = b" ".join(words.data[words.start[i] : words.end[i]].tobytes() for i in range(a, a + size))
+            same = {block.ids[known.item[i]] for i in range(int(low[j]), int(high[j])) if block.data[known.start[i] : known.end[i]] == text}
+            if same:
+                yield a, size, same
+
+
+def _scan(words: Words, blocks: list[Block]) -> tuple[np.ndarray, dict[int, set[str]]]:
+    """Which words are hit, and the items of each text."""
+    h = words.hashes()
+    starts: dict[int, set[int]] = {}
+    items: dict[int, set[str]] = {}
+    for block in blocks:
+        for at, size, ids in _hits(words, h, block):
+            starts.setdefault(size, set()).add(at)
+            items.setdefault(int(words.doc[at]), set()).update(x for x in ids if x is not None)
+    hit = np.zeros(len(h), dtype=bool)
+    for size, at in starts.items():
+        hit |= covered(len(h), np.array(sorted(at)), size)
+    return hit, items
+
+
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    return rows.where("t IS NOT NULL AND t <> ''")
+
+
+def _segments(items: DataFrame, window: int, segment: int) -> DataFrame:
+    """(i, t) of pieces of at most ``segment`` words, which overlap so that each window of an item is in one."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(batch.column(1)):
+                words = split_words(batch.column(1).slice(a, b - a), ALNUM_WORDS)
+                ids, texts = [], []
+                for d, i in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
+                    x, y = int(words.first[d]), int(words.first[d + 1])
+                    for at in range(x, max(y - window, x) + 1, segment):
+                        to = min(at + segment + window - 1, y)
+                        if to > at:
+                            ids.append(i)
+                            texts.append(words.data[words.start[at] : words.end[to - 1]].tobytes().decode())
+                yield pa.record_batch([pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["i", "t"])
+
+    return items.mapInArrow(cut, "i string, t string")
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, k: int, broadcast_chars: int) -> Iterator[Block]:
+    """Blocks of the benchmark, none much larger than ``broadcast_chars``: one if it is that small."""
+    items = _items(benchmark, id_col, text_col)
+    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    if total <= broadcast_chars:
+        yield make_block([(r.i, r.t) for r in items.collect()], window, k)
+        return
+    n = -(-2 * total // broadcast_chars)
+    parts = _segments(items, window, max(1, min(SEGMENT, broadcast_chars // 64))).dropDuplicates()
+    dealt = checkpointed(parts.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n))))
+    for b in range(n):
+        rows = dealt.where(F.col("b") == b).collect()
+        if rows:
+            yield make_block([(r.i, r.t) for r in rows], window, k)
+
+
+_FOUND = "doc_id long, digest string, bits binary, items array<string>"
+
+
+def _found(texts: DataFrame, blocks: Iterator[Block]) -> DataFrame:
+    """(doc_id, digest, bits, items) of the documents that a block hit: a row for each block. One broadcast at a time."""
+    out, sc = texts.sparkSession.createDataFrame([], _FOUND), texts.sparkSession.sparkContext
+    for block in blocks:
+        sent = sc.broadcast(block)
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b in chunks(batch.column(1)):
+                    words = split_words(batch.column(1).slice(a, b - a), ALNUM_WORDS)
+                    hit, items = _scan(words, [sent.value])
+                    some = np.unique(words.doc[hit])
+                    bits = [np.packbits(hit[words.first[d] : words.first[d + 1]]).tobytes() for d in some]
+                    part = [batch.column(i).slice(a, b - a).take(pa.array(some)) for i in (0, 2)]
+                    yield pa.record_batch([*part, pa.array(bits, pa.binary()), pa.array([sorted(items.get(int(d), ())) for d in some], pa.list_(pa.string()))], ["doc_id", "digest", "bits", "items"])
+
+        out = out.unionByName(checkpointed(texts.mapInArrow(scan, _FOUND)))
+        sent.destroy()
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, k: int, block_words: int) -> Iterator[Block]:
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
-    some, n = [], 0
-    for r in rows.toLocalIterator():
-        some.append((r.i, r.t))
-        n += r.t.count(" ") + 1
-        if n >= block_words:
-            yield make_block(some, window, k)
-            some, n = [], 0
-    if some:
-        yield make_block(some, window, k)
+_VERDICT = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<first:long,words:long>>, contaminated boolean"
+
+
+def _verdicts(ids: pa.Array, words: Words, hit: np.ndarray, items: dict[int, set[str]]) -> pa.RecordBatch:
+    n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])) != 0)
+    spans: list[list[dict]] = [[] for _ in range(len(ids))]
+    for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        while x < y:  # a run may go from one document to the next
+            d = int(words.doc[x])
+            z = min(y, int(words.first[d + 1]))
+            spans[d].append({"first": x - int(words.first[d]), "words": z - x})
+            x = z
+    listed = [sorted(items.get(i, ())) for i in range(len(ids))]
+    return pa.record_batch(
+        [ids, pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in listed], pa.int64()), pa.array(listed, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))), pa.array(n_hit > 0)],
+        ["doc_id", "n_words", "n_hit", "n_items", "items", "spans", "contaminated"],
+    )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """Per row: id, n_words, n_hit, n_items, items (list of ids), spans (list of first word and words), contaminated."""
     if not 0 < k <= window:
         raise ValueError("a k-gram must fit the window")
-    sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(b) for b in benchmark_blocks(benchmark, item_id_col, item_text_col, window, k, block_words)]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            for a, b in chunks(column):
-                words = split_words(column.slice(a, b - a), ALNUM_WORDS)
-                h = words.hashes()
-                starts: list[tuple[int, int]] = []
-                items: dict[int, set[str]] = {}
-                for one in sent:
-                    for at, size, ids in _hits(words, h, one.value):
-                        starts.append((at, size))
-                        items.setdefault(int(words.doc[at]), set()).update(ids)
-                hit = np.zeros(len(h), dtype=bool)
-                for size in {s for _, s in starts}:
-                    hit |= covered(len(h), np.unique([x for x, s in starts if s == size]), size)
-                n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first])
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])) != 0)
-                spans: list[list[dict]] = [[] for _ in range(b - a)]
-                for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    while x < y:  # a run may go from one document to the next
-                        d = int(words.doc[x])
-                        z = min(y, int(words.first[d + 1]))
-                        spans[d].append({"first": x - int(words.first[d]), "words": z - x})
-                        x = z
-                listed = [sorted(items.get(i, ())) for i in range(b - a)]
-                yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in listed], pa.int64()), pa.array(listed, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))), pa.array(n_hit > 0)],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items", "spans", "contaminated"],
-                )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<first:long,words:long>>, contaminated boolean")
+    blocks = _blocks(benchmark, item_id_col, item_text_col, window, k, broadcast_chars)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    first = next(blocks, None)
+    second = next(blocks, None)
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast([first] if first else [])
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b in chunks(batch.column(1)):
+                    words = split_words(batch.column(1).slice(a, b - a), ALNUM_WORDS)
+                    yield _verdicts(batch.column(0).slice(a, b - a), words, *_scan(words, sent.value))
+
+        return texts.mapInArrow(scan, _VERDICT)
+    digested = texts.withColumn("digest", F.md5("text"))
+    found = _found(digested, itertools.chain([first, second], blocks))
+    by_doc = found.groupBy("doc_id", "digest").agg(F.collect_list("bits").alias("bits"), F.flatten(F.collect_list("items")).alias("items"))
+    counted = digested.mapInArrow(_counted, "doc_id long, digest string, n long")
+    joined = counted.join(by_doc.withColumnRenamed("doc_id", "known"), counted.doc_id.eqNullSafe(F.col("known")) & (counted.digest == by_doc.digest), "left")
+    return joined.select("doc_id", "n", "bits", "items").mapInArrow(_joined, _VERDICT)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in chunks(batch.column(1)):
+            words = split_words(batch.column(1).slice(a, b - a), ALNUM_WORDS)
+            yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(words.counts, pa.int64())], ["doc_id", "digest", "n"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verdicts from the bits that all blocks left."""
+    for batch in batches:
+        counts = batch.column(1).to_numpy()
+        first = np.concatenate([[0], np.cumsum(counts)])
+        hit, items = np.zeros(int(first[-1]), dtype=bool), {}
+        for d, (bits, ids) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for one in bits or ():
+                hit[first[d] : first[d + 1]] |= np.unpackbits(np.frombuffer(one, np.uint8), count=int(counts[d])).astype(bool)
+            items[d] = set(ids or ())
+        none = np.zeros(0, np.int64)
+        yield _verdicts(batch.column(0), Words(np.zeros(0, np.uint8), none, none, first, np.repeat(np.arange(len(counts)), counts)), hit, items)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,28 +277,32 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a benchmark window. One pass: the verdict is made where the row is read."""
-    verdicts = _with_verdict(docs, table(spark, sf_dir, "benchmark"))
-    return verdicts.where(~F.col(verdicts.columns[-1])).drop(verdicts.columns[-1])
-
-
-def _with_verdict(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
-    (name,) = fresh(docs, "contaminated")
-    sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(b) for b in benchmark_blocks(benchmark, "item_id", "text", window, k, BLOCK_WORDS)]
-    at = docs.columns.index(text_col)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, marks = batch.column(at), []
-            for a, b in chunks(column):
-                words = split_words(column.slice(a, b - a), ALNUM_WORDS)
-                h = words.hashes()
-                hit = np.zeros(b - a, dtype=bool)
-                for one in sent:
-                    for i, _, _ in _hits(words, h, one.value):
-                        hit[words.doc[i]] = True
-                marks.append(hit)
-            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(marks) if marks else np.zeros(0, bool))], [*batch.schema.names, name])
-
-    return docs.mapInArrow(scan, StructType([*docs.schema.fields, StructField(name, BooleanType())]))
+    """The documents without a benchmark window."""
+    return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """The clean rows as they are. With one block the verdict is made where the row is read; with more, rows that any hit go."""
+    blocks = _blocks(benchmark, "item_id", "text", window, k, broadcast_chars)
+    first = next(blocks, None)
+    second = next(blocks, None)
+    if second is None:
+        (name,) = fresh(docs, "contaminated")
+        sent, at = docs.sparkSession.sparkContext.broadcast([first] if first else []), docs.columns.index(text_col)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                marks = np.zeros(batch.num_rows, dtype=bool)
+                for a, b in chunks(batch.column(at)):
+                    words = split_words(batch.column(at).slice(a, b - a), ALNUM_WORDS)
+                    hit, _ = _scan(words, sent.value)
+                    marks[a + words.doc[hit]] = True
+                yield pa.record_batch([*batch.columns, pa.array(marks)], [*batch.schema.names, name])
+
+        out = docs.mapInArrow(scan, StructType([*docs.schema.fields, StructField(name, BooleanType())]))
+        return out.where(~F.col(name)).drop(name)
+    digested = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.md5(F.col(text_col).cast("string")).alias("digest"))
+    hit_id, hit_digest = fresh(docs, "hit_id", "hit_digest")
+    found = _found(digested, itertools.chain([first, second], blocks)).select(F.col("doc_id").alias(hit_id), F.col("digest").alias(hit_digest)).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(hit_id)) & (F.md5(F.col(text_col).cast("string")) == F.col(hit_digest))
+    return docs.join(found, same, "left_anti")
