@@ -63,7 +63,7 @@ def test_cover():
 @pytest.mark.parametrize(("window", "period", "cover"), [(35, PERIOD, COVER), (9, 7, (1, 2, 4)), (7, 7, (1, 2, 4))])
 def test_substring_dedup(spark, window, period, cover):
     data = rows()
-    data.append(data[0])  # a repeated row
+    data += [data[0], *[data[3]] * 40, *[(None, "", "en", "s", 0)] * 40]  # repeated rows
     got = substring_dedup(clashing(table(spark, data)), window=window, period=period, cover=cover).collect()
     assert sorted(map(str, got)) and sorted((str(r.doc_id), *r[1:]) for r in got) == sorted((str(x[0]), *x[1:]) for x in slow_dedup(data, window))
     assert substring_dedup(table(spark, [])).count() == 0

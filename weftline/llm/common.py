@@ -28,24 +28,29 @@ LEAST_BUCKETS = 64
 def bucket_count(df: DataFrame) -> int:
     """Buckets that the rows of a table are dealt to.
 
-    A bucket's size grows with the square root of the input, from 1 MB to 256 MB of files: so a bucket fits a
-    worker and the pieces that buckets exchange don't become too small.
+    A bucket's size grows with the square root of the input, from 1 MB to 64 MB of files, some 200 MB of texts: so a
+    bucket fits a worker and the pieces that buckets exchange don't become too small.
     """
     size = estimated_bytes(df)
     if size > 1 << 50:  # no statistics
         size = 1 << 36
-    each = min(256 << 20, max(1 << 20, int(math.sqrt(size * 4096))))
+    each = min(64 << 20, max(1 << 20, int(math.sqrt(size * 4096))))
     return max(LEAST_BUCKETS, -(-size // each))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that all executors see: that of ``spark.checkpoint.dir``. Only one machine may use a folder of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or os.path.join(tempfile.gettempdir(), name)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder; a lost executor loses none of them."""
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        # Only where nothing is set, as in tests on one machine.
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "weftline-checkpoints"))
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "weftline-checkpoints"))
     return df.checkpoint(eager=True)
 
 

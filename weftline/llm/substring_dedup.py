@@ -7,11 +7,13 @@ of ``window`` words lie at arbitrary offsets modulo the period; a difference cov
 a shift at which both are cover positions, so the passages share an anchor there. Only windows that hold a
 repeated anchor are then hashed in full, and the full hashes decide.
 
-Plan. Rows go to document buckets by a hash of the row. Each bucket sends every hash bucket the sorted set of
-its anchor hashes and gets a bit for each: seen in another bucket. What repeats inside the bucket it knows
-itself. So a passage of a third of all documents is one hash a bucket, not one row a document; no group is
+Plan. Rows go to document buckets by their place in the table, so no row, however often it is repeated, is hot; texts
+too short for a window go nowhere. A bucket holds its texts and their anchors; words are found again chunk by chunk
+where they are needed. Each bucket sends every hash bucket the sorted set of its anchor hashes and gets a bit for
+each: seen in another bucket. What repeats inside the bucket it knows itself. So a passage of a third of all documents is one hash a bucket, not one row a document; no group is
 collected, and since sets are sent, the order of rows doesn't matter when a lost executor's task runs again.
-The same exchange then runs for the full windows, with hashes of 128 bits.
+The same exchange then runs for the full windows, with hashes of 128 bits. The input must be a table as it is read, whose
+rows keep their places when a task runs again; checkpoint the output of a shuffle first.
 
 Edge cases: a null text has no words; a document of fewer words than a window loses none; repeated rows are
 occurrences of their own; a null doc_id is returned as null.
@@ -20,6 +22,7 @@ occurrences of their own; a null doc_id is returned as null.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_count, table
+from .common import LEAST_BUCKETS, bucket_count, table
 from .wordhash import WHITESPACE_WORDS, Words, chunks, covered, kgram, split_words, starts_of
 
 WINDOW = 35
@@ -35,6 +38,7 @@ WINDOW = 35
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 _SECOND = 0xD6E8FEB86659FD93
 _SENT = "b int, w int, at int, keys binary"
+_PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 def is_difference_cover(cover: tuple[int, ...], period: int) -> bool:
@@ -50,41 +54,42 @@ def _anchors(words: Words, h: np.ndarray, window: int, period: int, cover: tuple
 
 
 class _Bucket:
-    """The words of a bucket's texts, in chunks, with the anchors of each."""
+    """A bucket's texts, and the anchors of each chunk of them."""
 
     def __init__(self, texts: pa.ChunkedArray, window: int, period: int, cover: tuple[int, ...]):
         column = texts.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
-            column = column.chunk(0) if column.num_chunks else pa.array([], pa.string())
-        self.window, self.period = window, period
+            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
+        self.column, self.window, self.period = column, window, period
         self.parts = []
         for a, b in chunks(column):
-            words = split_words(column.slice(a, b - a), WHITESPACE_WORDS)
-            h = words.hashes()
-            self.parts.append((words, h, *_anchors(words, h, window, period, cover)))
+            words = self._words(a, b)
+            at, keys = _anchors(words, words.hashes(), window, period, cover)
+            self.parts.append((a, b, at.astype(np.int32), keys))
+
+    def _words(self, a: int, b: int) -> Words:
+        return split_words(self.column.slice(a, b - a), WHITESPACE_WORDS)
 
     def anchor_keys(self) -> np.ndarray:
         return np.concatenate([p[3] for p in self.parts] or [np.zeros(0, np.uint64)])
 
-    def candidates(self, repeated: np.ndarray) -> list[np.ndarray]:
-        """For each chunk, the starts of windows that hold an anchor in the sorted array ``repeated``."""
-        out = []
-        for words, _, at, keys in self.parts:
+    def candidates(self, repeated: np.ndarray, *, every: bool) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
+        """For each chunk its words, the starts of windows that hold an anchor in the sorted array ``repeated``, and
+        their keys; with ``every`` also chunks without such windows."""
+        for a, b, at, keys in self.parts:
             hot = at[_member(keys, repeated)]
-            s = starts_of(words, self.window)
-            near = np.zeros(len(words.start) + 1, dtype=np.int64)
-            near[1:] = np.cumsum(np.bincount(hot, minlength=len(words.start)))
-            out.append(s[near[np.minimum(s + self.period, len(words.start))] > near[s]])
-        return out
-
-    def window_keys(self, starts: list[np.ndarray]) -> np.ndarray:
-        out = [np.zeros((0,), dtype=[("a", "<u8"), ("b", "<u8")])]
-        for (_, h, _, _), s in zip(self.parts, starts, strict=True):
-            keys = np.zeros(len(s), dtype=out[0].dtype)
-            if len(s):
-                keys["a"], keys["b"] = kgram(h, self.window)[s], kgram(h, self.window, _SECOND)[s]
-            out.append(keys)
-        return np.concatenate(out)
+            if not len(hot) and not every:
+                continue
+            words = self._words(a, b)
+            s, found = np.zeros(0, np.int64), np.zeros(0, _PAIR)
+            if len(hot):
+                s = starts_of(words, self.window)
+                near = np.zeros(len(words.start) + 1, dtype=np.int32)
+                near[1:] = np.cumsum(np.bincount(hot, minlength=len(words.start)))
+                s = s[near[np.minimum(s + self.period, len(words.start))] > near[s]]
+                h, found = words.hashes(), np.zeros(len(s), _PAIR)
+                found["a"], found["b"] = kgram(h, self.window)[s], kgram(h, self.window, _SECOND)[s]
+            yield words, s, found
 
 
 def _member(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -187,50 +192,59 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not is_difference_cover(cover, period) or not 0 < period <= window:
         raise ValueError("cover must be a difference cover of a period no longer than the window")
     buckets = bucket_count(docs)
-    key = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(buckets)).cast("int")
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("b"))
+    hash_buckets = max(LEAST_BUCKETS, buckets // 4)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    long_enough = F.coalesce(F.length("text"), F.lit(0)) >= 2 * window - 1
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
+    dealt = texts.withColumn("b", place).where(long_enough)
 
     def load(rows: pa.Table) -> _Bucket:
         return _Bucket(rows.column("text"), window, period, cover)
 
     def anchors(rows: pa.Table) -> pa.Table:
-        return _sent(rows.column("b")[0].as_py(), load(rows).anchor_keys(), buckets)
+        return _sent(rows.column("b")[0].as_py(), load(rows).anchor_keys(), hash_buckets)
 
     def windows(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table({"b": pa.array([], pa.int32()), "w": pa.array([], pa.int32()), "at": pa.array([], pa.int32()), "keys": pa.array([], pa.binary())})
         bucket = load(rows)
-        starts = bucket.candidates(_repeated(bucket.anchor_keys(), replies, buckets))
-        out = _sent(rows.column("b")[0].as_py(), bucket.window_keys(starts), buckets)
+        repeated = _repeated(bucket.anchor_keys(), replies, hash_buckets)
+        keys = [_unique(found)[0] for _, _, found in bucket.candidates(repeated, every=False)]
+        out = _sent(rows.column("b")[0].as_py(), np.concatenate([np.zeros(0, _PAIR), *keys]), hash_buckets)
         return out.set_column(2, "at", pa.array(np.ones(out.num_rows), pa.int32()))
 
+    def row(words: Words, gone: np.ndarray) -> tuple[list, ...]:
+        kept = list(kept_texts(words, ~gone))
+        n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first]).tolist()
+        return words.counts.tolist(), n_removed, [hashlib.sha256(x).hexdigest() for x in kept], [x.decode() for x in kept] if with_text else []
+
+    def filled(ids: pa.Array, parts: list[tuple[list, ...]]) -> dict[str, pa.Array]:
+        n_words, n_removed, sha, text = (list(itertools.chain.from_iterable(x)) for x in (zip(*parts, strict=True) if parts else [()] * 4))
+        out = {"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+        return out | ({"kept_text": pa.array(text, pa.string())} if with_text else {})
+
     def removed(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        n_words, n_removed, sha, text = [], [], [], []
+        parts = []
         if rows.num_rows:
             first, second = _split_replies(replies)
             bucket = load(rows)
-            starts = bucket.candidates(_repeated(bucket.anchor_keys(), first, buckets))
-            keys = bucket.window_keys(starts)
-            twice = _repeated(keys, second, buckets)
-            hit, at = _member(keys, twice), 0
-            for (words, _, _, _), s in zip(bucket.parts, starts, strict=True):
-                gone = covered(len(words.start), s[hit[at : at + len(s)]], window)
-                at += len(s)
-                n_words.append(words.counts)
-                n_removed.append(np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first]))
-                for x in kept_texts(words, ~gone):
-                    sha.append(hashlib.sha256(x).hexdigest())
-                    if with_text:
-                        text.append(x.decode())
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        out = {"doc_id": rows.column("doc_id"), "n_words": pa.array(cat(n_words), pa.int64()), "n_removed": pa.array(cat(n_removed), pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-        return pa.table(out | ({"kept_text": pa.array(text, pa.string())} if with_text else {}))
+            repeated = _repeated(bucket.anchor_keys(), first, hash_buckets)
+            twice = _repeated(np.concatenate([np.zeros(0, _PAIR), *(found for _, _, found in bucket.candidates(repeated, every=False))]), second, hash_buckets)
+            for words, s, found in bucket.candidates(repeated, every=True):
+                parts.append(row(words, covered(len(words.start), s[_member(found, twice)], window)))
+        return pa.table(filled(rows.column("doc_id"), parts))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(batch.column(1)):
+                words = split_words(batch.column(1).slice(a, b - a), WHITESPACE_WORDS)
+                yield pa.RecordBatch.from_pydict(filled(batch.column(0).slice(a, b - a), [row(words, np.zeros(len(words.start), dtype=bool))]))
 
-    first = dealt.groupBy("b").applyInArrow(anchors, _SENT).groupBy("w").applyInArrow(_elsewhere(np.dtype("<u8")), _SENT)
-    pair = np.dtype([("a", "<u8"), ("b", "<u8")])
-    second = dealt.groupBy("b").cogroup(first.groupBy("b")).applyInArrow(windows, _SENT).groupBy("w").applyInArrow(_elsewhere(pair), _SENT)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return dealt.groupBy("b").cogroup(first.unionByName(second).groupBy("b")).applyInArrow(removed, schema)
+    first = dealt.groupBy("b").applyInArrow(anchors, _SENT).groupBy("w").applyInArrow(_elsewhere(np.dtype("<u8")), _SENT)
+    second = dealt.groupBy("b").cogroup(first.groupBy("b")).applyInArrow(windows, _SENT).groupBy("w").applyInArrow(_elsewhere(_PAIR), _SENT)
+    shorter = texts.where(~long_enough).mapInArrow(untouched, schema)
+    return dealt.groupBy("b").cogroup(first.unionByName(second).groupBy("b")).applyInArrow(removed, schema).unionByName(shorter)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
