@@ -44,3 +44,37 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder).collect()
     assert got and {"doc_id", "sequence_id", "offset", "ids_crc32"} <= set(got[0].asDict())
+
+
+def test_run_goes_on_after_a_failure(spark, folder, tmp_path, monkeypatch):
+    whole = sorted(map(str, corpus_pipeline.run(spark, folder).collect()))
+    called = []
+
+    def counted(name, stage):
+        def call(spark, docs, sf_dir):
+            called.append(name)
+            if name == "secrets" and called.count(name) == 1:
+                raise RuntimeError("lost")
+            return stage(spark, docs, sf_dir)
+
+        return call
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, counted(n, s)) for n, s in corpus_pipeline.STAGES])
+    own = str(tmp_path / "run")
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, folder, own)
+    assert sorted(map(str, corpus_pipeline.run(spark, folder, own).collect())) == whole
+    assert called == ["toxicity", "near_dedup", "decontamination", "secrets", "secrets", "packing"]
+    assert [p.name for p in (tmp_path / "run").iterdir()] == ["4-packing"]
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null and repeated ids, null texts; then no documents at all, no labels and no benchmark."""
+    rows_ = [(None, "a text that has no id", "en", "s", 0), (None, None, None, None, 0), (1, "one two three", "en", "s", 0), (1, "one two three", "en", "s", 0), (2, "", "en", "s", 0)]
+    for name, data in (("some", rows_), ("none", [])):
+        at = tmp_path / name
+        table(spark, data).write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(at)).collect()
+        assert sorted({(str(r.doc_id), r.doc_tokens) for r in got}) == ([("1", 4), ("2", 1), ("None", 1), ("None", 7)] if data else [])
