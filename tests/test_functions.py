@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import kernels
-from weftline.functions.address import parse_address
-from weftline.functions.phonetic import skeleton, sounds, transliterate
+from weftline.functions.address import address_slots
+from weftline.functions.phonetic import skeleton, sounds, transliterate, transliterate_text
 from weftline.functions.tokens import NAME_NOISE, is_abbreviation, legal_match, strip_tail, without
 from weftline.functions.unicode import fold, fold_marks, fold_text
 
@@ -48,18 +48,35 @@ def test_strip_tail_keeps_a_name(spark):
     assert values(spark, [(["the", "x", "x"],)], without(F.col("t"), NAME_NOISE), "t array<string>") == [["x", "x"]]
 
 
-def test_addresses():
-    a = parse_address("Near Metro Pillar 42 33 Stonebridge Road, Indore, 653200")
-    assert (a["house"], a["postcode"], a["landmark"]) == ("33", "653200", True)
-    a = parse_address("23/33 Ravenwood Drive, Fresno")
-    assert a["house"] == "23/33" and "23" in a["numbers"]
-    assert parse_address(None)["tokens"] == [] and parse_address("")["house"] == ""
+def slots(spark, texts, **options):
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, s string").select("k", address_slots(F.col("s"), **options).alias("x")).collect()
+    return [r.x.asDict() for r in sorted(rows)]
+
+
+def test_addresses(spark):
+    empty = {"house": "", "postcode": "", "numbers": [], "street": [], "tail": [], "tokens": [], "landmark": False, "landmark_tokens": []}
+    got = slots(spark, ["Near Metro Pillar 42 33 Stonebridge Road, Indore, 653200", "23/33 Ravenwood Drive, Fresno", None, "", ",,;", "12 - 4b rue É'tage; 75001 Paris", "Opp Bank", "nearby 5", "5 A Rd 6 B St C"], expand={"rd": "road"})
+    a = got[0]
+    assert (a["house"], a["postcode"], a["landmark"], a["landmark_tokens"]) == ("33", "653200", True, ["near", "metro", "pillar", "42"])
+    assert (a["street"], a["tail"], a["numbers"]) == (["stonebridge", "road"], ["indore"], ["33", "653200"])
+    a = got[1]
+    assert (a["house"], a["numbers"], a["street"], a["tail"]) == ("23/33", ["23", "23/33", "33"], ["ravenwood", "drive"], ["fresno"])
+    assert got[2] == got[3] == got[4] == empty
+    assert (got[5]["house"], got[5]["postcode"], got[5]["street"], got[5]["numbers"]) == ("12-4b", "75001", ["rue", "e", "tage"], ["12", "12-4b", "4b", "75001"])
+    assert got[6] == empty | {"landmark": True, "landmark_tokens": ["opp", "bank"]}
+    assert not got[7]["landmark"] and got[7]["house"] == "5"
+    assert (got[8]["street"], got[8]["tail"], got[8]["tokens"]) == (["a", "road", "b"], ["st", "c"], ["a", "road", "b", "st", "c"])
+    assert slots(spark, ["Portal 9 x"], cues=frozenset())[0]["landmark"] is False
 
 
 def test_transliteration(spark):
     assert len(sounds()) > 500
-    got = values(spark, [("राम",), ("plain",)], transliterate(F.col("s")), "s string")
-    assert got == ["raam", "plain"] or got == ["ram", "plain"]
+    known = {"राम": "ram", "कमल": "kamal", "वेंकटेश्वर": "venkateshvar", "মহা ১২": "maha 12", "plain": "plain", "अॉ": "o"}
+    assert values(spark, [(k,) for k in known], transliterate(F.col("s")), "s string") == list(known.values())
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x0900, 0x0D80)] + list("abka x-1")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 10))) for _ in range(2000)]
+    assert values(spark, [(t,) for t in texts], transliterate(F.col("s")), "s string") == [transliterate_text(t) for t in texts]
     assert values(spark, [("phoenix",), ("cool zoo",)], skeleton(F.col("s")), "s string") == ["fnx", "kl s"]
 
 
