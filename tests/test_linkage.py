@@ -34,6 +34,14 @@ def test_end_to_end(spark, tmp_path):
     assert got.n == 50 and got.macro_f > 0.8
     assert scored.where("emitted AND p IS NULL").count() == 0
 
+    # an isotonic rule decides by calibrated scores, and the calibrator is part of the stored bundle
+    bundle.rule = linkage.Rule("threshold", 0.6, calibrated=True, exclusive=False)
+    rows = linkage.predict(other, bundle)[0].where("p IS NOT NULL").collect()
+    assert any(abs(r.pc - r.p) > 1e-3 for r in rows)
+    assert all(r.emitted == (r.pc >= 0.6) for r in rows)
+    by_p = sorted(rows, key=lambda r: r.p)
+    assert all(a.pc <= b.pc + 1e-9 for a, b in zip(by_p, by_p[1:]))
+
     console = Console(other, scored.persist(), bundle.report)
     page = console.entities(kind="matched", limit=5)
     assert 0 < len(page) <= 5
@@ -48,3 +56,13 @@ def test_end_to_end(spark, tmp_path):
     (tmp_path / "x" / "a.tsv").write_text("1")
     assert package(str(tmp_path / "x"), str(tmp_path / "o.zip"), ["a.tsv"]) == ["a.tsv"]
     assert "## t" in report_markdown("r", {"n": 1}, {"t": [{"a": 1}]})
+
+
+def test_folds_by_country(spark):
+    """Labels of one country are one fold; pruning and thresholds are carried over; unseen labels weigh."""
+    records, truth = Generator(5).frames(spark, 40)
+    coming = records.withColumn("country", F.when(F.col("entity_id").endswith("1"), F.lit("Atlantis")).otherwise(F.col("country")))
+    bundle = linkage.train(records, truth, kind="logistic", coming=coming, by_country=True)
+    asked = coming.where("src = 1")
+    assert bundle.report["unseen_share"] == asked.where("country = 'Atlantis'").count() / asked.count()
+    assert set(bundle.report["loco"]) == set(bundle.report["cv"])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import context, decide, lexicon, metrics, retrieval
-from weftline.operators.features import soft_tfidf
+from weftline.operators.features import pair_features, prepare, soft_tfidf
 from weftline.sources import records
 from weftline.streaming.live import resolve_stream
 
@@ -71,7 +71,27 @@ def test_soft_tfidf():
     idf = {"harbor": 3.0, "bd": 1.5, "boulevard": 2.5}
     score, a, b = soft_tfidf({w: idf[w] for w in ("harbor", "bd")}, {w: idf[w] for w in ("harbor", "boulevard")})
     assert score > 0.9 and a == b == 0.0
-    assert soft_tfidf({}, {"x": 2.0}) == (0.0, 0.0, 2.0)
+    assert soft_tfidf({}, {"x": 2.0}) == soft_tfidf({"x": 2.0}, {}) == (0.0, 0.0, 0.0)
+    # both words of a take the same word of b, so the other one that is like them stays unmet
+    assert soft_tfidf({"marta": 1.0, "marha": 1.0}, {"martha": 1.0, "zzz": 2.0})[1:] == (0.0, 2.0)
+
+
+def test_pair_features_by_hand(spark):
+    """Divisors and defined values of the features of one pair, and of one without any word in common."""
+    rows = [("S1-1", "Acme Foods Zebra Ltd", "12 Main Road, Indore, 452001", "IN"), ("S2-1", "Acme Food Limited", "12 Main Rd, Indore", "IN"), ("S3-1", "", "", "")]
+    r = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string").withColumn("src", F.substring("entity_id", 2, 1).cast("int"))
+    p = prepare(r, {"rd": "road"}, {"ltd", "limited"})
+    pool = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S3-1")], "i string, j string")
+    got = {x.j: x.asDict() for x in pair_features(pool, p).collect()}
+    idf = lambda n: np.log(4 / (n + 1)) + 1
+    one = got["S2-1"]
+    assert one["n_miss_a"] == one["id_miss_a"] == 1 and one["n_miss_b"] == 0 and one["a_miss_a"] == 0  # zebra; ltd and food are short forms
+    core = (idf(2) ** 2 + 0.9 * idf(1) ** 2) / np.sqrt((idf(2) ** 2 + 2 * idf(1) ** 2) * (idf(2) ** 2 + idf(1) ** 2))
+    assert one["c_soft"] == pytest.approx(core) and one["name_x_addr"] == pytest.approx(core * one["a_soft"])
+    assert (one["country_label"], one["country_grp"], one["first_eq"], one["house_state"]) == (1, 2, 1, 2)
+    none = got["S3-1"]
+    assert all(none[c] == 0 for c in ("n_soft", "n_miss_a", "n_miss_b", "a_miss_a", "first_eq", "acr_hit", "country_label", "country_grp", "num_jacc"))
+    assert none["tail_jacc"] == -1 and none["pc_state"] == 1
 
 
 def test_margins_alone(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -93,22 +93,24 @@ def word_similarity(a: str, b: str) -> float:
 
 
 def soft_tfidf(a: dict[str, float], b: dict[str, float]) -> tuple[float, float, float]:
-    """(soft cosine, greatest idf of an unmatched word of a, of b) of word -> idf; ties go to the lesser word."""
+    """(soft cosine, greatest idf of an unmatched word of a, of b) of word -> idf; all 0 where a side has no words.
+
+    Each word of a takes the word of b that is most like it, the lesser of equals, if it is like enough.
+    """
     if not a or not b:
-        return 0.0, max(a.values(), default=0.0), max(b.values(), default=0.0)
-    dot, met_a, met_b = 0.0, set(), set()
+        return 0.0, 0.0, 0.0
+    dot, miss, met = 0.0, 0.0, set()
+    others = sorted(b)
     for w in sorted(a):
-        v = max(sorted(b), key=lambda v: word_similarity(w, v))
-        best = word_similarity(w, v)
-        if best >= SOFT:
-            dot += a[w] * b[v] * best
-            met_a.add(w)
-            met_b.add(v)
-    for v in b:
-        if v not in met_b and any(word_similarity(w, v) >= SOFT for w in a):
-            met_b.add(v)
+        v = w if w in b else max(others, key=lambda v: word_similarity(w, v))
+        alike = word_similarity(w, v)
+        if alike >= SOFT:
+            dot += a[w] * b[v] * alike
+            met.add(v)
+        else:
+            miss = max(miss, a[w])
     norm = math.sqrt(sum(x * x for x in a.values())) * math.sqrt(sum(x * x for x in b.values()))
-    return min(1.0, dot / norm), max((x for w, x in a.items() if w not in met_a), default=0.0), max((x for w, x in b.items() if w not in met_b), default=0.0)
+    return dot / norm, miss, max((x for w, x in b.items() if w not in met), default=0.0)
 
 
 @F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("score", "miss_a", "miss_b")]))
@@ -118,52 +120,58 @@ def soft_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([soft_tfidf(as_dict(x), as_dict(y)) for x, y in zip(a, b, strict=True)], columns=["score", "miss_a", "miss_b"])
 
 
-def with_idf(records: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds <column>_w, a map of each record's words to idf; weights come by a join on the word."""
+def with_idf(records: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """Adds <column>_w, a map of each record's words to idf, and <source>_top, the greatest idf.
+
+    ``columns``: by the column whose words are counted, those whose words are weighed. Weights come by a join on the word.
+    """
     out = records
-    for c in columns:
-        w = idf(records, c)
-        each = records.select("id", "src", F.explode(F.array_distinct(c)).alias("word")).join(w, "word")
-        maps = each.groupBy("id", "src").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "idf")))).alias(f"{c}_w"))
-        out = out.join(maps, ["id", "src"], "left")
+    for source, weighed in columns.items():
+        w = idf(records, source)
+        out = out.crossJoin(F.broadcast(w.agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias(f"{source}_top"))))  # one row
+        for c in weighed:
+            each = records.select("id", "src", F.explode(F.array_distinct(c)).alias("word")).join(w, "word")
+            maps = each.groupBy("id", "src").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "idf")))).alias(f"{c}_w"))
+            out = out.join(maps, ["id", "src"], "left")
     return out
 
 
 def pair_features(pool: DataFrame, records: DataFrame, groups: dict[str, str] | None = None) -> DataFrame:
     """All pairwise features of a pool (i, j, fused columns) of prepared records."""
-    rec = with_idf(records.withColumn("addr_all", F.col("addr_toks")), ["name_toks", "core", "ident", "addr_all", "street", "addr_tail"])
-    size = F.count("*").over(Window.partitionBy("side", "core_str"))
-    rec = rec.withColumn("side", F.when(F.col("src") == 1, 1).otherwise(2)).withColumn("dens", F.log1p(size))
+    rec = with_idf(records, {"name_toks": ["name_toks", "core", "ident"], "addr_toks": ["addr_toks", "street", "addr_tail"]})
+    # How many records of a side have the name: counted and joined, so that a name of many records isn't one task.
+    rec = rec.withColumn("side", F.when(F.col("src") == 1, 1).otherwise(2))
+    rec = rec.join(rec.groupBy("side", "core_str").agg(F.log1p(F.count("*")).alias("dens")), ["side", "core_str"])
     a = rec.where("src = 1").select(*[F.col(c).alias(f"a_{c}") for c in rec.columns]).withColumnRenamed("a_id", "i")
     b = rec.where("src <> 1").select(*[F.col(c).alias(f"b_{c}") for c in rec.columns]).withColumnRenamed("b_id", "j")
     x = pool.join(a, "i").join(b, "j")
     A, B = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
     both = lambda f, c: f(A(c), B(c))
-    for name, c in (("n", "name_toks"), ("c", "core"), ("id", "ident"), ("a", "addr_all"), ("st", "street"), ("tl", "addr_tail")):
+    for name, c in (("n", "name_toks"), ("c", "core"), ("id", "ident"), ("a", "addr_toks"), ("st", "street"), ("tl", "addr_tail")):
         x = x.withColumn(f"__{name}", soft_udf(A(f"{c}_w"), B(f"{c}_w")))
-    top = F.greatest(F.lit(1.0), F.lit(math.log(1e9)))
     label = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in sorted(groups.items()) for v in kv]), c), c) if groups else c
     parts = lambda c: F.split(F.regexp_replace(c, "-", "/"), "/")
     house_state = both(side_state, "house")
+    both_cores = (F.size(A("core")) > 0) & (F.size(B("core")) > 0)
     made = {
         "n_ratio": both(kernels.ratio, "name_str"), "n_tsort": both(kernels.token_sort_ratio, "name_str"), "n_tset": both(kernels.token_set_ratio, "name_str"), "n_partial": both(kernels.partial_ratio, "name_str"),
         "c_ratio": both(kernels.ratio, "core_str"), "c_tset": both(kernels.token_set_ratio, "core_str"), "c_jw": both(kernels.jaro_winkler_ratio, "core_str"), "c_cat_ratio": both(kernels.ratio, "core_cat"),
         "id_ratio": both(kernels.ratio, "ident_str"), "id_tset": both(kernels.token_set_ratio, "ident_str"),
         "a_ratio": both(kernels.ratio, "addr_str"), "a_tset": both(kernels.token_set_ratio, "addr_str"), "a_tsort": both(kernels.token_sort_ratio, "addr_str"),
         **{f"{n}_soft": F.col(f"__{n}.score") for n in ("n", "c", "id", "a", "st", "tl")},
-        **{f"{n}_miss_{s}": F.col(f"__{n}.miss_{s}") / top for n in ("n", "id", "a") for s in "ab"},
-        "first_eq": (kernels.token_similarity(F.coalesce(F.get(A("core"), F.lit(0)), F.lit("")), F.coalesce(F.get(B("core"), F.lit(0)), F.lit(""))) >= SOFT).cast("int"),
-        "acr_hit": (((F.length(A("acr")) >= 2) & F.array_contains(B("core"), A("acr"))) | ((F.length(B("acr")) >= 2) & F.array_contains(A("core"), B("acr")))).cast("int"),
+        **{f"{n}_miss_{s}": F.col(f"__{n}.miss_{s}") / A(f"{c}_top") for n, c in (("n", "name_toks"), ("id", "name_toks"), ("a", "addr_toks")) for s in "ab"},
+        "first_eq": (both_cores & (kernels.token_similarity(F.coalesce(F.get(A("core"), F.lit(0)), F.lit("")), F.coalesce(F.get(B("core"), F.lit(0)), F.lit(""))) >= SOFT)).cast("int"),
+        "acr_hit": (both_cores & (((F.length(A("acr")) >= 2) & F.array_contains(B("core"), A("acr"))) | ((F.length(B("acr")) >= 2) & F.array_contains(A("core"), B("acr"))))).cast("int"),
         "tail_jacc": both(legal_match, "legal_tail"), "pc_state": both(side_state, "postcode"),
         "pc3": ((A("postcode") != "") & (B("postcode") != "") & (F.substring(A("postcode"), 1, 3) == F.substring(B("postcode"), 1, 3))).cast("int"),
         "house_state": house_state, "house_part": ((house_state == 3) & F.arrays_overlap(parts(A("house")), parts(B("house")))).cast("int"),
         "num_jacc": both(jaccard, "numbers"), "num_conflict": ((F.size(A("numbers")) > 0) & (F.size(B("numbers")) > 0) & ~F.arrays_overlap(A("numbers"), B("numbers"))).cast("int"),
-        "country_grp": F.when((A("country") == "") | (B("country") == ""), 0).when(label(A("country")) == label(B("country")), 2).otherwise(1), "country_label": (A("country") == B("country")).cast("int"),
+        "country_grp": F.when((A("country") == "") | (B("country") == ""), 0).when(label(A("country")) == label(B("country")), 2).otherwise(1), "country_label": ((A("country") != "") & (A("country") == B("country"))).cast("int"),
         "c_equal": (A("core_str") == B("core_str")).cast("int"), "c_len_a": F.size(A("core")), "c_len_b": F.size(B("core")), "a_len_a": F.size(A("addr_toks")), "a_len_b": F.size(B("addr_toks")),
         "lm_a": A("landmark").cast("int"), "lm_b": B("landmark").cast("int"), "src": B("src"), "dens_s1": A("dens"), "dens_r": B("dens"),
     }
     x = x.select("i", "j", *pool.drop("i", "j").columns, *[v.cast("double").alias(k) for k, v in made.items()])
-    x = x.withColumn("name_x_addr", F.col("n_soft") * F.col("a_soft")).withColumn("ident_x_addr", F.col("id_soft") * F.col("a_soft"))
+    x = x.withColumn("name_x_addr", F.col("c_soft") * F.col("a_soft")).withColumn("ident_x_addr", F.col("id_soft") * F.col("a_soft"))
     return x.select("i", "j", *[F.col(c).cast("double").alias(c) if c in x.columns else F.lit(0.0).alias(c) for c in PAIR_FEATURES])
 
 

@@ -67,6 +67,17 @@ def importances(models: list, features: list[str], top: int = 30) -> list[tuple[
     return sorted(zip(features, total, strict=True), key=lambda x: (-x[1], x[0]))[:top]
 
 
+def calibrator(df: DataFrame, p: str = "p"):
+    """Isotonic regression on all out-of-fold scores, for records that no fold has seen."""
+    data = assembled(df, [p]).withColumn("y", F.col("y").cast("double"))
+    return IsotonicRegression(labelCol="y", featuresCol="features", predictionCol="__pc").fit(data)
+
+
+def apply_calibrator(df: DataFrame, model, p: str = "p", name: str = "pc") -> DataFrame:
+    x = model.transform(assembled(df, [p])).drop("features")
+    return x.withColumn(name, F.least(F.greatest("__pc", F.lit(1e-4)), F.lit(1 - 1e-4))).drop("__pc")
+
+
 def calibrated(df: DataFrame, p: str = "p", *, fold: str = "fold", name: str = "pc") -> DataFrame:
     """Isotonic calibration; each fold by a fit on the others, clamped away from 0 and 1."""
     data = assembled(df, [p]).withColumn("y", F.col("y").cast("double")).persist()

@@ -9,10 +9,12 @@ import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import kernels
+from weftline.functions.tokens import literal_map
 from weftline.operators import context, decide, lexicon, metrics, models, retrieval
 from weftline.operators.features import CHANNELS, CONTEXT_FEATURES, PAIR_FEATURES, pair_features, prepare, record_keys
 from weftline.sources.cut import cut
@@ -42,6 +44,7 @@ class Bundle:
     matchers: list
     tau: float
     rule: Rule
+    calibrator: IsotonicRegressionModel
     report: dict = field(default_factory=dict)
     words: lexicon.Lexicon = field(default_factory=lexicon.Lexicon)
 
@@ -51,6 +54,7 @@ def save(bundle: Bundle, spark: SparkSession, path: str) -> None:
     for kind, found in (("pruner", bundle.pruners), ("matcher", bundle.matchers)):
         for k, m in enumerate(found):
             m.write().overwrite().save(f"{path}/{kind}-{k}")
+    bundle.calibrator.write().overwrite().save(f"{path}/calibrator")
     words = {"abbreviations": bundle.words.abbreviations, "legal": sorted(bundle.words.legal), "cues": sorted(bundle.words.cues)}
     kind = "gbt" if isinstance(bundle.pruners[0], GBTClassificationModel) else "logistic"
     meta = {"kind": kind, "pruners": len(bundle.pruners), "matchers": len(bundle.matchers), "tau": bundle.tau, "rule": asdict(bundle.rule), "report": bundle.report, "words": words}
@@ -62,7 +66,7 @@ def load(spark: SparkSession, path: str) -> Bundle:
     model = GBTClassificationModel if meta["kind"] == "gbt" else LogisticRegressionModel
     read = lambda kind: [model.load(f"{path}/{kind}-{k}") for k in range(meta[f"{kind}s"])]
     words = lexicon.Lexicon(meta["words"]["abbreviations"], set(meta["words"]["legal"]), set(meta["words"]["cues"]))
-    return Bundle(read("pruner"), read("matcher"), meta["tau"], Rule(**meta["rule"]), meta["report"], words)
+    return Bundle(read("pruner"), read("matcher"), meta["tau"], Rule(**meta["rule"]), IsotonicRegressionModel.load(f"{path}/calibrator"), meta["report"], words)
 
 
 def views(p: DataFrame) -> DataFrame:
@@ -134,21 +138,35 @@ def answer(scored: DataFrame, rule: Rule) -> DataFrame:
     return decide.choose_sets(p).select("i", F.explode("ids").alias("j"))
 
 
-def train(records: DataFrame, truth: DataFrame, *, kind: str = "gbt", rounds: int = 20, most_lost: float = 0.003, unseen_share: float = 0.0, by_country: bool = False) -> Bundle:
+def unseen_share(p: DataFrame, coming: DataFrame | None) -> float:
+    """The share of coming reference records whose country label no training record has."""
+    if coming is None:
+        return 0.0
+    known = p.select("country").distinct()
+    asked = coming.where("src = 1").select("country")
+    unseen = asked.join(known, "country", "left_anti").count()
+    return unseen / max(asked.count(), 1)
+
+
+def train(records: DataFrame, truth: DataFrame, *, kind: str = "gbt", rounds: int = 20, most_lost: float = 0.003, coming: DataFrame | None = None, by_country: bool = False) -> Bundle:
     """Fits pruner and matcher with folds by entity and picks the rule with the best macro F0.5.
 
-    With ``by_country`` the rules are also scored with folds by country, and ``unseen_share`` weighs both.
+    ``coming``: the records that will be predicted, without their truth; their names help to find name tails. With
+    ``by_country`` the rules are also scored with folds by country group, with the thresholds and the pruning found
+    before, and weighed by the share of coming records whose country wasn't seen.
     """
-    words = lexicon.fit(records, truth)
+    words = lexicon.fit(records, truth, coming)
     p = prepared(records, words)
-    x = cut(label(pair_features(cut(block(p)), p, label_groups(p)), truth).withColumn("fold", models.fold_of(F.col("i"))))
+    groups = label_groups(p)
+    x = cut(label(pair_features(cut(block(p)), p, groups), truth).withColumn("fold", models.fold_of(F.col("i"))))
     universe = p.where("src = 1").select(F.col("id").alias("i"))
     options = {"kind": kind, "rounds": rounds} if kind == "gbt" else {"kind": kind}
 
-    def scored_by(fold: DataFrame) -> tuple[DataFrame, list, list, float]:
+    def scored_by(fold: DataFrame, tau: float | None = None) -> tuple[DataFrame, list, list, float]:
         first, pruners = models.cross_fit(fold, PAIR_FEATURES, **options)
         first = cut(first)
-        tau = metrics.choose_threshold(metrics.prune_curve(first, PRUNE_GRID), most_lost) or PRUNE_GRID[0]
+        if tau is None:
+            tau = metrics.choose_threshold(metrics.prune_curve(first, PRUNE_GRID), most_lost) or PRUNE_GRID[0]
         ctx = cut(context_features(first, p))
         second, matchers = models.cross_fit(first.where(F.col("p") >= tau).drop("p").join(ctx, ["i", "j"]), PAIR_FEATURES + CONTEXT_FEATURES, **options)
         return cut(models.calibrated(cut(second))), pruners, matchers, tau
@@ -168,15 +186,17 @@ def train(records: DataFrame, truth: DataFrame, *, kind: str = "gbt", rounds: in
     cv = rules(scored)
     value = {n: f for n, (f, _) in cv.items()}
     report = {"cv": value, "tau": tau, "importance": models.importances(matchers, PAIR_FEATURES + CONTEXT_FEATURES)}
-    if by_country:
-        number = {c: k for k, c in enumerate(sorted(r.country for r in p.select("country").distinct().collect()))}
-        of = F.create_map(*[F.lit(v) for kv in number.items() for v in kv])
-        home = p.where("src = 1").select(F.col("id").alias("i"), F.element_at(of, F.col("country")).alias("fold"))
-        other, _, _, _ = scored_by(x.drop("fold").join(home, "i"))
+    number = {c: k for k, c in enumerate(sorted(set(groups.values())))}
+    if by_country and len(number) > 1:
+        of = literal_map({c: str(number[g]) for c, g in groups.items()})
+        home = p.where("src = 1").select(F.col("id").alias("i"), F.coalesce(F.element_at(of, F.col("country")), F.lit("-1")).cast("int").alias("fold"))
+        other, _, _, _ = scored_by(x.drop("fold").join(home, "i"), tau)
+        share = unseen_share(p, coming)
         report["loco"] = {n: metrics.score(universe, answer(other, rule), truth).first().macro_f for n, (_, rule) in cv.items()}
-        value = {n: (1 - unseen_share) * f + unseen_share * report["loco"][n] for n, f in value.items()}
+        report["unseen_share"] = share
+        value = {n: (1 - share) * f + share * report["loco"][n] for n, f in value.items()}
     best = max(value, key=lambda n: (value[n], n))
-    return Bundle(pruners, matchers, tau, cv[best][1], report | {"chosen": best}, words)
+    return Bundle(pruners, matchers, tau, cv[best][1], models.calibrator(scored), report | {"chosen": best}, words)
 
 
 def score_pool(p: DataFrame, pool: DataFrame, bundle: Bundle) -> DataFrame:
@@ -188,12 +208,12 @@ def score_pool(p: DataFrame, pool: DataFrame, bundle: Bundle) -> DataFrame:
 
 
 def predict(records: DataFrame, bundle: Bundle) -> tuple[DataFrame, DataFrame]:
-    """(scored pairs with ``emitted``, universe)."""
+    """(scored pairs with ``pc``, the calibrated score, and ``emitted``; universe)."""
     p = prepared(records, bundle.words)
     scored = cut(score_pool(p, cut(block(p)), bundle))
-    kept = scored.where("p IS NOT NULL").withColumn("pc", F.col("p"))
+    kept = cut(models.apply_calibrator(scored.where("p IS NOT NULL"), bundle.calibrator))
     out = answer(kept, bundle.rule).withColumn("emitted", F.lit(True))
-    return scored.join(out, ["i", "j"], "left").fillna(False, ["emitted"]), p.where("src = 1").select(F.col("id").alias("s1"))
+    return scored.join(kept.select("i", "j", "pc"), ["i", "j"], "left").join(out, ["i", "j"], "left").fillna(False, ["emitted"]), p.where("src = 1").select(F.col("id").alias("s1"))
 
 
 def resolve(new: DataFrame, records: DataFrame, bundle: Bundle) -> DataFrame:

@@ -139,10 +139,19 @@ def legal_match_states(spark, d):
     return _part_pairs(spark, d).select("id", F.round(legal_match(x, y), 6).alias("legal"), side_state(first(x), first(y)).alias("state"), F.round(jaccard(x, y), 6).alias("jac"))
 
 
-@query()
+_ABBREVIATES = "length({x}) >= 2 AND length({x}) < length({y}) AND substr({x}, 1, 1) = substr({y}, 1, 1) AND regexp_matches({y}, '^' || array_to_string(string_split({x}, ''), '.*'))"
+
+
+@query(f"""WITH {NAMES}, e AS (SELECT DISTINCT id, unnest(t) AS word FROM names), idf AS (SELECT word, ln(((SELECT count(*) FROM names) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1 AS w FROM e GROUP BY word),
+ x AS (SELECT id, word, w FROM e JOIN idf USING (word)), m AS (SELECT a.id, a.word AS a, a.w AS wa, b.word AS b, b.w AS wb, CASE WHEN a.word = b.word THEN 1.0 WHEN regexp_full_match(a.word, '[0-9]+') OR regexp_full_match(b.word, '[0-9]+') THEN 0.0
+  WHEN {_ABBREVIATES.format(x='a.word', y='b.word')} OR {_ABBREVIATES.format(x='b.word', y='a.word')} THEN 0.9 ELSE jaro_winkler_similarity(a.word, b.word) END AS s FROM x a JOIN x b ON b.id = a.id + 1),
+ best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id, a ORDER BY s DESC, b) = 1), norm AS (SELECT id, sqrt(sum(w * w)) AS n FROM x GROUP BY id),
+ part_a AS (SELECT id, sum(CASE WHEN s >= 0.88 THEN wa * wb * s ELSE 0 END) AS dot, max(CASE WHEN s < 0.88 THEN wa ELSE 0 END) AS miss FROM best GROUP BY id),
+ part_b AS (SELECT x.id - 1 AS id, max(CASE WHEN h.b IS NULL THEN x.w ELSE 0 END) AS miss FROM x LEFT JOIN (SELECT DISTINCT id, b FROM best WHERE s >= 0.88) h ON h.id = x.id - 1 AND h.b = x.word GROUP BY 1)
+SELECT id, round(dot / (p.n * q.n), 6) AS score, round(part_a.miss, 6) AS miss_a, round(part_b.miss, 6) AS miss_b FROM part_a JOIN part_b USING (id) JOIN norm p USING (id) JOIN norm q ON q.id = part_a.id + 1""")
 def soft_tfidf_names(spark, d):
     n = names(spark, d).select("id", F.lit(1).alias("src"), "t")
-    w = with_idf(n, ["t"]).select("id", "t_w")
+    w = with_idf(n, {"t": ["t"]}).select("id", "t_w")
     x = w.join(w.select((F.col("id") - 1).alias("id"), F.col("t_w").alias("o")), "id").select("id", soft_udf("t_w", "o").alias("s"))
     return x.select("id", *[F.round(f"s.{c}", 6).alias(c) for c in ("score", "miss_a", "miss_b")])
 
