@@ -11,17 +11,21 @@ def odds(p: Column, most: float = 0.999) -> Column:
 
 
 def ranks_and_gaps(pairs: DataFrame) -> DataFrame:
-    """Rank, gap to the best and sum of the others for either side; counts of strong candidates and of claimants."""
+    """Rank, gap to the best and sum of the others for either side; counts of strong candidates and of claimants.
+
+    A popular record has many claims: what they share is aggregated and joined, and a claim's rank is one more than the
+    claims of greater values, which are counted by value.
+    """
     out = pairs
     for side in ("i", "j"):
-        w = Window.partitionBy(side)
-        out = out.select(
-            "*",
-            F.rank().over(w.orderBy(F.desc("p"))).alias(f"ctx_rank_{side}"),
-            (F.max("p").over(w) - F.col("p")).alias(f"ctx_gap_{side}"),
-            (F.sum("p").over(w) - F.col("p")).alias(f"ctx_sum_{side}"),
-        )
-    return out.select("*", F.count_if(F.col("p") >= 0.5).over(Window.partitionBy("i")).alias("ctx_nhi_i"), F.count("*").over(Window.partitionBy("j")).alias("ctx_cnt_j"))
+        more = {"i": F.count_if(F.col("p") >= 0.5).alias("ctx_nhi_i"), "j": F.count("*").alias("ctx_cnt_j")}[side]
+        whole = pairs.groupBy(side).agg(F.max("p").alias("__most"), F.sum("p").alias("__sum"), more)
+        by_value = pairs.groupBy(side, "p").agg(F.count("*").alias("__n"))
+        above = F.coalesce(F.sum("__n").over(Window.partitionBy(side).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        places = by_value.select(side, "p", (above + 1).alias(f"ctx_rank_{side}"))
+        out = out.join(places, [side, "p"]).join(whole, side)
+        out = out.withColumn(f"ctx_gap_{side}", F.col("__most") - F.col("p")).withColumn(f"ctx_sum_{side}", F.col("__sum") - F.col("p")).drop("__most", "__sum")
+    return out.select(*pairs.columns, *[f"ctx_{c}_{s}" for s in "ij" for c in ("rank", "gap", "sum")], "ctx_nhi_i", "ctx_cnt_j")
 
 
 def margins(pairs: DataFrame) -> DataFrame:
@@ -35,7 +39,8 @@ def margins(pairs: DataFrame) -> DataFrame:
 def exclusive_share(pairs: DataFrame) -> DataFrame:
     """The share of j's odds that this claim has, with a claim of weight 1 for nobody."""
     o = odds(F.col("p"))
-    return pairs.select("*", (o / (1 + F.sum(o).over(Window.partitionBy("j")))).alias("ctx_excl_j"))
+    total = pairs.groupBy("j").agg(F.sum(o).alias("__total"))
+    return pairs.join(total, "j").select(*pairs.columns, (o / (1 + F.col("__total"))).alias("ctx_excl_j"))
 
 
 def sibling_support(pairs: DataFrame, likeness: DataFrame, *, least: float = 0.3) -> DataFrame:

@@ -16,7 +16,8 @@ def exclusive(pairs: DataFrame, p: str = "p") -> DataFrame:
     """q: the posterior that i owns j, when j has one owner or none."""
     q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
     o = q / (1 - q)
-    return pairs.select("*", (o / (1 + F.sum(o).over(Window.partitionBy("j")))).alias("q"))
+    total = pairs.groupBy("j").agg(F.sum(o).alias("__total"))
+    return pairs.join(total, "j").select(*pairs.columns, (o / (1 + F.col("__total"))).alias("q"))
 
 
 def by_threshold(pairs: DataFrame, t: float, p: str = "p") -> DataFrame:
@@ -53,13 +54,14 @@ def expected_f_curve(p: Column, most: int = MOST) -> Column:
     return F.when(F.size(p) == 0, F.array(F.lit(1.0))).otherwise(F.concat(F.array(nothing), F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), value)))
 
 
-def candidate_lists(pairs: DataFrame, p: str = "p", most: int = MOST) -> DataFrame:
-    """(i, ids, ps): the candidates of each i, most probable first, as many as a decision looks at."""
+def candidate_lists(pairs: DataFrame, p: str = "p", most: int | None = MOST) -> DataFrame:
+    """(i, ids, ps): the candidates of each i, most probable first: as many as a decision looks at, or all."""
     clipped = F.least(F.greatest(F.col(p), F.lit(1e-9)), F.lit(1 - 1e-9))
     key = F.struct((-clipped).alias("o"), "j")
-    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc(p), "j"))
-    top = pairs.withColumn("__k", rank).where(F.col("__k") <= most + REST)
-    lists = top.groupBy("i").agg(F.array_sort(F.collect_list(key)).alias("c"))
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc(p), "j"))
+        pairs = pairs.withColumn("__k", rank).where(F.col("__k") <= most + REST)
+    lists = pairs.groupBy("i").agg(F.array_sort(F.collect_list(key)).alias("c"))
     return lists.select("i", F.transform("c", lambda x: x["j"]).alias("ids"), F.transform("c", lambda x: -x["o"]).alias("ps"))
 
 
@@ -85,18 +87,17 @@ def _curve(p: np.ndarray, most: int) -> np.ndarray:
     return np.array(out)
 
 
-def review_value(p: np.ndarray, most: int = MOST) -> tuple[float, int]:
-    """(gain, place): how much knowing one candidate's truth raises the best expected F0.5, and which one."""
+def review_value(p: np.ndarray) -> tuple[float, int]:
+    """(gain, place): how much knowing one candidate's truth raises the best expected F0.5 at most, and which one's."""
     if not len(p):
         return 0.0, -1
-    base, best, where = _curve(p, most).max(), 0.0, -1
+    base, gains = _curve(p, len(p)).max(), []
     for c, q in enumerate(p):
         rest = np.delete(p, c)
         yes, no = np.concatenate([[1 - 1e-9], rest]), np.concatenate([rest, [1e-9]])
-        gain = q * _curve(yes, most).max() + (1 - q) * _curve(no, most).max() - base
-        if gain > best + 1e-12:
-            best, where = float(gain), c
-    return best, where
+        gains.append(q * _curve(yes, len(p)).max() + (1 - q) * _curve(no, len(p)).max() - base)
+    where = int(np.argmax(np.round(gains, 12)))
+    return float(gains[where]), where
 
 
 def review_queue(pairs: DataFrame, p: str = "p", *, least: float = 1e-4, top: int = 150) -> DataFrame:
@@ -105,6 +106,6 @@ def review_queue(pairs: DataFrame, p: str = "p", *, least: float = 1e-4, top: in
     def value(ps: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([review_value(np.asarray(x, float)) for x in ps], columns=["gain", "place"])
 
-    got = candidate_lists(pairs, p).withColumn("v", value("ps")).where((F.col("v.gain") > least) & (F.col("v.place") >= 0))
+    got = candidate_lists(pairs, p, None).withColumn("v", value("ps")).where((F.col("v.gain") > least) & (F.col("v.place") >= 0))
     row = got.select("i", F.col("v.gain").alias("gain"), F.element_at("ids", F.col("v.place") + 1).alias("j"), F.element_at("ps", F.col("v.place") + 1).alias("p"))
     return row.orderBy(F.desc(F.round("gain", 9)), "i").limit(top)

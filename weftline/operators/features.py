@@ -17,6 +17,8 @@ from weftline.functions.tokens import (
 )
 from weftline.functions.unicode import fold_marks
 
+#: Name tails where none were mined; fixed values.
+LEGAL = {"llc", "inc", "ltd", "limited", "private", "corp", "gmbh", "sarl", "sas", "sa"}
 CHANNELS = ["name_char", "full_char", "word", "name_char_rev", "full_char_rev", "word_rev", "keys"]
 SOFT = 0.88
 #: Feature order; fixed values.
@@ -31,7 +33,7 @@ CONTEXT_FEATURES = "ctx_p ctx_rank_i ctx_gap_i ctx_sum_i ctx_nhi_i ctx_margin_i
 
 def prepare(records: DataFrame, abbreviations: dict[str, str] | None = None, legal: set[str] | None = None, cues: set[str] | None = None) -> DataFrame:
     """Source records (entity_id, business_name, business_address, country, src) with all that pairs compare."""
-    abbreviations, legal = abbreviations or {}, sorted(legal or {"llc", "inc", "ltd", "limited", "private", "corp", "gmbh", "sarl", "sas", "sa"})
+    abbreviations, legal = abbreviations or {}, sorted(legal or LEGAL)
     slots = address_slots(F.col("business_address"), abbreviations, frozenset(cues)) if cues else address_slots(F.col("business_address"), abbreviations)
     r = records.select(F.col("entity_id").alias("id"), "src", F.col("business_name").alias("name_raw"), F.col("business_address").alias("addr_raw"), "country", replaced(tokens(F.col("business_name")), abbreviations).alias("name_toks"), slots.alias("s"))
     r = r.select("*", strip_tail(F.col("name_toks"), legal).alias("core"), identity_words(F.col("name_toks"), legal).alias("ident"))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from weftline.functions.tokens import token_set, words
 from weftline.functions.unicode import fold_marks
-from weftline.operators import families, metrics, retrieval
-from weftline.operators.features import prepare, prepare_families, record_keys
+from weftline.operators import families, lexicon, metrics, retrieval
+from weftline.operators.features import LEGAL, prepare, prepare_families, record_keys
 
-from .fixtures import RECS, fold_marks_sql, recs, table, vectors, words_sql
+from .fixtures import RECS, fold_marks_sql, fold_sql, recs, skeleton_sql, table, vectors, words_sql
+from .text_queries import SLOTS
 
 QUERIES, ORACLES = {}, {}
 
@@ -47,7 +48,13 @@ def key_block_scores(spark, d):
     return retrieval.top_k(_key_pairs(spark, d), "i", "j", 20).select("i", "j", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
 
 
-@query()
+_LEGAL = "[" + ", ".join(f"'{w}'" for w in sorted(LEGAL)) + "]"
+
+
+@query(f"""WITH {SLOTS}, nm2 AS (SELECT entity_id AS id, src, {words_sql(fold_sql('business_name'))} AS t FROM recs), co AS (SELECT id, src, t, t[1:greatest(1, coalesce(list_max(list_transform(t, lambda x, k: CASE WHEN list_contains({_LEGAL}, x) THEN 0 ELSE k END)), 0))] AS core FROM nm2),
+ a AS (SELECT id, src, core, house, postcode, (CASE WHEN len(cs) = 1 THEN after[1:3] ELSE after END)[1] AS street, array_to_string(list_transform(core, lambda x: substr(x, 1, 1)), '') AS acr FROM co JOIN sl ON entity_id = id)
+SELECT id, src, array_to_string(list_sort(list_filter([CASE WHEN postcode <> '' THEN 'pc|' || postcode END, CASE WHEN house <> '' AND street IS NOT NULL THEN 'hs|' || house || '|' || street END, CASE WHEN len(core) > 0 THEN 'nm|' || array_to_string(list_sort(list_distinct(core)), ' ') END,
+ CASE WHEN len(core) > 0 THEN 'cc|' || array_to_string(core, '') END, CASE WHEN len(core) > 0 AND house <> '' THEN 'nh|' || core[1] || '|' || house END, CASE WHEN length(acr) >= 2 THEN 'ac|' || acr END], lambda x: x IS NOT NULL)), ';') AS keys FROM a""")
 def record_keys_prepared(spark, d):
     p = prepare(recs(spark, d))
     return p.select("id", "src", F.array_join(F.array_sort(record_keys()), ";").alias("keys"))
@@ -73,11 +80,14 @@ def tfidf_postings(spark, d):
     return _postings(spark, d).select("id", "term", "df_all", F.round("w", 6).alias("w"))
 
 
-@query()
+@query(f"""{'WITH ' + _WORDS}, p AS (SELECT id, ' ' || unnest(t) || ' ' AS x FROM w), g AS (SELECT id, substr(x, k, n) AS term FROM (SELECT id, x, n, unnest(range(1, greatest(1, length(x) - n + 1) + 1)) AS k FROM p, (VALUES (2), (3), (4)) v(n))),
+ tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.5 * (SELECT count(*) FROM w)),
+ raw AS (SELECT id, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM w)) / CAST(1 + df AS DOUBLE)) + 1) AS raw FROM tf JOIN df USING (term)),
+ u AS (SELECT id, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM raw) SELECT id, count(*) AS n_terms, round(max(w), 6) AS greatest, round(sum(w), 6) AS total FROM u GROUP BY id""")
 def char_gram_postings(spark, d):
     r = recs(spark, d).select(F.col("entity_id").alias("id"), "src", retrieval.char_terms(fold_marks(F.col("business_name")), 2, 4).alias("terms"))
     p = retrieval.postings(r, min_df=2, max_df=0.5)
-    return p.groupBy("id").agg(F.count("*").alias("n_terms"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("length"))
+    return p.groupBy("id").agg(F.count("*").alias("n_terms"), F.round(F.max("w"), 6).alias("greatest"), F.round(F.sum("w"), 6).alias("total"))
 
 
 def _top_sql(by: str, other: str, k: int) -> str:
@@ -94,6 +104,20 @@ def tfidf_topk_rev(spark, d):
     return retrieval.top_k(_cosines(spark, d), "j", "i", 5).select("i", "j", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
 
 
+@query(f"""WITH RECURSIVE {_PAIRS}, lab AS (SELECT id, country || '-' || CAST(split_part(id, '-', 2) AS BIGINT) % 3 AS label FROM w), vol AS (SELECT label, count(*) AS n FROM lab GROUP BY 1),
+ near AS (SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j) = 1), met AS (SELECT least(a.label, b.label) AS x, greatest(a.label, b.label) AS y FROM near JOIN lab a ON a.id = i JOIN lab b ON b.id = j WHERE sim >= 0.75 AND a.label <> b.label),
+ ok AS (SELECT x, y FROM met JOIN vol p ON p.label = x JOIN vol q ON q.label = y GROUP BY x, y, p.n, q.n HAVING count(*) >= greatest(5, 0.05 * least(p.n, q.n))), edge AS (SELECT x, y FROM ok UNION SELECT y, x FROM ok),
+ reach AS (SELECT label AS x, label AS y FROM vol UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y)
+SELECT reach.x AS label, max_by(reach.y, (n, reach.y)) AS canonical FROM reach JOIN vol ON vol.label = reach.y GROUP BY 1""")
+def country_groups(spark, d):
+    """Labels are the language and a third of the records, so that groups of labels name one language."""
+    of = recs(spark, d).select(F.col("entity_id").alias("id"), F.concat_ws("-", "country", (F.split_part("entity_id", F.lit("-"), F.lit(2)).cast("long") % 3).cast("string")).alias("label"))
+    best = retrieval.top_k(_cosines(spark, d), "i", "j", 1)
+    links = best.join(of.select(F.col("id").alias("i"), F.col("label").alias("a")), "i").join(of.select(F.col("id").alias("j"), F.col("label").alias("b")), "j")
+    found = lexicon.country_groups(links.select("a", "b", "sim"), of.groupBy("label").agg(F.count("*").alias("n")))
+    return spark.createDataFrame(sorted(found.items()), "label string, canonical string")
+
+
 @query("""WITH v AS (SELECT vec_id AS id, CASE WHEN label = 0 THEN 1 ELSE 2 END AS src, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT x.id AS i, y.id AS j, list_cosine_similarity(x.v, y.v) AS sim FROM v x, v y WHERE x.src = 1 AND y.src = 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j) AS rank FROM s) SELECT i, j, CAST(rank AS BIGINT) AS rank, round(sim, 6) AS sim FROM r WHERE rank <= 10""")
 def vector_topk(spark, d):
@@ -180,9 +204,11 @@ def key_families(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
 
 
-@query()
+@query(f"""WITH {_PREP}, s AS (SELECT id, country, {words_sql(skeleton_sql("array_to_string(nt, ' ')"))} AS t FROM r WHERE src = 1), x AS (SELECT DISTINCT id, country, unnest(t[1:8]) AS x FROM s),
+ k AS (SELECT DISTINCT a.id, 'sk' || chr(31) || a.country || chr(31) || a.x || chr(31) || b.x AS key FROM x a JOIN x b USING (id) WHERE a.x < b.x) SELECT id, md5(key) AS key FROM k""")
 def key_family_skeletons(spark, d):
-    return families.family_keys(_families(spark, d), "sk").groupBy("id").agg(F.count("*").alias("n_keys"))
+    """Of the other side only records in an Indic script have these keys; the table holds none."""
+    return families.family_keys(_families(spark, d), "sk").select("id", F.md5("key").alias("key"))
 
 
 @query(f"WITH {_FAMILY_PAIRS} SELECT fam, md5(key) AS key, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(w, 6) AS w FROM ww")

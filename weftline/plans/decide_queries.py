@@ -95,13 +95,27 @@ def expected_f_curve(spark, d):
     return got.select("i", "k", F.round("f", 6).alias("f"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EXCLUSIVE}, l AS (SELECT i, list(least(greatest(q, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE) ORDER BY q DESC, j) AS ps, list(j ORDER BY q DESC, j) AS js FROM q GROUP BY i), k AS (SELECT i, ps, unnest(range(1, least(len(ps), 12) + 1)) AS k FROM l),
+ st AS (SELECT i, k, 0 AS s, ps, 0::BIGINT AS x, 0::BIGINT AS y, 1.0::DOUBLE AS m FROM k UNION ALL SELECT i, k, s + 1, any_value(ps), x, y, sum(m) FROM (
+   SELECT i, k, s, ps, x + CASE WHEN s < k THEN b ELSE 0 END AS x, y + CASE WHEN s < k THEN 0 ELSE b END AS y, m * CASE WHEN b = 1 THEN ps[s + 1] ELSE 1 - ps[s + 1] END AS m FROM st, (VALUES (0), (1)) v(b) WHERE s < len(ps)) GROUP BY i, k, s, x, y),
+ f AS (SELECT i, k, sum(m * 1.25 * x / (k + 0.25 * (x + y))) AS f FROM st WHERE s = len(ps) GROUP BY 1, 2 UNION ALL SELECT i, 0, list_product(list_transform(ps, lambda p: 1 - p)) FROM l),
+ best AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(f, 12) DESC, k) = 1)
+SELECT i, CAST(k AS INTEGER) AS k, round(f, 6) AS expected, array_to_string(js[1:k], ',') AS ids FROM best JOIN l USING (i)""")
 def choose_set(spark, d):
     got = decide.choose_sets(decide.exclusive(pair_graph(spark, d)).drop("p").withColumnRenamed("q", "p"))
     return got.select("i", "k", F.round("expected", 6).alias("expected"), F.array_join("ids", ",").alias("ids"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS}, l AS (SELECT i, list(least(greatest(p, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE) ORDER BY p DESC, j) AS ps, list(j ORDER BY p DESC, j) AS js FROM pairs GROUP BY i),
+ o AS (SELECT i, ps, unnest(range(1, len(ps) + 1)) AS c FROM l), v AS (SELECT i, 0 AS c, 0 AS b, ps FROM l UNION ALL SELECT i, c, 1, list_prepend(1 - 1e-9::DOUBLE, list_concat(ps[1:c - 1], ps[c + 1:])) FROM o UNION ALL SELECT i, c, 0, list_append(list_concat(ps[1:c - 1], ps[c + 1:]), 1e-9::DOUBLE) FROM o),
+ k AS (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM v),
+ st AS (SELECT i, c, b, k, 0 AS s, ps, 0::BIGINT AS x, 0::BIGINT AS y, 1.0::DOUBLE AS m FROM k UNION ALL SELECT i, c, b, k, s + 1, any_value(ps), x, y, sum(m) FROM (
+   SELECT i, c, st.b, k, s, ps, x + CASE WHEN s < k THEN h ELSE 0 END AS x, y + CASE WHEN s < k THEN 0 ELSE h END AS y, m * CASE WHEN h = 1 THEN ps[s + 1] ELSE 1 - ps[s + 1] END AS m FROM st, (VALUES (0), (1)) t(h) WHERE s < len(ps)) GROUP BY i, c, b, k, s, x, y),
+ f AS (SELECT i, c, b, sum(m * 1.25 * x / (k + 0.25 * (x + y))) AS f FROM st WHERE s = len(ps) GROUP BY i, c, b, k UNION ALL SELECT i, c, b, list_product(list_transform(ps, lambda p: 1 - p)) FROM v),
+ best AS (SELECT i, c, b, max(f) AS f FROM f GROUP BY 1, 2, 3),
+ gain AS (SELECT o.i, o.c, o.ps[o.c] AS p, o.ps[o.c] * y.f + (1 - o.ps[o.c]) * n.f - z.f AS gain FROM o JOIN best y ON y.i = o.i AND y.c = o.c AND y.b = 1 JOIN best n ON n.i = o.i AND n.c = o.c AND n.b = 0 JOIN best z ON z.i = o.i AND z.c = 0),
+ one AS (SELECT * FROM gain QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(gain, 12) DESC, c) = 1)
+SELECT i, round(gain, 6) AS gain, js[c] AS j, round(p, 6) AS p FROM one JOIN l USING (i) WHERE gain > 1e-4 ORDER BY round(gain, 9) DESC, i LIMIT 150""")
 def evpi_queue(spark, d):
     return decide.review_queue(pair_graph(spark, d)).select("i", F.round("gain", 6).alias("gain"), "j", F.round("p", 6).alias("p"))
 

@@ -35,6 +35,13 @@ def fold_marks_sql(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({x})), '[''’`]', '', 'g'), '[&+]', ' and ', 'g'), '[^a-z0-9ß]+', ' ', 'g'))"
 
 
+def skeleton_sql(x: str) -> str:
+    steps = [("ph", "f"), ("ck|q|c", "k"), ("[vw]", "w"), ("z", "s"), ("([a-z])h", r"\1"), ("(^| )[aeiouy]+", r"\1a"), ("([a-z])[aeiouy]+", r"\1")]
+    for a, b in [*steps, *((f"{c}{c}+", c) for c in "bdfgjklmnprstwx")]:
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    return x
+
+
 def words_sql(folded: str) -> str:
     return f"list_filter(string_split({folded}, ' '), lambda x: x <> '')"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import kernels
-from weftline.functions.address import address_slots
+from weftline.functions.address import LANDMARK_CUES, address_slots
 from weftline.functions.phonetic import skeleton, transliterate
 from weftline.functions.tokens import acronym, char_ngrams, house_numbers, identity_words, is_abbreviation, jaccard, legal_match, number_runs, side_state, sorted_key, strip_tail, token_set, tokens, words
 from weftline.functions.unicode import fold, fold_marks
@@ -13,7 +13,7 @@ from weftline.operators import lexicon
 from weftline.operators.features import idf, with_idf, soft_udf
 from weftline.sources.records import explode_truth, pair_lists
 
-from .fixtures import NAMES, PAIRS, RECS, UNIVERSE, fold_marks_sql, fold_sql, names, pair_graph, recs, table, universe, words_sql
+from .fixtures import NAMES, PAIRS, RECS, UNIVERSE, fold_marks_sql, fold_sql, names, pair_graph, recs, skeleton_sql, table, universe, words_sql
 
 QUERIES, ORACLES = {}, {}
 TAIL = ["widget", "gadget", "bolt", "gear", "steel", "brass"]
@@ -57,14 +57,7 @@ def fold_er(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(fold_marks(F.col("text"))).alias("folded"))
 
 
-def _skeleton_sql(x: str) -> str:
-    steps = [("ph", "f"), ("ck|q|c", "k"), ("[vw]", "w"), ("z", "s"), ("([a-z])h", r"\1"), (r"\b[aeiouy]+", "a"), ("([a-z])[aeiouy]+", r"\1")]
-    for a, b in [*steps, *((f"{c}{c}+", c) for c in "bdfgjklmnprstwx")]:
-        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
-    return x
-
-
-@query(f"SELECT p_partkey, {_skeleton_sql(fold_marks_sql('p_name'))} AS skeleton FROM part")
+@query(f"SELECT p_partkey, {skeleton_sql(fold_marks_sql('p_name'))} AS skeleton FROM part")
 def skeleton_key(spark, d):
     return table(spark, d, "part").select("p_partkey", skeleton(fold_marks(F.col("p_name"))).alias("skeleton"))
 
@@ -104,7 +97,23 @@ def acronym_concat(spark, d):
     return names(spark, d).select("id", acronym(t).alias("acronym"), F.array_join(t, "").alias("joined"), F.array_join(token_set(t), " ").alias("token_set"))
 
 
-@query()
+_CUES = "|".join(sorted(LANDMARK_CUES, key=lambda x: (-len(x), x)))
+# Numbers stay in place while the words between them are folded; RE2 has no look-ahead, so the digit after a landmark's own number is put back.
+SLOTS = rf"""{RECS}, cl AS (SELECT entity_id, k, u FROM (SELECT entity_id, unnest(regexp_split_to_array(lower(business_address), '[,;|]+')) AS u, generate_subscripts(regexp_split_to_array(lower(business_address), '[,;|]+'), 1) AS k FROM recs)),
+ nm AS (SELECT entity_id, k, regexp_extract_all(u, '[0-9]+(?:\s*[/-]\s*[0-9]+)*[a-z]?') AS ns, regexp_split_to_array(u, '[0-9]+(?:\s*[/-]\s*[0-9]+)*[a-z]?') AS bs FROM cl),
+ flat AS (SELECT entity_id, k, trim(regexp_replace(array_to_string(list_transform(range(1, len(bs) + 1), lambda m: {fold_sql('bs[m]')} || ' ' || coalesce(regexp_replace(ns[m], '\s', '', 'g'), '')), ' '), ' +', ' ', 'g')) AS c FROM nm),
+ mark AS (SELECT entity_id, k, c, regexp_replace(c, '\b(?:{_CUES})\b[^0-9]*(?:[0-9][^ ]* ([0-9]))?', '\1', 'g') AS o FROM flat),
+ kept AS (SELECT entity_id, k, list_filter(string_split(o, ' '), lambda x: x <> '') AS ws, o <> c AS lm FROM mark),
+ rec AS (SELECT entity_id, coalesce(list(ws ORDER BY k) FILTER (len(ws) > 0), []) AS cs, bool_or(lm) AS landmark FROM kept GROUP BY entity_id),
+ num AS (SELECT *, list_filter(flatten(cs), lambda x: regexp_matches(x, '^[0-9]')) AS ns FROM rec),
+ pc AS (SELECT *, coalesce(list_filter(list_transform(list_filter(ns, lambda x: NOT regexp_matches(x, '[/-]')), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) >= 5)[-1], '') AS postcode FROM num),
+ hs AS (SELECT *, coalesce(list_filter(ns, lambda x: regexp_replace(x, '[^0-9]', '', 'g') <> postcode)[1], '') AS house FROM pc),
+ st AS (SELECT *, list_filter(cs, lambda c: list_contains(c, house))[1] AS own, list_filter(cs, lambda c: NOT list_contains(c, house)) AS other FROM hs),
+ sl AS (SELECT *, list_filter(own[list_position(own, house) + 1:], lambda x: NOT regexp_matches(x, '^[0-9]')) AS after, CASE WHEN len(cs) > 1 THEN flatten(other[-2:]) ELSE flatten(cs)[-2:] END AS ends FROM st)"""
+
+
+@query(f"""WITH {SLOTS} SELECT entity_id, house, postcode, array_to_string(list_sort(list_distinct(list_concat(list_transform(ns, lambda x: CASE WHEN length(regexp_replace(x, '[^0-9]', '', 'g')) >= 5 THEN regexp_replace(x, '[^0-9]', '', 'g') ELSE x END), flatten(list_transform(ns, lambda x: regexp_split_to_array(x, '[/-]')))))), ',') AS numbers,
+ coalesce(array_to_string(CASE WHEN len(cs) = 1 THEN after[1:3] ELSE after END, ' '), '') AS street, array_to_string(list_filter(ends, lambda x: NOT regexp_matches(x, '^[0-9]')), ' ') AS tail, landmark FROM sl""")
 def address_slots_records(spark, d):
     r = recs(spark, d).select("entity_id", address_slots(F.col("business_address")).alias("s"))
     return r.select("entity_id", "s.house", "s.postcode", F.array_join("s.numbers", ",").alias("numbers"), F.array_join("s.street", " ").alias("street"), F.array_join("s.tail", " ").alias("tail"), "s.landmark")
@@ -125,7 +134,22 @@ def jaro_winkler_names(spark, d):
     return _part_pairs(spark, d).select("id", F.round(kernels.jaro_winkler_ratio(F.col("a"), F.col("b")), 6).alias("jw"))
 
 
-@query()
+# The longest common subsequence of all needed pairs of strings, a character of x at a time; t is the row of the table.
+_INDEL = f"""{_PART_PAIRS}, ab AS (SELECT DISTINCT a, b FROM pp), w AS (SELECT a, b, list_sort(list_distinct(string_split(a, ' '))) AS x, list_sort(list_distinct(string_split(b, ' '))) AS y FROM ab),
+ parts AS (SELECT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb, array_to_string(list_filter(x, lambda v: list_contains(y, v)), ' ') AS com,
+  array_to_string(list_filter(x, lambda v: NOT list_contains(y, v)), ' ') AS l, array_to_string(list_filter(y, lambda v: NOT list_contains(x, v)), ' ') AS r FROM w),
+ sides AS (SELECT *, trim(com || ' ' || l) AS one, trim(com || ' ' || r) AS other FROM parts), short AS (SELECT a, b, CASE WHEN length(a) > length(b) THEN b ELSE a END AS s, CASE WHEN length(a) > length(b) THEN a ELSE b END AS g FROM ab),
+ cuts AS (SELECT a, b, s AS x, substr(g, greatest(k, 0) + 1, least(length(g), k + length(s)) - greatest(k, 0)) AS y FROM (SELECT *, unnest(range(1 - length(s), length(g))) AS k FROM short)),
+ need AS (SELECT a AS x, b AS y FROM ab UNION SELECT sa, sb FROM parts UNION SELECT one, other FROM sides UNION SELECT com, one FROM sides UNION SELECT com, other FROM sides UNION SELECT x, y FROM cuts),
+ step AS (SELECT x, y, 0 AS k, list_transform(range(0, length(y) + 1), lambda j: 0::BIGINT) AS t FROM need
+  UNION ALL SELECT x, y, k + 1, list_reduce(list_transform(range(1, length(y) + 1), lambda j: [j]), lambda acc, j: list_append(acc, CASE WHEN x[k + 1] = y[j[1]] THEN t[j[1]] + 1 ELSE greatest(t[j[1] + 1], acc[j[1]]) END), [0::BIGINT]) FROM step WHERE k < length(x)),
+ sim AS (SELECT x, y, CASE WHEN length(x) + length(y) = 0 THEN 1.0 ELSE 2.0 * t[length(y) + 1] / (length(x) + length(y)) END AS v FROM step WHERE k = length(x)),
+ best AS (SELECT a, b, max(v) AS v FROM cuts JOIN sim USING (x, y) GROUP BY a, b),
+ got AS (SELECT s.a, s.b, p.v AS ratio, q.v AS token_sort_ratio, CASE WHEN com <> '' AND (l = '' OR r = '') THEN 1.0 WHEN com = '' THEN o.v ELSE greatest(o.v, c.v, d.v) END AS token_set_ratio, best.v AS partial_ratio
+  FROM sides s JOIN sim p ON p.x = s.a AND p.y = s.b JOIN sim q ON q.x = sa AND q.y = sb JOIN sim o ON o.x = one AND o.y = other JOIN sim c ON c.x = com AND c.y = one JOIN sim d ON d.x = com AND d.y = other JOIN best ON best.a = s.a AND best.b = s.b)"""
+
+
+@query(f"WITH RECURSIVE {_INDEL} SELECT id, round(ratio, 6) AS ratio, round(token_sort_ratio, 6) AS token_sort_ratio, round(token_set_ratio, 6) AS token_set_ratio, round(partial_ratio, 6) AS partial_ratio FROM pp JOIN got USING (a, b)")
 def indel_ratios(spark, d):
     a, b = F.col("a"), F.col("b")
     return _part_pairs(spark, d).select("id", *[F.round(f(a, b), 6).alias(f.__name__) for f in (kernels.ratio, kernels.token_sort_ratio, kernels.token_set_ratio, kernels.partial_ratio)])
@@ -202,16 +226,6 @@ def landmark_cues(spark, d):
     return lexicon.landmark_cue_counts(p)
 
 
-@query()
-def country_groups(spark, d):
-    r = recs(spark, d)
-    a, b = r.where("src = 1").select("business_name", F.col("country").alias("a")), r.where("src <> 1").select("business_name", F.col("country").alias("b"))
-    links = a.join(b, "business_name").select("a", "b", F.lit(1.0).alias("sim"))
-    volumes = r.groupBy(F.col("country").alias("label")).agg(F.count("*").alias("n"))
-    found = lexicon.country_groups(links, volumes)
-    return spark.createDataFrame(sorted(found.items()), "label string, canonical string")
-
-
 @query(f"WITH {_PART_PAIRS}, f AS (SELECT id, string_split(a, ' ')[1] AS x, string_split(b, ' ')[1] AS y FROM pp) SELECT id, length(x) < length(y) AND regexp_matches(y, '^' || array_to_string(string_split(x, ''), '.*')) AS is_abbrev FROM f")
 def abbreviation_test(spark, d):
     x, y = F.element_at(F.split("a", " "), 1), F.element_at(F.split("b", " "), 1)
