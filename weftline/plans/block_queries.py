@@ -275,10 +275,11 @@ def recall_at_k(spark, d):
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("found")) for k in _KS])).alias("x")).select("x.*")
 
 
-@query(f"WITH {_FUSED}, {_TRUTH}, m AS (SELECT * FROM dt WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.i = dt.i AND cut.j = dt.j)) SELECT CAST(len(list_intersect(list_distinct(a.nt), list_distinct(b.nt))) AS INTEGER) AS shared, count(*) AS n FROM m JOIN r a ON a.id = m.i JOIN r b ON b.id = m.j GROUP BY 1")
+@query(f"WITH {_FAMILY_PAIRS}, {_TRUTH}, m AS (SELECT * FROM dt WHERE NOT EXISTS (SELECT 1 FROM fp WHERE fp.fam = 'aw' AND fp.i = dt.i AND fp.j = dt.j)) SELECT CAST(len(list_intersect(list_distinct(a.nt), list_distinct(b.nt))) AS INTEGER) AS shared, count(*) AS n FROM m JOIN r a ON a.id = m.i JOIN r b ON b.id = m.j GROUP BY 1")
 def miss_profile(spark, d):
-    r = _families(spark, d).select("id", "nt")
-    missed = _truth(spark, d).join(families.fused(_family_pairs(spark, d), _FAMILIES), ["i", "j"], "left_anti")
+    """How many name words the true pairs have in common that keys of address words alone don't find."""
+    r = _families(spark, d)
+    missed = _truth(spark, d).join(families.family_pairs(r, "aw"), ["i", "j"], "left_anti")
     x = missed.join(r.select(F.col("id").alias("i"), F.col("nt").alias("a")), "i").join(r.select(F.col("id").alias("j"), F.col("nt").alias("b")), "j")
     return x.groupBy(F.size(F.array_intersect("a", "b")).alias("shared")).agg(F.count("*").alias("n"))
 
@@ -312,13 +313,29 @@ def blocking_quality(spark, d):
     return q.select("n_pairs", *[F.round(c, 6).alias(c) for c in ("pairs_per_s1", "recall", "reduction")])
 
 
-@query()
+_COPIES = f"""{_WORDS}, n AS (SELECT id, src, array_to_string(t, ' ') AS s FROM w), cp AS (SELECT f, id || '#' || c AS id, src, list_filter(string_split(CASE WHEN c = 1 THEN s ELSE substr(s, 1, 3 * c - 1) || substr(s, 3 * c + 1) END, ' '), lambda x: x <> '') AS t
+  FROM (SELECT *, unnest(range(1, f + 1)) AS c FROM n, (VALUES (1), (2), (4)) v(f))),
+ e AS (SELECT DISTINCT f, id, src, unnest(t) AS term FROM cp), df AS (SELECT f, term, count(*) AS df FROM e GROUP BY ALL), x AS (SELECT e.*, df FROM e JOIN df USING (f, term)),
+ pr AS (SELECT a.f, a.id AS i, b.id AS j, min(a.df) AS least FROM x a JOIN x b USING (f, term) WHERE a.src = 1 AND b.src <> 1 GROUP BY ALL),
+ pts AS (SELECT 'exact' AS mode, f, count(*) AS n FROM pr GROUP BY f UNION ALL SELECT 'capped', f, count(*) FILTER (least <= 100) FROM pr GROUP BY f)"""
+
+
+@query(f"WITH {_COPIES} SELECT mode, round(regr_slope(ln(n), ln(f)), 4) AS b FROM pts GROUP BY mode")
 def replicate_scaling(spark, d):
-    """Pairs of blocking over one, two and four copies of the records, and the power they grow by."""
-    base = _name_words(spark, d).select("id", "src", "t")
-    points = None
-    for f in (1, 2, 4):
-        copies = base.select(F.explode(F.sequence(F.lit(1), F.lit(f))).alias("c"), "id", "src", "t").select(F.concat_ws("#", "id", "c").alias("id"), "src", F.transform("t", lambda x: F.concat_ws("~", x, (F.col("c")).cast("string"))).alias("terms"))
-        n = retrieval.cosine_pairs(retrieval.postings(copies), df_cap=100).agg(F.lit(float(f)).alias("factor"), F.count("*").cast("double").alias("n"))
-        points = n if points is None else points.unionByName(n)
-    return metrics.power_law(points, "factor", "n").select(F.round("b", 4).alias("b"))
+    """The power by which pairs of blocking grow over one, two and four copies of the records, exact and capped.
+
+    Each further copy lacks one character of its name, so that copies meet the others' words.
+    """
+    base = _name_words(spark, d).select("id", "src", F.array_join("t", " ").alias("s"))
+    out = None
+    for mode, cap in (("exact", None), ("capped", 100)):
+        points = None
+        for f in (1, 2, 4):
+            copies = base.select(F.explode(F.sequence(F.lit(1), F.lit(f))).alias("c"), "id", "src", "s")
+            changed = F.when(F.col("c") == 1, F.col("s")).otherwise(F.concat(F.substr("s", F.lit(1), 3 * F.col("c") - 1), F.substr("s", 3 * F.col("c") + 1)))
+            copies = copies.select(F.concat_ws("#", "id", "c").alias("id"), "src", words(changed).alias("terms"))
+            n = retrieval.cosine_pairs(retrieval.postings(copies), df_cap=cap).agg(F.lit(float(f)).alias("factor"), F.count("*").cast("double").alias("n"))
+            points = n if points is None else points.unionByName(n)
+        fitted = metrics.power_law(points, "factor", "n").select(F.lit(mode).alias("mode"), F.round("b", 4).alias("b"))
+        out = fitted if out is None else out.unionByName(fitted)
+    return out

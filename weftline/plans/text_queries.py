@@ -62,14 +62,15 @@ def skeleton_key(spark, d):
     return table(spark, d, "part").select("p_partkey", skeleton(fold_marks(F.col("p_name"))).alias("skeleton"))
 
 
-#: Names in four scripts; fixed values.
-SCRIPTS = ["राम भरोसे", "শ্রী গণেশ", "వెంకటేశ్వర", "મહાદેવ ૧૨", "Plain name"]
+#: Latin letters and Devanagari ones that are read alike; fixed values. Vowels are dependent signs.
+LETTERS = ("bcdfghjklmnpqrstvwxyzaeiou", "बचदफगहजकलमनपकरसतववकयजािेोु".replace("ािेोु", "ा\u0947\u093f\u094b\u0941"))
 
 
-@query()
+@query(r"""WITH v AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(translate(p_name, 'qxwz', 'kkvj'), '([b-df-hj-np-tv-z])', '\1a', 'g'), 'a+([eiou])', '\1', 'g'), 'aa+', 'a', 'g') AS s FROM part)
+SELECT p_partkey, regexp_replace(replace(s, 'fa', 'pha'), '([b-df-hj-np-tv-z])a\b', '\1', 'g') AS latin FROM (SELECT p_partkey, regexp_replace(s, 'f([eiou])', 'ph\1', 'g') AS s FROM v)""")
 def indic_translit(spark, d):
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(SCRIPTS)], "id int, name string")
-    return df.select("id", fold_marks(transliterate(F.col("name"))).alias("latin"), skeleton(fold_marks(transliterate(F.col("name")))).alias("key"))
+    """Part names written in Devanagari, letter by letter, and read again."""
+    return table(spark, d, "part").select("p_partkey", transliterate(F.translate("p_name", *LETTERS)).alias("latin"))
 
 
 @query(r"WITH p AS (SELECT p_partkey, ' ' || p_name || ' ' AS s FROM part) SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(range(1, length(s) - 1), lambda k: substr(s, k, 3)))), '|') AS grams FROM p")
@@ -185,31 +186,49 @@ def idf_table(spark, d):
     return idf(names(spark, d), "t").select("word", F.round("idf", 6).alias("idf"))
 
 
-#: Matched names with short and long spellings; fixed values.
-SHORT_FORMS = [("rd", "road"), ("blvd", "boulevard"), ("mkt", "market"), ("st", "street")]
-
-
 def _spelled_pairs(spark, d):
-    """Part names against themselves with a street word, short on one side."""
-    p = table(spark, d, "part").select("p_partkey", "p_name")
-    forms = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in SHORT_FORMS])
-    f = F.get(forms, (F.col("p_partkey") % len(SHORT_FORMS)).cast("int"))
-    return p.select(F.concat_ws(" ", "p_name", f["x"]).alias("a"), F.concat_ws(" ", "p_name", f["y"]).alias("b"))
+    """Part names with the next part's, or with themselves without the vowels after a word's first letter."""
+    p = _part_pairs(spark, d)
+    short = F.regexp_replace("a", r"\B[aeiou]", "")
+    return p.select("a", F.when(F.col("id") % 3 == 0, F.col("b")).otherwise(short).alias("b"))
 
 
-_FORMS = "forms AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(SHORT_FORMS)) + ") v(k, x, y))"
+_VOTES = rf"""{_PART_PAIRS}, sp AS (SELECT id, string_split(a, ' ') AS x, string_split(CASE WHEN id % 3 = 0 THEN b ELSE regexp_replace(a, '\B[aeiou]', '', 'g') END, ' ') AS y FROM pp),
+ one AS (SELECT list_distinct(list_filter(x, lambda v: NOT list_contains(y, v))) AS x, list_distinct(list_filter(y, lambda v: NOT list_contains(x, v))) AS y FROM sp), side AS (SELECT * FROM one WHERE len(x) BETWEEN 1 AND 8 AND len(y) BETWEEN 1 AND 8),
+ seen AS (SELECT short, count(*) AS seen FROM (SELECT unnest(list_concat(x, y)) AS short FROM side) GROUP BY 1), both_ AS (SELECT p, unnest(y) AS q FROM (SELECT unnest(x) AS p, y FROM side)), turned AS (SELECT p, q FROM both_ UNION ALL SELECT q, p FROM both_),
+ votes AS (SELECT p AS short, q AS long, count(*) AS votes FROM turned WHERE length(q) - length(p) >= 2 AND regexp_matches(q, '^' || array_to_string(string_split(p, ''), '.*')) GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_FORMS} SELECT x AS short, y AS long, count(*) AS votes, count(*) AS seen FROM part JOIN forms ON p_partkey % {len(SHORT_FORMS)} = k GROUP BY 1, 2")
+@query(f"WITH {_VOTES} SELECT short, long, votes, seen FROM votes JOIN seen USING (short)")
 def abbrev_votes(spark, d):
     return lexicon.abbreviation_votes(_spelled_pairs(spark, d))
 
 
-@query(f"WITH {_FORMS} SELECT x AS short, y AS long FROM part JOIN forms ON p_partkey % {len(SHORT_FORMS)} = k GROUP BY 1, 2 HAVING count(*) >= 5")
+@query(f"""WITH {_VOTES}, t AS (SELECT *, sum(votes) OVER (PARTITION BY short) AS total, row_number() OVER (PARTITION BY short ORDER BY votes DESC, long) AS k FROM votes JOIN seen USING (short)),
+ kept AS (SELECT short, long FROM t WHERE k = 1 AND votes >= 5 AND votes >= 0.6 * total AND votes >= 0.3 * seen) SELECT short, long FROM kept WHERE short NOT IN (SELECT long FROM kept)""")
 def abbrev_mined(spark, d):
     return lexicon.mine_abbreviations(_spelled_pairs(spark, d))
 
 
+# Names that end in two words of kinds, peeled off one after the other.
+_TYPED = "names3 AS (SELECT p_partkey AS id, list_concat(string_split(p_name, ' '), string_split(lower(p_type), ' ')) AS t FROM part)"
+
+
+def _tail_sql(k: int) -> str:
+    """Round ``k`` of peeling, after the words of the rounds before."""
+    found = " UNION ALL ".join(f"SELECT word FROM r{i}" for i in range(1, k)) or "SELECT '' AS word WHERE false"
+    names_ = f"n{k} AS (SELECT id, t[1:greatest(1, coalesce(list_max(list_transform(t, lambda x, p: CASE WHEN list_contains(ws, x) THEN 0 ELSE p END)), 0))] AS t FROM names3, (SELECT coalesce(list(word), []) AS ws FROM ({found})))" if k > 1 else "n1 AS (SELECT * FROM names3)"
+    return f"""{names_}, s{k} AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT id, unnest(t) AS word FROM n{k} WHERE len(t) >= 2) GROUP BY word), l{k} AS (SELECT t[-1] AS word, count(*) AS n_last FROM n{k} WHERE len(t) >= 2 GROUP BY 1),
+ r{k} AS (SELECT word FROM s{k} JOIN l{k} USING (word) WHERE n_last >= 0.55 * n AND n >= 0.002 * (SELECT count(*) FROM n{k} WHERE len(t) >= 2) AND NOT regexp_matches(word, '^[0-9]+$'))"""
+
+
+@query(f"WITH {_TYPED}, {_tail_sql(1)}, {_tail_sql(2)}, {_tail_sql(3)}, {_tail_sql(4)} SELECT DISTINCT word FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4)")
+def legal_tails(spark, d):
+    """All rounds of peeling words off the ends of names."""
+    p = table(spark, d, "part").select(F.concat(F.split("p_name", " "), F.split(F.lower("p_type"), " ")).alias("t"))
+    return spark.createDataFrame([(w,) for w in sorted(lexicon.mine_tails(p))], "word string")
+
+
 @query(f"""WITH {NAMES}, s AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT id, unnest(t) AS word FROM names WHERE len(t) >= 2) GROUP BY word), l AS (SELECT t[-1] AS word, count(*) AS n_last FROM names WHERE len(t) >= 2 GROUP BY 1)
 SELECT word, n, n_last FROM s JOIN l USING (word) WHERE n_last >= 0.55 * n AND n >= 0.002 * (SELECT count(*) FROM names WHERE len(t) >= 2)""")
 def legal_token_mining(spark, d):
