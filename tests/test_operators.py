@@ -114,6 +114,18 @@ def test_retrieval_matches_matrix(spark):
     assert set(got) == {("a", "b"), ("d", "b"), ("d", "c")}
 
 
+def test_dense_search_by_blocks(spark):
+    """The same neighbours whatever the blocks, ties by id."""
+    x = np.random.default_rng(2).integers(-3, 4, size=(90, 4)).astype(float)
+    x[x.any(axis=1) == False] = 1.0  # noqa: E712
+    df = spark.createDataFrame([(i, 1 + i % 3, v.tolist()) for i, v in enumerate(x)], "id long, src int, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j, r + 1) for i in range(0, 90, 3) for r, j in enumerate(sorted((j for j in range(90) if j % 3), key=lambda j: (-round(u[i] @ u[j], 9), j))[:5])}
+    for block in (7, 4096):
+        assert {(r.i, r.j, r["rank"]) for r in retrieval.dense_top_k(df, 5, block=block).collect()} == want
+    assert retrieval.dense_top_k(df.where("src = 1"), 5).count() == 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "s.tsv").write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\textra\nS1-1\t "NA" x\t\tIN\tz\nS2-2\tNA\t a \tFR\tz\n')
     got = {r.entity_id: (r.business_name, r.business_address, r.src) for r in records.with_source(records.read_source(spark, str(tmp_path / "s.tsv"))).collect()}

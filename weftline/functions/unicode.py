@@ -1,6 +1,7 @@
-"""Folding of text to comparable words. ASCII rows stay in the JVM; other rows go through one Arrow function.
+"""Folding of text to comparable words. Rows in Latin script stay in the JVM; others go through one Arrow function.
 
-Spark has no NFKC or NFKD, so only rows with a non-ASCII character need Python. Two folds are kept apart:
+Spark has no NFKC or NFKD. Characters that fold to one ASCII character, whatever stands beside them, are translated; only
+rows with others need Python. Two folds are kept apart:
 ``fold`` joins dotted initials and spells out ``&``; ``fold_marks`` deletes apostrophes and all marks first.
 """
 
@@ -8,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,18 +57,38 @@ def _only_if(condition: Column, value: Column) -> Column:
     return F.when(condition, value)
 
 
+def _alike(one: Callable[[str], str], kept: str = "") -> tuple[str, str]:
+    """Non-ASCII characters that ``one`` turns into one ASCII character or into none (a space), and those characters.
+
+    Combining marks aren't among them, so a character means the same in any text.
+    """
+    found = {}
+    for c in map(chr, [*range(0x00A0, 0x0250), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]):
+        to = one(f"a{c}a")[1:-1]
+        if len(to) == 1 and to.isascii() and one(c) in (to, "") and c not in kept:
+            found[c] = to
+    return "".join(found), "".join(found.values())
+
+
+_PLAIN_FOLD = _alike(fold_text)
+_PLAIN_MARKS = _alike(fold_marks_text, "’")
+
+
 def fold(c: Column) -> Column:
     c = F.coalesce(c, F.lit(""))
-    native = c.rlike(ASCII) & ~c.rlike("(?i)" + r"(?<!\w)(?:[a-z]\.){2,}")
-    spelled = F.lower(F.regexp_replace(c, r"\s*&\s*", " and "))
+    plain = F.translate(F.replace(c, F.lit("ß"), F.lit("ss")), *_PLAIN_FOLD)
+    plain = F.when(c.rlike(ASCII), c).otherwise(plain)
+    native = plain.rlike(ASCII) & ~plain.rlike("(?i)" + r"(?<!\w)(?:[a-z]\.){2,}")
+    spelled = F.lower(F.regexp_replace(plain, r"\s*&\s*", " and "))
     return F.when(native, F.trim(F.regexp_replace(spelled, r"[\W_]+", " "))).otherwise(_fold_arrow(_only_if(~native, c)))
 
 
 def fold_marks(c: Column) -> Column:
     c = F.coalesce(c, F.lit(""))
-    native = c.rlike(ASCII)
-    spelled = F.regexp_replace(F.regexp_replace(F.lower(c), r"['`]", ""), r"[&+]", " and ")
-    return F.when(native, F.trim(F.regexp_replace(spelled, r"[^a-z0-9]+", " "))).otherwise(_fold_marks_arrow(_only_if(~native, c)))
+    plain = F.when(c.rlike(ASCII), c).otherwise(F.translate(c, *_PLAIN_MARKS))
+    native = plain.rlike(r"^[\x00-\x7Fß’]*$")
+    spelled = F.regexp_replace(F.regexp_replace(F.lower(plain), r"['`’]", ""), r"[&+]", " and ")
+    return F.when(native, F.trim(F.regexp_replace(spelled, r"[^a-z0-9ß]+", " "))).otherwise(_fold_marks_arrow(_only_if(~native, c)))
 
 
 def strip_spaces(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.tokens import token_set, unordered_pairs
+from weftline.sources.cut import cut
 
 #: Most reference records, most other records and weight of a key of each family; fixed values.
 CAPS = {"nt": (40, 200, 1.0), "np": (40, 200, 1.0), "ns": (40, 200, 1.5), "sk": (40, 200, 0.8), "ah": (40, 200, 1.0), "aw": (40, 200, 0.7)}
@@ -41,22 +42,39 @@ def family_keys(r: DataFrame, family: str) -> DataFrame:
     return each.select("id", "src", F.concat_ws("\x1f", F.lit(family), "country", "k").alias("key")).distinct()
 
 
-def weighted_keys(keys: DataFrame, n_others: DataFrame, family: str) -> DataFrame:
-    """(key, n1, n2, w) of keys within the caps. ``n_others`` is one row with n_r."""
-    most1, most2, weight = CAPS[family]
-    n = keys.groupBy("key").agg(F.count_if(F.col("src") == 1).alias("n1"), F.count_if(F.col("src") != 1).alias("n2"))
-    n = n.where(f"n1 between 1 and {most1} and n2 between 1 and {most2}")
-    return n.crossJoin(F.broadcast(n_others)).select("key", "n1", "n2", (F.lit(weight) * (F.log("n_r") - F.log("n2"))).alias("w"))
+def all_keys(r: DataFrame, families: list[str]) -> DataFrame:
+    """(fam, id, src, key) of several families: one table that counts and joins read."""
+    out = None
+    for f in families:
+        part = family_keys(r, f).select(F.lit(f).alias("fam"), "id", "src", "key")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def family_pairs(r: DataFrame, family: str) -> DataFrame:
-    """(i, j, fam, w): the heaviest shared key of each pair."""
-    keys = family_keys(r, family)
-    n_r = r.agg(F.count_if(F.col("src") != 1).cast("double").alias("n_r"))
-    w = weighted_keys(keys, n_r, family).select("key", "w")
-    a = keys.where("src = 1").select(F.col("id").alias("i"), "key")
-    b = keys.where("src <> 1").select(F.col("id").alias("j"), "key")
-    return a.join(w, "key").join(b, "key").groupBy("i", "j").agg(F.max("w").alias("w")).select("i", "j", F.lit(family).alias("fam"), "w")
+def weighted_keys(keys: DataFrame, n_others: DataFrame) -> DataFrame:
+    """(fam, key, n1, n2, w) of keys within their family's caps. ``n_others`` is one row with n_r."""
+    cap = [F.element_at(F.create_map(*[F.lit(x) for f, c in CAPS.items() for x in (f, float(c[k]))]), F.col("fam")) for k in range(3)]
+    n = keys.groupBy("fam", "key").agg(F.count_if(F.col("src") == 1).alias("n1"), F.count_if(F.col("src") != 1).alias("n2"))
+    n = n.where((F.col("n1") >= 1) & (F.col("n1") <= cap[0]) & (F.col("n2") >= 1) & (F.col("n2") <= cap[1]))
+    return n.crossJoin(F.broadcast(n_others)).select("fam", "key", "n1", "n2", (cap[2] * (F.log("n_r") - F.log("n2"))).alias("w"))
+
+
+def others(r: DataFrame) -> DataFrame:
+    return r.agg(F.count_if(F.col("src") != 1).cast("double").alias("n_r"))
+
+
+def key_table_pairs(keys: DataFrame, n_others: DataFrame) -> DataFrame:
+    """(i, j, fam, w): the heaviest shared key of each pair in each family."""
+    w = weighted_keys(keys, n_others).select("fam", "key", "w")
+    a = keys.where("src = 1").select("fam", F.col("id").alias("i"), "key")
+    b = keys.where("src <> 1").select("fam", F.col("id").alias("j"), "key")
+    return a.join(w, ["fam", "key"]).join(b, ["fam", "key"]).groupBy("i", "j", "fam").agg(F.max("w").alias("w"))
+
+
+def family_pairs(r: DataFrame, families: list[str]) -> DataFrame:
+    """(i, j, fam, w) of several families; records and keys are prepared once."""
+    r = cut(r)
+    return key_table_pairs(cut(all_keys(r, families)), others(r))
 
 
 def fused(pairs: DataFrame, families: list[str], *, top: int = 30, reverse: int = 3) -> DataFrame:

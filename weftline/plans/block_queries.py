@@ -199,9 +199,7 @@ _FAMILY_PAIRS = f"""{_FAMILY_KEYS}, wk AS (SELECT fam, key, sum(CASE WHEN src =
 
 @query(f"WITH {_FAMILY_KEYS} SELECT fam, id, md5(key) AS key FROM keys")
 def key_families(spark, d):
-    r = _families(spark, d)
-    out = [families.family_keys(r, f).select(F.lit(f).alias("fam"), "id", F.md5("key").alias("key")) for f in _FAMILIES]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+    return families.all_keys(_families(spark, d), _FAMILIES).select("fam", "id", F.md5("key").alias("key"))
 
 
 @query(f"""WITH {_PREP}, s AS (SELECT id, country, {words_sql(skeleton_sql("array_to_string(nt, ' ')"))} AS t FROM r WHERE src = 1), x AS (SELECT DISTINCT id, country, unnest(t[1:8]) AS x FROM s),
@@ -214,21 +212,12 @@ def key_family_skeletons(spark, d):
 @query(f"WITH {_FAMILY_PAIRS} SELECT fam, md5(key) AS key, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(w, 6) AS w FROM ww")
 def family_caps_weights(spark, d):
     r = _families(spark, d)
-    n_r = r.agg(F.count_if(F.col("src") != 1).cast("double").alias("n_r"))
-    out = None
-    for f in _FAMILIES:
-        w = families.weighted_keys(families.family_keys(r, f), n_r, f).select(F.lit(f).alias("fam"), F.md5("key").alias("key"), "n1", "n2", F.round("w", 6).alias("w"))
-        out = w if out is None else out.unionByName(w)
-    return out
+    w = families.weighted_keys(families.all_keys(r, _FAMILIES), families.others(r))
+    return w.select("fam", F.md5("key").alias("key"), "n1", "n2", F.round("w", 6).alias("w"))
 
 
 def _family_pairs(spark, d):
-    r = _families(spark, d)
-    out = None
-    for f in _FAMILIES:
-        p = families.family_pairs(r, f)
-        out = p if out is None else out.unionByName(p)
-    return out
+    return families.family_pairs(_families(spark, d), _FAMILIES)
 
 
 _FUSED = f"""{_FAMILY_PAIRS}, fs AS (SELECT i, j, sum(w) AS score, {', '.join(f"coalesce(max(CASE WHEN fam = '{f}' THEN w END), 0) AS b_{f}" for f in _FAMILIES)} FROM fp GROUP BY 1, 2),
@@ -270,7 +259,7 @@ _KS = [1, 2, 5, 10, 20, 30]
 
 @query(f"WITH {_FUSED}, {_TRUTH}, h AS (SELECT fr.rank_i FROM fr JOIN dt ON dt.i = fr.i AND dt.j = fr.j) SELECT CAST(k AS INTEGER) AS k, (SELECT count(*) FROM h WHERE rank_i <= k) AS found FROM (SELECT unnest({_KS}) AS k)")
 def recall_at_k(spark, d):
-    x = families.fused(_family_pairs(spark, d), _FAMILIES, top=1 << 30).join(_truth(spark, d), ["i", "j"], "left_semi")
+    x = families.fused(_family_pairs(spark, d), _FAMILIES, top=max(_KS), reverse=0).join(_truth(spark, d), ["i", "j"], "left_semi")
     one = x.agg(*[F.count_if(F.col("rank_i") <= k).alias(f"k{k}") for k in _KS])
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("found")) for k in _KS])).alias("x")).select("x.*")
 
@@ -279,7 +268,7 @@ def recall_at_k(spark, d):
 def miss_profile(spark, d):
     """How many name words the true pairs have in common that keys of address words alone don't find."""
     r = _families(spark, d)
-    missed = _truth(spark, d).join(families.family_pairs(r, "aw"), ["i", "j"], "left_anti")
+    missed = _truth(spark, d).join(families.family_pairs(r, ["aw"]), ["i", "j"], "left_anti")
     x = missed.join(r.select(F.col("id").alias("i"), F.col("nt").alias("a")), "i").join(r.select(F.col("id").alias("j"), F.col("nt").alias("b")), "j")
     return x.groupBy(F.size(F.array_intersect("a", "b")).alias("shared")).agg(F.count("*").alias("n"))
 
