@@ -52,7 +52,7 @@ def test_kernel_by_definition():
     assert np.allclose(marks.rows @ marks.rows.T, [[slow_kernel(a, b) for b in units] for a in units], atol=1e-5)
     machine = np.arange(1.0, 6.0)
     direct = marks.features(units) @ machine + 0.5
-    both = np.stack([marks.weights(machine), marks.weights(-machine)], axis=1)
+    both = np.stack([marks.weights(machine), marks.weights(-machine)]).astype(np.float32)
     model = T.Model(both, np.array([0.5, 0.0]), np.ones(2), np.zeros(2))
     assert np.allclose(model.margins(units), np.stack([direct, 0.5 - direct], axis=1), atol=1e-4)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import checkpointed, fresh, table
+from .common import checkpointed, freed, fresh, table
 from .wordhash import ALNUM_WORDS, Words, chunks, covered, kgram, split_words
 
 WINDOW, K = 10, 5
@@ -199,7 +199,7 @@ def _found(texts: DataFrame, blocks: Iterator[Block]) -> DataFrame:
                     part = [batch.column(i).slice(a, b - a).take(pa.array(some)) for i in (0, 2)]
                     yield pa.record_batch([*part, pa.array(bits, pa.binary()), pa.array([sorted(items.get(int(d), ())) for d in some], pa.list_(pa.string()))], ["doc_id", "digest", "bits", "items"])
 
-        out = out.unionByName(checkpointed(texts.mapInArrow(scan, _FOUND)))
+        out = out.unionByName(checkpointed(texts.mapInArrow(lambda b, scan=scan: freed(scan(b)), _FOUND)))
         sent.destroy()
     return out
 
@@ -241,7 +241,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                     words = split_words(batch.column(1).slice(a, b - a), ALNUM_WORDS)
                     yield _verdicts(batch.column(0).slice(a, b - a), words, *_scan(words, sent.value))
 
-        return texts.mapInArrow(scan, _VERDICT)
+        return texts.mapInArrow(lambda b: freed(scan(b)), _VERDICT)
     digested = texts.withColumn("digest", F.md5("text"))
     found = _found(digested, itertools.chain([first, second], blocks))
     by_doc = found.groupBy("doc_id", "digest").agg(F.collect_list("bits").alias("bits"), F.flatten(F.collect_list("items")).alias("items"))
@@ -299,7 +299,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
                     marks[a + words.doc[hit]] = True
                 yield pa.record_batch([*batch.columns, pa.array(marks)], [*batch.schema.names, name])
 
-        out = docs.mapInArrow(scan, StructType([*docs.schema.fields, StructField(name, BooleanType())]))
+        out = docs.mapInArrow(lambda b: freed(scan(b)), StructType([*docs.schema.fields, StructField(name, BooleanType())]))
         return out.where(~F.col(name)).drop(name)
     digested = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.md5(F.col(text_col).cast("string")).alias("digest"))
     hit_id, hit_digest = fresh(docs, "hit_id", "hit_digest")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import freed, table
 from .html_blocks import Block, block_features, leaf_blocks
 
 PAGES = 500
@@ -239,7 +239,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.selectExpr(f"cast(`{id_col}` as long) page_id", f"cast(`{url_col}` as string) url", f"cast(`{html_col}` as string) html")
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lambda b: freed(run(b)), "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import crc32_of_id, fresh, table
+from .common import crc32_of_id, freed, fresh, table
 from .hashnumbers import WordRows, kept_rows
 from .labels import chosen_texts, words_of
 from .toxicity import letters
@@ -142,7 +142,7 @@ def with_language(docs: DataFrame, model: Model, *, text_col: str = "text") -> t
             yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(p, pa.float64())], [*batch.schema.names, *names])
 
     fields = [*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]
-    return docs.mapInArrow(score, StructType(fields)), *names
+    return docs.mapInArrow(lambda b: freed(score(b)), StructType(fields)), *names
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

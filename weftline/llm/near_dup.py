@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, table
+from .common import checkpointed, freed, fresh, table
 from .components import components
 from .wordhash import ALNUM_WORDS, chunks, kgram, mix, split_words
 
@@ -209,7 +209,7 @@ def prefix(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
 
 def _rest(texts: DataFrame) -> DataFrame:
     """(cid, rep) of all texts of different roots that can be similar, from (cid, root, words)."""
-    cells = texts.select("words").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = texts.select("words").mapInArrow(lambda b: freed(_cells(b)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     sent = texts.sparkSession.sparkContext.broadcast(counts)
@@ -236,7 +236,7 @@ def _rest(texts: DataFrame) -> DataFrame:
                     columns += [pa.array(np.concatenate(x).astype(np.int64)) for x in (sizes, places)] + [pa.array(np.concatenate(fews))]
                     yield pa.record_batch(columns, ["token", "cid", "root", "size", "place", "few"])
 
-    posts = checkpointed(texts.select("cid", "root", "words").mapInArrow(postings, "token long, cid binary, root binary, size long, place long, few boolean"))
+    posts = checkpointed(texts.select("cid", "root", "words").mapInArrow(lambda b: freed(postings(b)), "token long, cid binary, root binary, size long, place long, few boolean"))
     a = posts.where("few").drop("few")
     b = posts.select("token", F.col("cid").alias("rep"), F.col("root").alias("root2"), F.col("size").alias("size2"), F.col("place").alias("place2"))
     size, size2 = F.col("size"), F.col("size2")
@@ -256,7 +256,7 @@ def _star(members: DataFrame) -> DataFrame:
 def near_dup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, cid (the text's digest), root (the least digest of its class) and class_id, its least doc_id."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = checkpointed(texts.mapInArrow(_sketches, "doc_id long, cid binary, keys array<long>"))
+    rows = checkpointed(texts.mapInArrow(lambda b: freed(_sketches(b)), "doc_id long, cid binary, keys array<long>"))
     one = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
     exploded = one.select("cid", "first_id", F.explode("keys").alias("key"))
     # What is joined at keys that may be hot is checkpointed first: then both sides of the join are exchanged, and
@@ -269,11 +269,11 @@ def near_dup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = central.select("cid", F.col("first_id").alias("doc_id"))
     mine = texts.select("doc_id", "text").where("text IS NOT NULL")
     found = mine.join(wanted, mine.doc_id.eqNullSafe(wanted.doc_id)).where(F.unhex(F.md5("text")) == F.col("cid")).select("cid", "text")
-    words = checkpointed(found.mapInArrow(_word_numbers, "cid binary, words binary").dropDuplicates(["cid"]))
+    words = checkpointed(found.mapInArrow(lambda b: freed(_word_numbers(b)), "cid binary, words binary").dropDuplicates(["cid"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = words.select("cid", F.col("words").alias("wa")), words.select(F.col("cid").alias("rep"), F.col("words").alias("wb"))
-        return checkpointed(pairs.join(a, "cid").join(b, "rep").select("cid", "rep", "wa", "wb").mapInArrow(_verified, "cid binary, rep binary, ok boolean"))
+        return checkpointed(pairs.join(a, "cid").join(b, "rep").select("cid", "rep", "wa", "wb").mapInArrow(lambda b: freed(_verified(b)), "cid binary, rep binary, ok boolean"))
 
     def links(pairs: DataFrame) -> DataFrame:
         return components(pairs.where("ok").select(F.col("cid").alias("a"), F.col("rep").alias("b")))

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, freed, table
 from .hashnumbers import HashNumbers
 from .wordhash import chunks, split_words, word_table
 
@@ -269,7 +269,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
         return pa.Table.from_batches([packer.rows()])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    placed = checkpointed(texts.mapInArrow(place, _SCHEMA))
+    placed = checkpointed(texts.mapInArrow(lambda b: freed(place(b)), _SCHEMA))
     # Task numbers are dense, so each group has MERGE partial windows at most, whatever the size of the table.
     partial = placed.where("ids IS NOT NULL").withColumn("g", F.floor(F.shiftright("sequence_id", 32) / MERGE).cast("long"))
     merged = partial.groupBy("g").applyInArrow(merge, _SCHEMA)

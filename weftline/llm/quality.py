@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc32_of_id, fresh, table
+from .common import crc32_of_id, freed, fresh, table
 from .hashnumbers import WordRows, kept_rows
 from .labels import labelled_sample, words_of
 from .wordhash import WHITESPACE_WORDS, chunks, split_words
@@ -205,7 +205,7 @@ def with_quality(docs: DataFrame, model: Model, *, text_col: str = "text") -> tu
             p = own.probability(pool(store, batch.column(at)))
             yield pa.record_batch([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())])), name
+    return docs.mapInArrow(lambda b: freed(score(b)), StructType([*docs.schema.fields, StructField(name, DoubleType())])), name
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
-from .common import table
+from .common import freed, table
 from .wordhash import chunks, text_bytes
 
 
@@ -459,7 +459,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(spans, pa.list_(_SPAN))], ["doc_id", "spans"])
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    return rows.mapInArrow(scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return rows.mapInArrow(lambda b: freed(scan(b)), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,4 +496,4 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
                 column = pa.array(texts, column.type)
             yield pa.record_batch([column if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(mask, StructType([StructField(f.name, f.dataType) for f in docs.schema.fields]))
+    return docs.mapInArrow(lambda b: freed(mask(b)), StructType([StructField(f.name, f.dataType) for f in docs.schema.fields]))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LEAST_BUCKETS, bucket_count, table
+from .common import LEAST_BUCKETS, bucket_count, freed, table
 from .wordhash import WHITESPACE_WORDS, Words, chunks, covered, kgram, split_words, starts_of
 
 WINDOW = 35
@@ -243,7 +243,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     first = dealt.groupBy("b").applyInArrow(anchors, _SENT).groupBy("w").applyInArrow(_elsewhere(np.dtype("<u8")), _SENT)
     second = dealt.groupBy("b").cogroup(first.groupBy("b")).applyInArrow(windows, _SENT).groupBy("w").applyInArrow(_elsewhere(_PAIR), _SENT)
-    shorter = texts.where(~long_enough).mapInArrow(untouched, schema)
+    shorter = texts.where(~long_enough).mapInArrow(lambda b: freed(untouched(b)), schema)
     return dealt.groupBy("b").cogroup(first.unionByName(second).groupBy("b")).applyInArrow(removed, schema).unionByName(shorter)
 
 

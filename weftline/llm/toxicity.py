@@ -11,10 +11,11 @@ table look-ups, and gives exactly the machine's value.
 Training. Labels are of documents, so sentences are learned as bags of units: units of clean documents are
 negative; positive are the units that a likelihood-ratio test finds in toxic documents, and of the toxic documents
 without one the unit that scores best. These choices and the machine improve each other for a few rounds, in which
-the worst clean units join the negatives and the landmarks. Positive units are also trained with a character inserted. Copies count once in the test. The test also finds beginnings that toxic documents have in several words and clean
-ones in one word by chance: units with these are positive for a second machine. A document scores by its worst unit
-and by the ``SEVERAL``-th of its distinct units as the second machine orders them, each through a logistic fit on the
-documents; the greater of the two probabilities is its score.
+the worst clean units join the negatives and the landmarks. Positive units are also trained with a character inserted. Copies count once in the test. A document scores as its worst unit, through a logistic fit on the documents. Where
+that misses more than ``SPARED`` of the toxic documents that it was trained on, the test is repeated on those and the
+clean ones, for beginnings that several words of a document have (clean ones have one by chance): units with these are
+positive for a second machine, and a document scores by the ``SEVERAL``-th of its distinct units as that machine orders
+them, if that is more.
 
 A unit has at most ``LONGEST`` letters: of a longer word or run all windows of that length, half a length apart, and
 its end are units, in training as in scoring.
@@ -31,7 +32,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc32_of_id, fresh, table
+from .common import crc32_of_id, freed, fresh, table
 from .hashnumbers import WordRows, kept_rows
 from .labels import labelled_sample, words_of
 from .wordhash import WHITESPACE_WORDS, Words, chunks, split_words
@@ -51,7 +52,7 @@ PER_CLASS, MAX_CHARS = 2500, 20_000
 HELD_MODULUS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 STORED_WORDS = 1 << 19
-SEVERAL = 3
+SEVERAL, SPARED = 3, 0.05
 #: Words between white space, ASCII capitals as small letters, which a unit has anyway.
 LOWER_WORDS = (WHITESPACE_WORDS[0], np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8))
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -126,9 +127,9 @@ def _norms(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Two machines, a column each: for the worst unit, and for the units of which a document must have several."""
+    """Two machines, a row of weights each: for the worst unit, and for the units of which a document must have several."""
 
-    weight: np.ndarray  # of each triple
+    weight: np.ndarray  # of each triple, in single precision
     bias: np.ndarray
     a: np.ndarray
     b: np.ndarray
@@ -136,27 +137,27 @@ class Model:
     def margins(self, words: Sequence[str]) -> np.ndarray:
         """The machines' values of each word as it stands in a text: of its best unit."""
         known: dict[str, int] = {}
-        at, owner = [], []
-        for i, w in enumerate(words):
-            for unit in windows(letters(w)):
-                at.append(known.setdefault(unit, len(known)))
-                owner.append(i)
+        at, first = [], []
+        for w in words:
+            first.append(len(at))
+            at += [known.setdefault(unit, len(known)) for unit in windows(letters(w))]
         every, got = list(known), np.empty((len(known), 2))
         order = np.argsort([len(u) for u in every], kind="stable")
         for x in range(0, len(order), 4096):
             some = order[x : x + 4096]
             got[some] = self.values([every[i] for i in some])
-        out = np.full((len(words), 2), -np.inf)
-        np.maximum.at(out, owner, got[at])
-        return out
+        return np.maximum.reduceat(got[at], first, axis=0) if len(words) else np.zeros((0, 2))
 
     def values(self, clean: Sequence[str]) -> np.ndarray:
         keys, weights = triples(clean)
         w = weights.astype(np.float32)[keys & 7]
         w[keys < 0] = 0
-        table, at = self.weight.astype(np.float32), keys >> 3
-        sums = np.stack([np.einsum("ij,ij->i", table[:, k][at], w) for k in (0, 1)], axis=1)
-        return sums / np.maximum(_norms(keys, weights), 1e-12)[:, None] + self.bias
+        at, norms = keys >> 3, np.maximum(_norms(keys, weights), 1e-12)
+        out = np.tile(self.bias, (len(clean), 1))
+        for k in (0, 1):
+            if self.weight[k].any():
+                out[:, k] += np.einsum("ij,ij->i", self.weight[k].take(at), w) / norms
+        return out
 
     def empty(self) -> np.ndarray:
         return self.values([""])[0]
@@ -166,7 +167,7 @@ class Model:
 
 
 #: Nothing is toxic.
-NOTHING = Model(np.zeros((1 << 18, 2)), np.full(2, -1.0), np.ones(2), np.full(2, -5.0))
+NOTHING = Model(np.zeros((2, 1 << 18), np.float32), np.full(2, -1.0), np.ones(2), np.full(2, -5.0))
 
 
 class _Landmarks:
@@ -256,19 +257,26 @@ def _beginnings(w: str, longest: int = 8) -> set[str]:
     return {"^" + w[:n] for n in range(3, min(len(w) - 1, longest) + 1)}
 
 
-def _telling(bags: list[tuple[list[str], int]]) -> set[str]:
-    """Words (``^word$``), beginnings of longer words (``^wor``) and beginnings that several words of a document have
-    (``2^wor``) that toxic documents have far oftener than clean ones.
+def _marks(b: list[str]) -> set[str]:
+    """The words of a document (``^word$``) and their beginnings (``^wor``)."""
+    return {f"^{w}$" for w in b}.union(*map(_beginnings, b))
+
+
+def _shared_marks(b: list[str]) -> set[str]:
+    """The beginnings that two words of a document or more have."""
+    first, more = set(), set()
+    for w in b:
+        own = _beginnings(w)
+        more |= own & first
+        first |= own
+    return more
+
+
+def _telling(bags: list[tuple[list[str], int]], marks: Callable[[list[str]], set[str]] = _marks) -> set[str]:
+    """Marks that toxic documents have far oftener than clean ones.
 
     The test is a likelihood ratio with as many hypotheses as there are candidates.
     """
-    def marks(b: list[str]) -> set[str]:
-        first, more = {f"^{w}$" for w in b}, set()
-        for w in b:
-            own = _beginnings(w)
-            more.update(f"2{m}" for m in own & first)
-            first |= own
-        return first | more
 
     seen: dict[str, int] = {}
     for b, y in bags:
@@ -284,7 +292,7 @@ def _telling(bags: list[tuple[list[str], int]]) -> set[str]:
         if not y:
             for m in marks(b) & clean.keys():
                 clean[m] += 1
-    words: dict[str, dict[str, int]] = {m.lstrip("2"): {} for m in seen if m[-1] != "$"}
+    words: dict[str, dict[str, int]] = {m: {} for m in seen if m[-1] != "$"}
     for b, y in bags:
         if y:
             for w in b:
@@ -292,12 +300,11 @@ def _telling(bags: list[tuple[list[str], int]]) -> set[str]:
                     words[m][w] = words[m].get(w, 0) + 1
     out = set()
     for m, n in seen.items():
-        of = words.get(m.lstrip("2"))
-        if of is not None and (len(of) < 4 or max(of.values()) > 0.5 * sum(of.values())):
+        if m in words and (len(words[m]) < 4 or max(words[m].values()) > 0.5 * sum(words[m].values())):
             continue  # a beginning must tell by several words, not by one
         c, both = clean[m], n + clean[m]
         gain = n * np.log(n / (both * share)) + (c * np.log(c / (both * (1 - share))) if c else 0.0)
-        if n / both > max(0.75 if m[0] == "2" else 0.85, share) and gain > need:
+        if n / both > max(0.85, share) and gain > need:
             out.add(m)
     return out
 
@@ -331,7 +338,7 @@ def _machine(told: dict[str, int], seen: dict[str, int], clean: dict[str, int],
         machine, bias = _svm(x, y, cost * 10)
         weight = marks.weights(machine)
         if r + 1 < sizes.rounds:
-            model = Model(np.stack([weight, weight], axis=1), np.array([bias, bias]), np.ones(2), np.zeros(2))
+            model = Model(np.stack([weight, 0 * weight]).astype(np.float32), np.array([bias, -1.0]), np.ones(2), np.zeros(2))
             value = dict(zip(seen, model.margins(list(seen))[:, 0], strict=True))
             more = {}
             for b in toxic:  # bags that nothing explains yet give their likeliest unit
@@ -362,9 +369,6 @@ def train(rows: Sequence[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
         n, c = seen.get(w, 0), counted.get(w, 0)
         return (c < 2 or n > 3 * c) and not strong.isdisjoint(_beginnings(w))
 
-    def is_one_of_several(w: str) -> bool:
-        return not strong.isdisjoint({f"2{m}" for m in _beginnings(w)})
-
     clean = {w: n for w, n in counted.items() if not is_strong(w)}
     if not toxic or not clean:
         return NOTHING
@@ -373,41 +377,53 @@ def train(rows: Sequence[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
         rest = {w: n for w, n in seen.items() if w not in clean} or seen
         told = {w: n for w, n in rest.items() if n == max(rest.values())}
     first = _machine(told, seen, clean, toxic, _Sizes(landmarks, rounds, negatives, hardest))
-    second = np.zeros(1 << 18), -1.0
-    several = {w: n for w, n in seen.items() if is_one_of_several(w)}
-    if several:
-        rest = {w: n for w, n in clean.items() if not is_one_of_several(w)}
-        second = _machine(told | several, seen, rest, toxic, _Sizes(landmarks, 2, negatives, hardest))
-    model = Model(np.stack([first[0], second[0]], axis=1), np.array([first[1], second[1]]), np.ones(2), np.full(2, -5.0))
-    top = worst_units(WordRows(model.margins), model, pa.array([t for t, _ in rows], pa.string()))
+    model = Model(np.stack([first[0], np.zeros(1 << 18)]).astype(np.float32), np.array([first[1], -1.0]), np.ones(2), np.full(2, -5.0))
     y = np.array([y for _, y in rows], float)
-    for k in range(1 + bool(several)):
-        model.a[k], model.b[k] = _logistic(np.clip(top[:, k], -1.5, 1.5), y)
+    texts = pa.array([t for t, _ in rows], pa.string())
+    top = worst_units(WordRows(model.margins), model, texts)
+    model.a[0], model.b[0] = _logistic(np.clip(top[:, 0], -1.5, 1.5), y)
+    missed = (y == 1) & (model.probability(top) < THRESHOLD)
+    if missed.sum() <= SPARED * y.sum():
+        return model
+    rest = _distinct([(sorted({w for x in units(t) for w in windows(letters(x)) if len(w) >= 2}), v) for (t, v), m in zip(rows, missed, strict=True) if m or not v])
+    shared = _telling(rest, _shared_marks)
+    several = {w: n for w, n in seen.items() if not shared.isdisjoint(_beginnings(w))}
+    if several:
+        others = {w: n for w, n in clean.items() if shared.isdisjoint(_beginnings(w))}
+        second = _machine(several, seen, others, [b for b, v in rest if v and b], _Sizes(landmarks, 2, negatives, hardest))
+        model.weight[1], model.bias[1] = second
+        top = worst_units(WordRows(model.margins), model, texts)
+        asked = missed | (y == 0)
+        model.a[1], model.b[1] = _logistic(np.clip(top[asked, 1], -1.5, 1.5), y[asked])
     return model
 
 
 def worst_units(store: WordRows, model: Model, texts: pa.Array) -> np.ndarray:
     """For each text the first machine's value of its worst unit, and the second's of the ``SEVERAL``-th worst distinct one."""
     out = np.tile(model.empty(), (len(texts), 1))
+    several = bool(model.weight[1].any())
     for a, b in chunks(texts):
         words = split_words(texts.slice(a, b - a), LOWER_WORDS)
         at = store.look_up(words)
-        doc, own = words.doc, store.rows[at]
-        spelled = list(spelled_units(words))
-        if spelled:
-            known: dict[str, int] = {}
-            number = np.array([known.setdefault(u, len(known)) for _, u in spelled])
-            doc = np.concatenate([doc, [d for d, _ in spelled]])
-            at = np.concatenate([at, number + int(at.max()) + 1])
-            own = np.concatenate([own, model.margins(list(known))[number]])
-        if len(doc):
-            np.maximum.at(out[:, 0], a + doc, own[:, 0])
-            hit = np.flatnonzero(own[:, 1] > out[0, 1] if len(out) else [])  # the others count as the empty unit
-            hit = hit[np.unique(doc[hit] * (int(at.max()) + 1) + at[hit], return_index=True)[1]]
-            hit = hit[np.lexsort((-own[hit, 1], doc[hit]))]
+        own = store.rows[at]
+        full = np.flatnonzero(words.counts)
+        if len(full):
+            out[a + full, 0] = np.maximum(out[a + full, 0], np.maximum.reduceat(own[:, 0], words.first[full]))
+        known: dict[str, int] = {}
+        spelled = [(d, known.setdefault(u, len(known))) for d, u in spelled_units(words)]
+        values = model.margins(list(known))
+        for d, u in spelled:
+            out[a + d, 0] = max(out[a + d, 0], values[u, 0])
+        if several and len(at):
+            doc = np.concatenate([words.doc, [d for d, _ in spelled]]).astype(np.int64)
+            unit = np.concatenate([at, [int(at.max()) + 1 + u for _, u in spelled]]).astype(np.int64)
+            value = np.concatenate([own[:, 1], values[[u for _, u in spelled], 1]])
+            hit = np.flatnonzero(value > out[0, 1])  # the others count as the empty unit
+            hit = hit[np.unique(doc[hit] * (int(unit.max()) + 1) + unit[hit], return_index=True)[1]]
+            hit = hit[np.lexsort((-value[hit], doc[hit]))]
             place = np.arange(len(hit)) - np.searchsorted(doc[hit], doc[hit])
             third = hit[place == SEVERAL - 1]
-            out[a + doc[third], 1] = own[third, 1]
+            out[a + doc[third], 1] = value[third]
     return out
 
 
@@ -447,7 +463,7 @@ def with_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text") -> t
             scores = score_texts(store, own, batch.column(at))
             yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())])), name
+    return docs.mapInArrow(lambda b: freed(score(b)), StructType([*docs.schema.fields, StructField(name, DoubleType())])), name
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
