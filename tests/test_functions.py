@@ -8,7 +8,7 @@ from weftline.functions import kernels
 from weftline.functions.address import address_slots
 from weftline.functions.phonetic import skeleton, sounds, transliterate, transliterate_text
 from weftline.functions.tokens import NAME_NOISE, is_abbreviation, legal_match, strip_tail, without
-from weftline.functions.unicode import fold, fold_marks, fold_text
+from weftline.functions.unicode import fold, fold_marks, fold_marks_text, fold_text
 
 
 def values(spark, rows, column, schema):
@@ -24,7 +24,10 @@ def test_fold(spark):
 def test_fold_paths_agree(spark):
     rng = random.Random(4)
     rows = [("".join(rng.choice("aB .&-_,'9\t") for _ in range(rng.randint(0, 20))),) for _ in range(300)]
+    anything = [chr(c) for c in [*range(0x20, 0x7F), *range(0xA0, 0x250), *range(0x300, 0x310), *range(0x2010, 0x2060)]]
+    rows += [("".join(rng.choice(anything if i % 2 else "aB. &'’ßéÄüñÖ-_,S.A.") for _ in range(rng.randint(0, 14))),) for i in range(3000)]
     assert values(spark, rows, fold(F.col("s")), "s string") == [fold_text(r[0]) for r in rows]
+    assert values(spark, rows, fold_marks(F.col("s")), "s string") == [fold_marks_text(r[0]) for r in rows]
 
 
 def test_fold_is_idempotent():

@@ -41,11 +41,17 @@ def test_end_to_end(spark, tmp_path):
     kept = linkage.predict(other, bundle)[0].where("p IS NOT NULL").select("pc", "emitted").collect()
     assert kept and all(r.pc == 0.5 and not r.emitted for r in kept)
 
-    console = Console(other, scored.persist(), bundle.report)
+    pool = linkage.prepared(other, bundle.words)
+    _, features = linkage.pool_features(pool, linkage.cut(linkage.block(pool)), bundle)
+    console = Console(other, scored.persist(), bundle.report, explain=linkage.explainer(features, bundle))
+    assert console.health() == {"status": "warming"}
+    console.warm()
     page = console.entities(kind="matched", limit=5)
     assert 0 < len(page) <= 5
     detail = console.entity(page[0]["i"])
-    assert detail["candidates"] and len(detail["curve"]) > 1
+    assert detail["candidates"] and len(detail["curve"]) > 1 and len(detail["pruned"]) <= 6
+    first = detail["candidates"][0]
+    assert len(first["why"]["features"]) == 8 and set(first["shared_name"]) <= set(first["business_name"].lower().split())
     server = serve(console, 0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     with urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}/api/health") as r:

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import context, decide, lexicon, metrics, retrieval
+from weftline.operators import context, decide, lexicon, metrics, models, retrieval
 from weftline.operators.features import pair_features, prepare, soft_tfidf
 from weftline.sources import records
+from weftline.sources.synthetic import Generator
 from weftline.streaming.live import resolve_stream
 
 
@@ -144,6 +145,59 @@ def test_sources(spark, tmp_path):
     assert records.load_lexicon(str(tmp_path / "l.json")) == ({"rd": "road"}, {"ltd"}, {"near"})
 
 
+def test_written_splits_are_read_again(spark, tmp_path):
+    made, links = Generator(4).frames(spark, 25)
+    Generator(4).write(spark, str(tmp_path), "train", 25)
+    one, rest = records.load_split(spark, str(tmp_path), "train")
+    key = lambda df: sorted(tuple(r) for r in df.select(*records.COLUMNS).collect())
+    assert key(one) + key(rest) == key(records.clean_records(made).where("entity_id like 'S1%'")) + key(records.clean_records(made).where("entity_id not like 'S1%'"))
+    universe, truth = records.read_truth(spark, str(tmp_path / "train_ground_truth.tsv"))
+    assert universe.count() == 25 and {tuple(r) for r in truth.collect()} == {tuple(r) for r in links.collect()}
+
+
+def test_given_order_of_entities_is_kept(spark, tmp_path):
+    universe = spark.createDataFrame([(0, "S1-9"), (1, "S1-1"), (2, "S1-5")], "pos int, s1 string")
+    lists = records.pair_lists(universe, spark.createDataFrame([("S1-1", "S2-3")], "s1 string, r string"))
+    records.write_pairs(str(tmp_path / "out"), lists.repartition(3))
+    text = next((tmp_path / "out").glob("part-*")).read_text()
+    assert text == "source1_entity_id\tmatched_entity_ids\nS1-9\t\nS1-1\tS2-3\nS1-5\t\n"
+
+
+def test_lines_of_result_files(spark):
+    head = ("source1_entity_id", "matched_entity_ids")
+    lines = ["\t".join(head), "S1-1\tS2-1,S3-2", "S1-2\t", "S1-3\tS4-1", "S1-4", 'S1-5\t"S2-1"', "S1-6\tS2-1, S2-2", ""]
+    got = {r.problem: (r.level, r.n) for r in records.check_lines(spark.createDataFrame([(x,) for x in lines], "value string"), head).collect()}
+    assert got == {"no header": ("error", 0), "header with commas": ("error", 0), "not two columns": ("error", 2), "id without a known prefix": ("error", 2), "quotes": ("warning", 1), "spaces around ids": ("warning", 1), "empty line": ("warning", 1)}
+    got = {r.problem: r.n for r in records.check_lines(spark.createDataFrame([(",".join(head),), ("S1-1\tS2-1",)], "value string"), head).collect()}
+    assert got["no header"] == got["header with commas"] == 1
+
+
+@pytest.mark.parametrize("kind", ["gbt", "logistic"])
+def test_attributions_add_up(spark, kind):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3))
+    rows = [(*map(float, v), float(v[0] + 0.5 * v[1] > 0), k % 2) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, fold int")
+    scored, fitted = models.cross_fit(df, ["a", "b", "c"], kind=kind, **({"rounds": 5, "depth": 3} if kind == "gbt" else {}))
+    for r in models.bagged(df.limit(5), ["a", "b", "c"], fitted[:1]).collect():
+        got = models.attributions(fitted[:1], ["a", "b", "c"], r.asDict(), top=2)
+        odds = got["base"] + got["rest"] + sum(v for _, _, v in got["features"])
+        assert 1 / (1 + np.exp(-odds)) == pytest.approx(r.p, abs=1e-9)
+
+
+def test_learned_scores_rank_and_calibrate(spark):
+    """Out-of-fold scores tell the classes apart; calibrated ones have the share of positives that they say."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 2))
+    y = (rng.random(1500) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(v), k % 5) for k, ((a, b), v) in enumerate(zip(x, y))], "a double, b double, y double, fold int")
+    scored, fitted = models.cross_fit(df, ["a", "b"], kind="logistic")
+    assert len(fitted) == 5 and scored.count() == 1500
+    out = models.calibrated(scored).toPandas()
+    assert np.mean(out.p[out.y == 1].to_numpy()[:, None] > out.p[out.y == 0].to_numpy()[None, :]) > 0.75
+    assert abs(out.pc.mean() - y.mean()) < 0.03 and abs(out.y[out.pc > 0.7].mean() - out.pc[out.pc > 0.7].mean()) < 0.06
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([("S1-1", "a")], "entity_id string, business_name string").write.parquet(str(src))

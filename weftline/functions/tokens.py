@@ -56,6 +56,11 @@ def sorted_key(t: Column) -> Column:
     return F.array_join(token_set(t), " ")
 
 
+def shared_words(a: Column, b: Column) -> Column:
+    """The distinct words that two texts have in common, as a review marks them."""
+    return F.array_intersect(tokens(a), tokens(b))
+
+
 def acronym(t: Column) -> Column:
     return F.array_join(F.transform(t, lambda x: F.substring(x, 1, 1)), "")
 

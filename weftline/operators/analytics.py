@@ -55,3 +55,24 @@ def samples(records: DataFrame, by: str, seed: str, n: int = 1) -> DataFrame:
     """``n`` rows of each group, chosen by a hash of id and seed."""
     order = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(seed)))
     return records.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(order, "id"))).where(F.col("k") <= n)
+
+
+def peek(records: DataFrame, truth: DataFrame, n: int) -> DataFrame:
+    """(i, j, name, matched_name, country) of ``n`` entities with matches, chosen by a hash. ``n`` is the report's length."""
+    some = truth.select("i").distinct().orderBy(F.md5(F.concat_ws("|", F.col("i").cast("string"), F.lit("peek"))), "i").limit(n)
+    side = records.select("entity_id", "business_name", "country")
+    mine = side.select(F.col("entity_id").alias("i"), F.col("business_name").alias("name"))
+    theirs = side.select(F.col("entity_id").alias("j"), F.col("business_name").alias("matched_name"), "country")
+    return truth.join(F.broadcast(some), "i").join(mine, "i").join(theirs, "j")
+
+
+def owner_counts(truth: DataFrame) -> DataFrame:
+    """(owners, records): how many records have how many owners."""
+    return truth.groupBy("j").agg(F.countDistinct("i").alias("owners")).groupBy("owners").agg(F.count("*").alias("records"))
+
+
+def funnel(pairs: DataFrame, n_true: int, stages: dict[str, Column]) -> DataFrame:
+    """(stage, n_pairs, n_entities, found, recall) of pairs (i, j, y) that each stage keeps, in their order."""
+    one = pairs.agg(*[x for k, kept in enumerate(stages.values()) for x in (F.count_if(kept).alias(f"n{k}"), F.countDistinct(F.when(kept, F.col("i"))).alias(f"e{k}"), F.count_if(kept & (F.col("y") == 1)).alias(f"f{k}"))])
+    rows = [F.struct(F.lit(s).alias("stage"), F.col(f"n{k}").alias("n_pairs"), F.col(f"e{k}").alias("n_entities"), F.col(f"f{k}").alias("found")) for k, s in enumerate(stages)]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*", (F.col("x.found") / F.lit(max(n_true, 1))).alias("recall"))

@@ -90,3 +90,12 @@ def rarest_words(r: DataFrame, words: str, most: int = 3) -> DataFrame:
     df = each.groupBy("word").agg(F.count("*").alias("df")).where("df >= 2")
     k = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
     return each.join(df, "word").withColumn("k", k).where(F.col("k") <= most)
+
+
+def rarest_keys(r: DataFrame, most: int = 3) -> DataFrame:
+    """(id, src, key) of each record's rarest address words: ``ar`` pairs of them, ``hr`` one with a house number."""
+    rare = rarest_words(r.select("id", "src", "at"), "at", most).groupBy("id", "src").agg(F.array_sort(F.collect_list("word")).alias("ws"))
+    x = rare.join(r.select("id", "src", "an"), ["id", "src"])
+    pairs = F.transform(unordered_pairs(F.col("ws")), lambda p: F.concat_ws("\x1f", F.lit("ar"), p["a"], p["b"]))
+    numbers = F.flatten(F.transform(token_set(F.slice("an", 1, 4)), lambda n: F.transform("ws", lambda w: F.concat_ws("\x1f", F.lit("hr"), n, w))))
+    return x.select("id", "src", F.explode(F.concat(pairs, numbers)).alias("key")).distinct()

@@ -87,3 +87,49 @@ def calibrated(df: DataFrame, p: str = "p", *, fold: str = "fold", name: str = "
         part = m.transform(data.where(F.col(fold) == k))
         out = part if out is None else out.unionByName(part)
     return out.withColumn(name, F.least(F.greatest(name, F.lit(1e-4)), F.lit(1 - 1e-4))).drop("features")
+
+
+def _tree(node) -> dict:
+    """A Spark ML regression tree as plain values: each node's mean, and split feature and threshold of inner ones."""
+    if node.subtreeDepth() == 0:
+        return {"mean": node.prediction()}
+    return {"mean": node.prediction(), "feature": node.split().featureIndex(), "threshold": node.split().threshold(), "low": _tree(node.leftChild()), "high": _tree(node.rightChild())}
+
+
+def dump(model) -> dict:
+    """What attributions need of a model: weighted trees, or coefficients."""
+    if hasattr(model, "treeWeights"):
+        return {"trees": [(w, _tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees, strict=True)]}
+    return {"bias": float(model.intercept), "coefficients": model.coefficients.toArray().tolist()}
+
+
+def _paths(dumped: dict, x: list[float]) -> tuple[float, list[float]]:
+    """(base, share of each feature) whose sum is the model's log-odds for x.
+
+    In a tree each step from a node to a child moves the mean; the move belongs to the feature that the node splits by.
+    The odds of boosted trees are those of twice their sum.
+    """
+    out = [0.0] * len(x)
+    if "trees" not in dumped:
+        return dumped["bias"], [c * v for c, v in zip(dumped["coefficients"], x, strict=True)]
+    base = 0.0
+    for weight, node in dumped["trees"]:
+        base += 2 * weight * node["mean"]
+        while "feature" in node:
+            child = node["low"] if x[node["feature"]] <= node["threshold"] else node["high"]
+            out[node["feature"]] += 2 * weight * (child["mean"] - node["mean"])
+            node = child
+    return base, out
+
+
+def attributions(models: list, features: list[str], row: dict, top: int = 8) -> dict:
+    """How features move one pair's log-odds, on average over the fold models: the ``top`` largest, the rest, the base.
+
+    For a page of a review; a table of pairs is scored with ``bagged``.
+    """
+    x = [float(row.get(f) or 0.0) for f in features]
+    parts = [_paths(dump(m), x) for m in models]
+    mean = [sum(p[1][k] for p in parts) / len(parts) for k in range(len(x))]
+    order = sorted(range(len(x)), key=lambda k: (-abs(mean[k]), features[k]))
+    kept = [(features[k], x[k], mean[k]) for k in order[:top]]
+    return {"base": sum(p[0] for p in parts) / len(parts), "features": kept, "rest": sum(mean[k] for k in order[top:])}

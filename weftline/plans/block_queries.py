@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.tokens import token_set, words
 from weftline.functions.unicode import fold_marks
-from weftline.operators import families, lexicon, metrics, retrieval
+from weftline.operators import analytics, families, lexicon, metrics, retrieval
 from weftline.operators.features import LEGAL, prepare, prepare_families, record_keys
 
 from .fixtures import RECS, fold_marks_sql, fold_sql, recs, skeleton_sql, table, vectors, words_sql
@@ -235,6 +235,13 @@ def rarest_token_keys(spark, d):
     return families.rarest_words(_name_words(spark, d), "t").select("id", "word", "df", F.col("k").cast("long").alias("k"))
 
 
+@query(f"""WITH {_PREP}, e AS (SELECT DISTINCT id, src, unnest(adr) AS word FROM r), df AS (SELECT word, count(*) AS df FROM e GROUP BY word HAVING count(*) >= 2), k AS (SELECT id, src, word FROM e JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY id ORDER BY df, word) <= 3),
+ n AS (SELECT DISTINCT id, unnest(an[1:4]) AS n FROM r)
+SELECT a.id, md5('ar' || chr(31) || a.word || chr(31) || b.word) AS key FROM k a JOIN k b USING (id) WHERE a.word < b.word UNION SELECT k.id, md5('hr' || chr(31) || n || chr(31) || word) FROM k JOIN n USING (id)""")
+def rarest_pair_keys(spark, d):
+    return families.rarest_keys(_families(spark, d)).select("id", F.md5("key").alias("key"))
+
+
 # Truth: records with the same text on both sides.
 _TRUTH = "dt AS (SELECT 'S1-' || a.doc_id AS i, 'S' || (1 + CAST(substr(b.source, 4) AS INTEGER) % 3) || '-' || b.doc_id AS j FROM documents a JOIN documents b ON a.text = b.text WHERE CAST(substr(a.source, 4) AS INTEGER) % 3 = 0 AND CAST(substr(b.source, 4) AS INTEGER) % 3 <> 0)"
 
@@ -246,6 +253,24 @@ def _truth(spark, d):
     return a.join(b, "text").select("i", "j")
 
 
+@query(f"""WITH {RECS}, {_TRUTH}, s AS (SELECT i FROM (SELECT DISTINCT i FROM dt) ORDER BY md5(i || '|peek'), i LIMIT 10)
+SELECT i, j, a.business_name AS name, b.business_name AS matched_name, b.country FROM s JOIN dt USING (i) JOIN recs a ON a.entity_id = i JOIN recs b ON b.entity_id = j""")
+def peek_matches(spark, d):
+    """Ten entities that have matches, with those."""
+    return analytics.peek(recs(spark, d), _truth(spark, d), 10).select("i", "j", "name", "matched_name", "country")
+
+
+@query(f"WITH {RECS} SELECT country, src, count(*) AS n FROM recs GROUP BY ALL")
+def label_histogram(spark, d):
+    return recs(spark, d).groupBy("country", "src").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_TRUTH}, o AS (SELECT j, count(DISTINCT i) AS n FROM dt GROUP BY j) SELECT n AS owners, count(*) AS records FROM o GROUP BY n")
+def owner_counts(spark, d):
+    """How many records have how many owners in the truth; more than one breaks the premise of exclusivity."""
+    return analytics.owner_counts(_truth(spark, d))
+
+
 @query(f"WITH {_FAMILY_PAIRS}, {_TRUTH} SELECT fam, count(*) AS n_pairs, CAST(sum(CASE WHEN dt.i IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS found, round(sum(CASE WHEN dt.i IS NULL THEN 0 ELSE 1 END) / CAST((SELECT count(*) FROM dt) AS DOUBLE), 6) AS recall FROM fp LEFT JOIN dt ON dt.i = fp.i AND dt.j = fp.j GROUP BY fam")
 def recall_by_family(spark, d):
     t = _truth(spark, d).withColumn("hit", F.lit(1))

@@ -6,6 +6,7 @@ Only a page's rows reach the driver.
 from __future__ import annotations
 
 import json
+import threading
 import zipfile
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -16,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.tokens import shared_words
 from weftline.operators import analytics, decide
 
 
@@ -24,12 +26,21 @@ def rows(df: DataFrame) -> list[dict]:
 
 
 class Console:
-    def __init__(self, records: DataFrame, pairs: DataFrame, report: dict | None = None, resolver: Callable[[DataFrame], DataFrame] | None = None):
-        self.records, self.pairs, self.report, self.resolver = records, pairs.where("p IS NOT NULL"), report or {}, resolver
+    def __init__(self, records: DataFrame, pairs: DataFrame, report: dict | None = None, resolver: Callable[[DataFrame], DataFrame] | None = None, explain: Callable[[str], dict[str, dict]] | None = None):
+        self.records, self.pairs, self.report, self.resolver, self.explain = records, pairs.where("p IS NOT NULL"), report or {}, resolver, explain
+        self.pruned, self.state, self.error = pairs.where("p IS NULL"), "warming", ""
         self.everyone = records.where("src = 1").select(F.col("entity_id").alias("i"))
 
+    def warm(self) -> None:
+        """Reads the tables once; until that is done the console is ``warming``, and ``error`` if it fails."""
+        try:
+            self.overview()
+            self.state = "ready"
+        except Exception as e:  # what the tables' store says is shown, not raised in a thread that nobody waits for
+            self.state, self.error = "error", str(e).splitlines()[0]
+
     def health(self) -> dict:
-        return {"status": "ready"}
+        return {"status": self.state} | ({"error": self.error} if self.error else {})
 
     def overview(self) -> dict:
         n = self.records.agg(F.count_if(F.col("src") == 1).alias("entities"), F.count_if(F.col("src") != 1).alias("others")).first()
@@ -43,12 +54,19 @@ class Console:
     def entity(self, one: str) -> dict:
         mine = self.pairs.where(F.col("i") == one)
         named = self.records.select(F.col("entity_id").alias("j"), "business_name", "business_address", "country")
-        candidates = rows(mine.join(named, "j").orderBy(F.desc("p"), "j"))
         own = self.records.where(F.col("entity_id") == one).collect()
+        text = {c: F.lit(own[0][c] if own else "") for c in ("business_name", "business_address")}
+        marked = [shared_words(text[c], F.col(c)).alias(f"shared_{c.split('_')[1]}") for c in text]
+        candidates = rows(mine.join(named, "j").select("*", *marked).orderBy(F.desc("p"), "j"))
+        why = self.explain(one) if self.explain else {}
+        for c in candidates:
+            c["why"] = why.get(c["j"])
+        pruned = self.pruned.where(F.col("i") == one)
+        pruned = rows(pruned.join(named, "j").orderBy(F.desc("p1"), "j").limit(6)) if "p1" in pruned.columns else []  # the page shows six
         rival = rows(analytics.competing(self.pairs.join(mine.select("j"), "j", "left_semi")).where(F.col("i") == one))
         ps = np.array([c["p"] for c in candidates])
         curve = [round(float(x), 6) for x in decide._curve(np.clip(ps, 1e-9, 1 - 1e-9), decide.MOST)] if len(ps) else [1.0]
-        return {"entity": own[0].asDict() if own else None, "candidates": candidates, "curve": curve, "rivals": rival}
+        return {"entity": own[0].asDict() if own else None, "candidates": candidates, "pruned": pruned, "curve": curve, "rivals": rival}
 
     def review(self, top: int = 150) -> list[dict]:
         return rows(decide.review_queue(self.pairs, top=top))
@@ -103,6 +121,7 @@ def serve(console: Console, port: int = 8000) -> ThreadingHTTPServer:
         def log_message(self, *args):
             pass
 
+    threading.Thread(target=console.warm, daemon=True).start()
     return ThreadingHTTPServer(("127.0.0.1", port), Handler)
 
 

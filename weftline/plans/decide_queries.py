@@ -121,6 +121,15 @@ def evpi_queue(spark, d):
     return decide.review_queue(pair_graph(spark, d)).select("i", F.round("gain", 6).alias("gain"), "j", F.round("p", 6).alias("p"))
 
 
+@query(f"""WITH {PAIRS}, t AS (SELECT sum(y) AS n FROM pairs), s AS (SELECT 'pool' AS stage, 0.0 AS least UNION ALL SELECT 'kept', 0.3 UNION ALL SELECT 'answered', 0.7)
+SELECT stage, count(*) AS n_pairs, count(DISTINCT i) AS n_entities, CAST(sum(y) AS BIGINT) AS found, round(sum(y) / CAST(max(t.n) AS DOUBLE), 6) AS recall FROM pairs, s, t WHERE p >= least GROUP BY stage""")
+def funnel_counts(spark, d):
+    """What blocking, pruning and deciding leave of the pairs and of the true ones."""
+    g = pair_graph(spark, d)
+    n = g.agg(F.sum("y")).first()[0]
+    return analytics.funnel(g, n, {"pool": F.lit(True), "kept": F.col("p") >= 0.3, "answered": F.col("p") >= 0.7}).withColumn("recall", F.round("recall", 6))
+
+
 _COUNTS = f"{PAIRS}, {UNIVERSE}, c AS (SELECT u.i, coalesce(sum(CASE WHEN p >= 0.7 THEN 1 ELSE 0 END), 0) AS n, coalesce(sum(y), 0) AS t, coalesce(sum(CASE WHEN p >= 0.7 THEN y ELSE 0 END), 0) AS h FROM universe u LEFT JOIN pairs p ON p.i = u.i GROUP BY u.i), f AS (SELECT *, CAST({_F} AS DOUBLE) AS f FROM c)"
 
 

@@ -6,6 +6,7 @@ Lineage is cut, by a checkpoint in the shared folder, after prepare, block, pair
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
@@ -199,14 +200,29 @@ def train(records: DataFrame, truth: DataFrame, *, kind: str = "gbt", rounds: in
     return Bundle(pruners, matchers, tau, cv[best][1], models.calibrator(scored), report | {"chosen": best}, words)
 
 
+def pool_features(p: DataFrame, pool: DataFrame, bundle: Bundle) -> tuple[DataFrame, DataFrame]:
+    """(all pairs with their prune score ``p``, kept pairs with all features that the matcher reads)."""
+    first = cut(models.bagged(cut(pair_features(pool, p, label_groups(p))), PAIR_FEATURES, bundle.pruners))
+    return first, cut(first.where(F.col("p") >= bundle.tau).withColumnRenamed("p", "p1").join(context_features(first, p), ["i", "j"]))
+
+
 def score_pool(p: DataFrame, pool: DataFrame, bundle: Bundle) -> DataFrame:
     """(i, j, p1, p): prune and match scores; p is null for pruned pairs."""
-    first = cut(models.bagged(cut(pair_features(pool, p, label_groups(p))), PAIR_FEATURES, bundle.pruners))
-    kept = cut(first.where(F.col("p") >= bundle.tau).withColumnRenamed("p", "p1").join(context_features(first, p), ["i", "j"]))
+    first, kept = pool_features(p, pool, bundle)
     second = models.bagged(kept, PAIR_FEATURES + CONTEXT_FEATURES, bundle.matchers).select("i", "j", "p")
     return first.select("i", "j", F.col("p").alias("p1")).join(second, ["i", "j"], "left")
 
 
+def explainer(features: DataFrame, bundle: Bundle) -> Callable[[str], dict[str, dict]]:
+    """For an entity, the attributions of its kept pairs by the other record's id. ``features`` as ``pool_features`` gives them."""
+    names = PAIR_FEATURES + CONTEXT_FEATURES
+
+    def explain(one: str) -> dict[str, dict]:
+        return {r.j: models.attributions(bundle.matchers, names, r.asDict()) for r in features.where(F.col("i") == one).collect()}
+
+    return explain
+
+
 def predict(records: DataFrame, bundle: Bundle) -> tuple[DataFrame, DataFrame]:
     """(scored pairs with ``pc``, the calibrated score, and ``emitted``; universe)."""
     p = prepared(records, bundle.words)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import kernels
 from weftline.functions.address import LANDMARK_CUES, address_slots
 from weftline.functions.phonetic import skeleton, transliterate
-from weftline.functions.tokens import acronym, char_ngrams, house_numbers, identity_words, is_abbreviation, jaccard, legal_match, number_runs, side_state, sorted_key, strip_tail, token_set, tokens, words
+from weftline.functions.tokens import acronym, char_ngrams, house_numbers, identity_words, is_abbreviation, jaccard, legal_match, number_runs, shared_words, side_state, sorted_key, strip_tail, token_set, tokens, words
 from weftline.functions.unicode import fold, fold_marks
 from weftline.operators import lexicon
 from weftline.operators.features import idf, with_idf, soft_udf
@@ -245,6 +245,11 @@ def landmark_cues(spark, d):
     return lexicon.landmark_cue_counts(p)
 
 
+@query(f"WITH {_PART_PAIRS}, s AS (SELECT id, list_distinct(string_split(a, ' ')) AS x, string_split(b, ' ') AS y FROM pp) SELECT id, array_to_string(list_sort(list_filter(x, lambda w: list_contains(y, w))), ' ') AS shared FROM s")
+def shared_words_marked(spark, d):
+    return _part_pairs(spark, d).select("id", F.array_join(F.array_sort(shared_words(F.col("a"), F.col("b"))), " ").alias("shared"))
+
+
 @query(f"WITH {_PART_PAIRS}, f AS (SELECT id, string_split(a, ' ')[1] AS x, string_split(b, ' ')[1] AS y FROM pp) SELECT id, length(x) < length(y) AND regexp_matches(y, '^' || array_to_string(string_split(x, ''), '.*')) AS is_abbrev FROM f")
 def abbreviation_test(spark, d):
     x, y = F.element_at(F.split("a", " "), 1), F.element_at(F.split("b", " "), 1)

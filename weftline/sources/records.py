@@ -78,17 +78,51 @@ def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def pair_lists(universe: DataFrame, pairs: DataFrame, *, order: str | None = None, column: str = "matched_entity_ids") -> DataFrame:
     """One row for each s1 of the universe with its distinct ids, joined by commas; empty where it has none.
 
-    ``order``: ids by this column, largest first, then by id.
+    ``order``: ids by this column, largest first, then by id. A column ``pos`` of the universe stays.
     """
     key = F.struct((-F.col(order)).alias("o"), F.col("r")) if order else F.struct(F.col("r"))
     lists = pairs.groupBy("s1").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["r"])).alias("ids"))
-    return universe.join(lists, "s1", "left").select("s1", F.coalesce(F.array_join("ids", ","), F.lit("")).alias(column))
+    place = ["pos"] if "pos" in universe.columns else []
+    return universe.join(lists, "s1", "left").select(*place, "s1", F.coalesce(F.array_join("ids", ","), F.lit("")).alias(column))
+
+
+def _write_tsv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("sep", "\t").option("quote", "").option("header", True).option("emptyValue", "").csv(path)
 
 
 def write_pairs(path: str, lists: DataFrame) -> None:
-    """Tab-separated, with a header and without quotes, in the order of s1."""
+    """Tab-separated, with a header and without quotes: one file, in the order of ``pos`` if there is one, else of s1."""
     named = lists.withColumnRenamed("s1", "source1_entity_id")
-    named.orderBy("source1_entity_id").coalesce(1).write.mode("overwrite").option("sep", "\t").option("quote", "").option("header", True).option("emptyValue", "").csv(path)
+    ordered = named.orderBy("pos").drop("pos") if "pos" in named.columns else named.orderBy("source1_entity_id")
+    _write_tsv(ordered.coalesce(1), path)
+
+
+def write_source(df: DataFrame, path: str) -> None:
+    """Source records as ``read_source`` reads them; tabs and line ends inside a value become spaces."""
+    _write_tsv(df.select(*[F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\t\r\n]", " ").alias(c) for c in COLUMNS]), path)
+
+
+def write_truth(universe: DataFrame, links: DataFrame, path: str) -> None:
+    """The list of each s1's matches as ``read_truth`` reads it."""
+    _write_tsv(pair_lists(universe, links).withColumnRenamed("s1", "source1_entity_id"), path)
+
+
+def check_lines(lines: DataFrame, header: tuple[str, str], prefixes: tuple[str, ...] = ("S2-", "S3-")) -> DataFrame:
+    """(problem, level, n) of a result file's lines (``value``): what a reader of the file would stumble over."""
+    head = "\t".join(header)
+    ids = F.split(F.get(F.split("value", "\t"), F.lit(1)), ",")
+    wrong = F.exists(ids, lambda x: (F.trim(x) != "") & ~F.concat_ws("|", *[F.when(F.trim(x).startswith(p), F.lit("y")) for p in prefixes]).contains("y"))
+    tests = {
+        ("no header", "error"): (F.count("*") == F.count_if(F.col("value") != head)).cast("long"),
+        ("header with commas", "error"): F.count_if(F.col("value") == ",".join(header)),
+        ("not two columns", "error"): F.count_if((F.col("value") != head) & (F.size(F.split("value", "\t")) != 2)),
+        ("id without a known prefix", "error"): F.count_if((F.col("value") != head) & (F.size(F.split("value", "\t")) == 2) & wrong),
+        ("quotes", "warning"): F.count_if(F.col("value").contains('"')),
+        ("spaces around ids", "warning"): F.count_if((F.col("value") != head) & F.col("value").rlike(" ,|, |, *$")),
+        ("empty line", "warning"): F.count_if(F.trim("value") == ""),
+    }
+    one = lines.agg(*[c.alias(str(k)) for k, c in enumerate(tests.values())])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(p).alias("problem"), F.lit(v).alias("level"), F.col(str(k)).alias("n")) for k, (p, v) in enumerate(tests)])).alias("x")).select("x.*")
 
 
 def save_lexicon(path: str, abbreviations: dict[str, str], legal: set[str], cues: set[str]) -> None:
