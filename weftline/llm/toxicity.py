@@ -193,7 +193,10 @@ class _Landmarks:
         return out / np.maximum(_norms(keys, weights), 1e-12)[:, None].astype(np.float32)
 
     def features(self, clean: Sequence[str]) -> np.ndarray:
-        return np.concatenate([self.sparse(clean[i : i + 512])[:, :-1] @ self.rows.T @ self.root for i in range(0, len(clean), 512)] or [np.zeros((0, len(self.rows)))])
+        out, root = np.zeros((len(clean), len(self.rows)), np.float32), self.root.astype(np.float32)
+        for i in range(0, len(clean), 128):
+            out[i : i + 128] = self.sparse(clean[i : i + 128])[:, :-1] @ self.rows.T @ root
+        return out
 
     def weights(self, machine: np.ndarray) -> np.ndarray:
         out = np.zeros(1 << 18)
@@ -203,18 +206,23 @@ class _Landmarks:
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss; Newton steps on the rows inside the margin."""
-    x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     keep = np.eye(len(w))
     keep[-1, -1] = 1e-3
     inside = None
     for _ in range(rounds):
-        now = y * (x1 @ w) < 1
+        now = y * (x @ w[:-1] + w[-1]) < 1
         if inside is not None and (now == inside).all():
             break
-        inside = now
-        a = x1[inside] * cost[inside, None]
-        w = np.linalg.solve(keep + x1[inside].T @ a, a.T @ y[inside])
+        inside, a, b = now, keep.copy(), np.zeros(len(w))
+        at = np.flatnonzero(inside)
+        for i in range(0, len(at), 2048):  # some rows at a time, in double precision
+            some = at[i : i + 2048]
+            rows = np.concatenate([x[some], np.ones((len(some), 1))], axis=1, dtype=np.float64)
+            weighed = rows * cost[some, None]
+            a += rows.T @ weighed
+            b += weighed.T @ y[some]
+        w = np.linalg.solve(a, b)
     return w[:-1], float(w[-1])
 
 
@@ -252,6 +260,12 @@ def _distinct(bags: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
     return out
 
 
+def _bags(rows: Sequence[tuple[str, int]]) -> list[tuple[list[str], int]]:
+    """The units of two letters or more of each text, of copies once; equal units are one object."""
+    known: dict[str, str] = {}
+    return _distinct([(sorted({known.setdefault(w, w) for x in units(t) for w in windows(letters(x)) if len(w) >= 2}), y) for t, y in rows])
+
+
 def _beginnings(w: str, longest: int = 8) -> set[str]:
     """The beginnings of a word, without the word itself."""
     return {"^" + w[:n] for n in range(3, min(len(w) - 1, longest) + 1)}
@@ -353,7 +367,7 @@ def _machine(told: dict[str, int], seen: dict[str, int], clean: dict[str, int],
 
 
 def train(rows: Sequence[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4, *, negatives: int = NEGATIVES, hardest: int = HARDEST) -> Model:
-    bags = _distinct([(sorted({w for x in units(t) for w in windows(letters(x)) if len(w) >= 2}), y) for t, y in rows])
+    bags = _bags(rows)
     toxic = [b for b, y in bags if y and b]
     strong = _telling(bags)
     counted: dict[str, int] = {}
@@ -385,7 +399,7 @@ def train(rows: Sequence[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
     missed = (y == 1) & (model.probability(top) < THRESHOLD)
     if missed.sum() <= SPARED * y.sum():
         return model
-    rest = _distinct([(sorted({w for x in units(t) for w in windows(letters(x)) if len(w) >= 2}), v) for (t, v), m in zip(rows, missed, strict=True) if m or not v])
+    rest = _bags([row for row, m in zip(rows, missed, strict=True) if m or not row[1]])
     shared = _telling(rest, _shared_marks)
     several = {w: n for w, n in seen.items() if not shared.isdisjoint(_beginnings(w))}
     if several:
