@@ -34,6 +34,16 @@ def test_end_to_end(spark, tmp_path):
     assert got.n == 50 and got.macro_f > 0.8
     assert scored.where("emitted AND p IS NULL").count() == 0
 
+    # a new record against the stored ones answers as in a batch with them
+    asked = other.where("entity_id = 'S1-00001'") if other.where("entity_id = 'S1-00001'").count() else other.where("src = 1").orderBy("entity_id").limit(1)
+    one = asked.first().entity_id
+    kept = linkage.store(other.where(F.col("entity_id") != one), bundle)
+    new = linkage.resolve(asked, kept, bundle).collect()
+    batch = {r.j for r in scored.where(F.col("i") == one).where("emitted").collect()}
+    assert {r.i for r in new} == {one} and {r.j for r in new if r.emitted} == batch
+    alone = linkage.resolve(asked, kept, bundle, compete=False).collect()
+    assert {r.j for r in alone} == {r.j for r in new} and len([r for r in alone if r.emitted]) >= len(batch)
+
     # an isotonic rule decides by what the bundle's calibrator makes of the scores
     assert bundle.calibrator.boundaries.size >= 1
     bundle.calibrator = models.calibrator(spark.createDataFrame([(0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (1.0, 1.0)], "p double, y double"))

@@ -122,28 +122,43 @@ def soft_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([soft_tfidf(as_dict(x), as_dict(y)) for x, y in zip(a, b, strict=True)], columns=["score", "miss_a", "miss_b"])
 
 
-def with_idf(records: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+def with_idf(records: DataFrame, columns: dict[str, list[str]], tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Adds <column>_w, a map of each record's words to idf, and <source>_top, the greatest idf.
 
     ``columns``: by the column whose words are counted, those whose words are weighed. Weights come by a join on the word.
+    ``tables``: (word, idf) by source where they are known; a word that isn't in its table weighs as the rarest.
     """
     out = records
     for source, weighed in columns.items():
-        w = idf(records, source)
-        out = out.crossJoin(F.broadcast(w.agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias(f"{source}_top"))))  # one row
+        w = tables[source] if tables else idf(records, source)
+        top = F.broadcast(w.agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias(f"{source}_top")))  # one row
+        out = out.crossJoin(top)
         for c in weighed:
-            each = records.select("id", "src", F.explode(F.array_distinct(c)).alias("word")).join(w, "word")
+            each = records.select("id", "src", F.explode(F.array_distinct(c)).alias("word"))
+            each = each.join(w, "word", "left").crossJoin(top).withColumn("idf", F.coalesce("idf", f"{source}_top")) if tables else each.join(w, "word")
             maps = each.groupBy("id", "src").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "idf")))).alias(f"{c}_w"))
             out = out.join(maps, ["id", "src"], "left")
     return out
 
 
-def pair_features(pool: DataFrame, records: DataFrame, groups: dict[str, str] | None = None) -> DataFrame:
-    """All pairwise features of a pool (i, j, fused columns) of prepared records."""
-    rec = with_idf(records, {"name_toks": ["name_toks", "core", "ident"], "addr_toks": ["addr_toks", "street", "addr_tail"]})
-    # How many records of a side have the name: counted and joined, so that a name of many records isn't one task.
-    rec = rec.withColumn("side", F.when(F.col("src") == 1, 1).otherwise(2))
-    rec = rec.join(rec.groupBy("side", "core_str").agg(F.log1p(F.count("*")).alias("dens")), ["side", "core_str"])
+#: The columns whose words are counted, and those that are weighed by the counts.
+WEIGHED = {"name_toks": ["name_toks", "core", "ident"], "addr_toks": ["addr_toks", "street", "addr_tail"]}
+
+
+def name_counts(records: DataFrame) -> DataFrame:
+    """(side, core_str, n): how many records of a side have a name."""
+    return records.groupBy(F.when(F.col("src") == 1, 1).otherwise(2).alias("side"), "core_str").agg(F.count("*").alias("n"))
+
+
+def pair_features(pool: DataFrame, records: DataFrame, groups: dict[str, str] | None = None, *, tables: dict[str, DataFrame] | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """All pairwise features of a pool (i, j, fused columns) of prepared records.
+
+    ``tables`` and ``counts``: word weights and name counts of a larger population, of which these are some records.
+    """
+    rec = with_idf(records, WEIGHED, tables).withColumn("side", F.when(F.col("src") == 1, 1).otherwise(2))
+    # Counted and joined, so that a name of many records isn't one task.
+    n = (name_counts(records) if counts is None else counts).withColumn("dens", F.log1p("n")).drop("n")
+    rec = rec.join(n, ["side", "core_str"], "left").fillna(math.log(2), ["dens"])
     a = rec.where("src = 1").select(*[F.col(c).alias(f"a_{c}") for c in rec.columns]).withColumnRenamed("a_id", "i")
     b = rec.where("src <> 1").select(*[F.col(c).alias(f"b_{c}") for c in rec.columns]).withColumnRenamed("b_id", "j")
     x = pool.join(a, "i").join(b, "j")

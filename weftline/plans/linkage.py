@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from weftline.functions import kernels
 from weftline.functions.tokens import literal_map
 from weftline.operators import context, decide, lexicon, metrics, models, retrieval
-from weftline.operators.features import CHANNELS, CONTEXT_FEATURES, PAIR_FEATURES, pair_features, prepare, record_keys
+from weftline.operators.features import CHANNELS, CONTEXT_FEATURES, PAIR_FEATURES, idf, name_counts, pair_features, prepare, record_keys
 from weftline.sources.cut import cut
 
 #: Thresholds tried for pruning; fixed values.
@@ -89,15 +89,16 @@ def label_groups(p: DataFrame, *, df_cap: int | None = None) -> dict[str, str]:
     return lexicon.country_groups(links.select("a", "b", "sim"), p.where("country <> ''").groupBy(F.col("country").alias("label")).agg(F.count("*").alias("n")))
 
 
+def channel_terms(p: DataFrame) -> dict[str, tuple[DataFrame, dict]]:
+    """By channel the (id, src, terms) of records and the bounds of the terms' frequencies."""
+    v = views(p)
+    made = {"name_char": (retrieval.char_terms(F.col("name_char"), 2, 4), {"min_df": 2}), "full_char": (retrieval.char_terms(F.col("full_char"), 3, 3), {"min_df": 2, "max_df": 0.5}), "word": (retrieval.word_terms(F.col("word")), {})}
+    return {name: (v.select("id", "src", terms.alias("terms")), bounds) for name, (terms, bounds) in made.items()}
+
+
 def channel_pairs(p: DataFrame, *, df_cap: int | None = None) -> dict[str, DataFrame]:
     """Similar pairs (i, j, sim) by each channel."""
-    v = views(p)
-    made = {
-        "name_char": retrieval.postings(v.select("id", "src", retrieval.char_terms(F.col("name_char"), 2, 4).alias("terms")), min_df=2),
-        "full_char": retrieval.postings(v.select("id", "src", retrieval.char_terms(F.col("full_char"), 3, 3).alias("terms")), min_df=2, max_df=0.5),
-        "word": retrieval.postings(v.select("id", "src", retrieval.word_terms(F.col("word")).alias("terms"))),
-    }
-    out = {name: retrieval.cosine_pairs(x, df_cap=df_cap) for name, x in made.items()}
+    out = {name: retrieval.cosine_pairs(retrieval.postings(x, **bounds), df_cap=df_cap) for name, (x, bounds) in channel_terms(p).items()}
     keys = p.select("id", "src", record_keys().alias("keys"))
     return out | {"keys": retrieval.key_pairs(retrieval.block_keys(keys))}
 
@@ -232,7 +233,62 @@ def predict(records: DataFrame, bundle: Bundle) -> tuple[DataFrame, DataFrame]:
     return scored.join(kept.select("i", "j", "pc"), ["i", "j"], "left").join(out, ["i", "j"], "left").fillna(False, ["emitted"]), p.where("src = 1").select(F.col("id").alias("s1"))
 
 
-def resolve(new: DataFrame, records: DataFrame, bundle: Bundle) -> DataFrame:
-    """Scored and decided pairs of new reference records against the stored records, in competition with them."""
-    got, _ = predict(records.unionByName(new.select(*records.columns)), bundle)
-    return got.join(new.select(F.col("entity_id").alias("i")).distinct(), "i", "left_semi")
+@dataclass
+class Store:
+    """Scored records as new ones are resolved against them: every table is written once, none is computed again."""
+
+    records: DataFrame
+    postings: dict[str, DataFrame]
+    frequencies: dict[str, DataFrame]
+    reverse: dict[str, DataFrame]
+    keys: DataFrame
+    claims: DataFrame
+    tables: dict[str, DataFrame]
+    counts: DataFrame
+    groups: dict[str, str]
+
+
+def store(records: DataFrame, bundle: Bundle, *, k: int = retrieval.TOP) -> Store:
+    """Blocks and scores the records and keeps what a new record is compared with."""
+    p = prepared(records, bundle.words)
+    made = {name: cut(retrieval.postings(x, **bounds)) for name, (x, bounds) in channel_terms(p).items()}
+    n = F.lit(float(p.count()))
+    freq = {name: cut(x.groupBy("term").agg(F.max("df_all").alias("df_all")).withColumn("n_docs", n)) for name, x in made.items()}
+    reverse = {name: cut(retrieval.top_k(retrieval.cosine_pairs(x).where("sim > 0"), "j", "i", max(3, k // 4)).select("i", "j", "sim")) for name, x in made.items()}
+    first, kept = pool_features(p, cut(block(p, k=k)), bundle)
+    second = models.apply_calibrator(models.bagged(kept, PAIR_FEATURES + CONTEXT_FEATURES, bundle.matchers).select("i", "j", "p"), bundle.calibrator)
+    claims = first.select("i", "j", F.col("p").alias("p1")).join(second, ["i", "j"], "left")
+    others = {name: cut(x.where("src <> 1")) for name, x in made.items()}
+    keys = cut(retrieval.block_keys(p.where("src <> 1").select("id", "src", record_keys().alias("keys"))))
+    tables = {c: cut(idf(p, c)) for c in ("name_toks", "addr_toks")}
+    return Store(p, others, freq, reverse, keys, cut(claims), tables, cut(name_counts(p)), label_groups(p))
+
+
+def resolve(new: DataFrame, kept: Store, bundle: Bundle, *, k: int = retrieval.TOP, compete: bool = True) -> DataFrame:
+    """(i, j, p1, p, pc, emitted) of new reference records against a store. Only what shares a term or key with them is read.
+
+    With ``compete`` the stored claims on the same records count in context and exclusivity, as in a batch.
+    """
+    q = prepared(new.withColumn("src", F.lit(1)), bundle.words)
+    rows = None
+    for name, (terms, _) in channel_terms(q).items():
+        mine = retrieval.weighted(terms, kept.frequencies[name])
+        sims = cut(retrieval.cosine_pairs(mine.unionByName(kept.postings[name].join(mine.select("term").distinct(), "term", "left_semi").select(*mine.columns))))
+        live = retrieval.live_query(sims, kept.reverse[name].join(sims.select("j").distinct(), "j", "left_semi"), k=k)
+        part = live.withColumn("ch", F.when(F.col("ch") == "rev", f"{name}_rev").otherwise(name))
+        rows = part if rows is None else rows.unionByName(part)
+    asked = retrieval.block_keys(q.select("id", "src", record_keys().alias("keys")))
+    pairs = retrieval.key_pairs(asked.unionByName(kept.keys.join(asked.select("key").distinct(), "key", "left_semi").select(*asked.columns)))
+    rows = rows.unionByName(retrieval.top_k(pairs, "i", "j", k).select("i", "j", F.lit("keys").alias("ch"), "rank", "sim"))
+    pool = cut(retrieval.fuse(rows, CHANNELS))
+    met = pool.select("j").distinct()
+    some = cut(q.unionByName(kept.records.where("src <> 1").join(met.withColumnRenamed("j", "id"), "id", "left_semi").select(*q.columns)))
+    x = cut(models.bagged(cut(pair_features(pool, some, kept.groups, tables=kept.tables, counts=kept.counts)), PAIR_FEATURES, bundle.pruners))
+    rivals = kept.claims.join(met, "j", "left_semi") if compete else kept.claims.limit(0)
+    context_ = context_features(x.select("i", "j", "p").unionByName(rivals.select("i", "j", F.col("p1").alias("p"))), some)
+    second = models.bagged(cut(x.where(F.col("p") >= bundle.tau).withColumnRenamed("p", "p1").join(context_, ["i", "j"])), PAIR_FEATURES + CONTEXT_FEATURES, bundle.matchers)
+    scored = cut(models.apply_calibrator(second.select("i", "j", "p"), bundle.calibrator))
+    claimed = scored.unionByName(rivals.where("p IS NOT NULL").select("i", "j", "p", "pc"))
+    out = answer(claimed, bundle.rule).withColumn("emitted", F.lit(True))
+    got = x.select("i", "j", F.col("p").alias("p1")).join(scored, ["i", "j"], "left").join(out, ["i", "j"], "left")
+    return got.fillna(False, ["emitted"])
