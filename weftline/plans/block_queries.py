@@ -64,7 +64,7 @@ def record_keys_prepared(spark, d):
 _TFIDF = f"""{_WORDS}, tf AS (SELECT id, src, term, count(*) AS tf FROM (SELECT id, src, unnest(t) AS term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df_all FROM tf GROUP BY term),
  raw AS (SELECT id, src, term, df_all, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM w)) / CAST(1 + df_all AS DOUBLE)) + 1) AS raw FROM tf JOIN df USING (term)),
  p AS (SELECT id, src, term, df_all, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM raw)"""
-_PAIRS = f"""{_TFIDF}, cp AS (SELECT x.id AS i, y.id AS j, sum(x.w * y.w) AS sim FROM p x JOIN p y USING (term) WHERE x.src = 1 AND y.src <> 1 AND x.df_all <= 100 GROUP BY 1, 2)"""
+_PAIRS = f"""{_TFIDF}, cp AS (SELECT x.id AS i, y.id AS j, sum(x.w * y.w) AS sim FROM p x JOIN p y USING (term) WHERE x.src = 1 AND y.src <> 1 GROUP BY 1, 2)"""
 
 
 def _postings(spark, d):
@@ -72,7 +72,7 @@ def _postings(spark, d):
 
 
 def _cosines(spark, d):
-    return retrieval.cosine_pairs(_postings(spark, d), df_cap=100)
+    return retrieval.cosine_pairs(_postings(spark, d))
 
 
 @query(f"WITH {_TFIDF} SELECT id, term, df_all, round(w, 6) AS w FROM p")
