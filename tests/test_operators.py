@@ -115,6 +115,20 @@ def test_retrieval_matches_matrix(spark):
     assert set(got) == {("a", "b"), ("d", "b"), ("d", "c")}
 
 
+def test_best_pairs_by_blocks(spark):
+    """The best of either side are those of all pairs that a join on the term makes, whatever the blocks."""
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(f"r{i:03}", 1 + i % 3, [f"t{x}" for x in rng.zipf(1.5, rng.integers(0, 12)) if x < 50]) for i in range(120)], "id string, src int, terms array<string>")
+    p = retrieval.postings(docs)
+    every = retrieval.cosine_pairs(p)
+    rank = lambda df, by, o, k: {(r.i, r.j, r["rank"], round(r.sim, 9)) for r in retrieval.top_k(df, by, o, k).collect()}
+    for block, terms in ((7, 3), (1024, 4096)):
+        got = retrieval.cosine_best(p, 4, 2, block=block, terms_at_once=terms)
+        assert rank(got, "i", "j", 4) == rank(every, "i", "j", 4) and rank(got, "j", "i", 2) == rank(every, "j", "i", 2)
+    assert retrieval.cosine_best(p.limit(0), 4, 2).count() == 0 == retrieval.cosine_best(p.where("src = 1"), 4, 2).count()
+    assert retrieval.cosine_best(p, 1 << 30, 0).count() == every.count()
+
+
 def test_dense_search_by_blocks(spark):
     """The same neighbours whatever the blocks, ties by id."""
     x = np.random.default_rng(2).integers(-3, 4, size=(90, 4)).astype(float)

@@ -9,6 +9,8 @@ from weftline.functions.unicode import fold_marks
 from weftline.operators import analytics, families, lexicon, metrics, retrieval
 from weftline.operators.features import LEGAL, prepare, prepare_families, record_keys
 
+from weftline.sources.cut import cut
+
 from .fixtures import RECS, fold_marks_sql, fold_sql, recs, skeleton_sql, table, vectors, words_sql
 from .text_queries import SLOTS
 
@@ -72,7 +74,8 @@ def _postings(spark, d):
 
 
 def _cosines(spark, d):
-    return retrieval.cosine_pairs(_postings(spark, d))
+    """The pairs that hold the best 20 of each reference record and the best 5 of each other one."""
+    return cut(retrieval.cosine_best(cut(_postings(spark, d)), 20, 5))
 
 
 @query(f"WITH {_TFIDF} SELECT id, term, df_all, round(w, 6) AS w FROM p")
@@ -152,9 +155,14 @@ _LIVE = f"""{_PAIRS}, st AS (SELECT * FROM cp WHERE sim > 0 AND i NOT IN (SELECT
 
 @query(f"WITH {_LIVE} SELECT i, j, ch, CAST(rank AS BIGINT) AS rank FROM bk WHERE rank <= 5 UNION ALL SELECT i, j, ch, CAST(rank AS BIGINT) FROM ah WHERE rank <= 20")
 def live_query_rank(spark, d):
-    sims = _cosines(spark, d)
-    new = _name_words(spark, d).where("country = 'de'").select(F.col("id").alias("i"))
-    return retrieval.live_query(sims.join(new, "i", "left_semi"), sims.join(new, "i", "left_anti")).select("i", "j", "ch", F.col("rank").cast("long").alias("rank"))
+    words_ = _name_words(spark, d)
+    new = words_.where("country = 'de' AND src = 1").select("id")
+    p = cut(_postings(spark, d))
+    stored = retrieval.cosine_best(p.join(new, "id", "left_anti"), 0, 5)
+    # every new record is ranked in the stored lists, so all that it shares a word with is needed
+    theirs = p.where("src <> 1").unionByName(p.join(new, "id", "left_semi"))
+    asked = retrieval.cosine_best(theirs, 1 << 30, 0)
+    return retrieval.live_query(asked, stored).select("i", "j", "ch", F.col("rank").cast("long").alias("rank"))
 
 
 def _families(spark, d):

@@ -80,10 +80,10 @@ def prepared(records: DataFrame, words: lexicon.Lexicon) -> DataFrame:
     return cut(prepare(records, words.abbreviations, words.legal, words.cues))
 
 
-def label_groups(p: DataFrame, *, df_cap: int | None = None) -> dict[str, str]:
+def label_groups(p: DataFrame) -> dict[str, str]:
     """Country labels that name one country: those of nearest neighbours by name and address."""
-    x = retrieval.postings(views(p).select("id", "src", retrieval.char_terms(F.col("full_char"), 3, 3).alias("terms")), min_df=2, max_df=0.5)
-    best = retrieval.top_k(retrieval.cosine_pairs(x, df_cap=df_cap), "i", "j", 1)
+    x = cut(retrieval.postings(views(p).select("id", "src", retrieval.char_terms(F.col("full_char"), 3, 3).alias("terms")), min_df=2, max_df=0.5))
+    best = retrieval.top_k(retrieval.cosine_best(x, 1, 0), "i", "j", 1)
     of = p.select("id", "country")
     links = best.join(of.select(F.col("id").alias("i"), F.col("country").alias("a")), "i").join(of.select(F.col("id").alias("j"), F.col("country").alias("b")), "j")
     return lexicon.country_groups(links.select("a", "b", "sim"), p.where("country <> ''").groupBy(F.col("country").alias("label")).agg(F.count("*").alias("n")))
@@ -96,9 +96,15 @@ def channel_terms(p: DataFrame) -> dict[str, tuple[DataFrame, dict]]:
     return {name: (v.select("id", "src", terms.alias("terms")), bounds) for name, (terms, bounds) in made.items()}
 
 
-def channel_pairs(p: DataFrame, *, df_cap: int | None = None) -> dict[str, DataFrame]:
-    """Similar pairs (i, j, sim) by each channel."""
-    out = {name: retrieval.cosine_pairs(retrieval.postings(x, **bounds), df_cap=df_cap) for name, (x, bounds) in channel_terms(p).items()}
+def channel_pairs(p: DataFrame, k: int = retrieval.TOP, *, df_cap: int | None = None) -> dict[str, DataFrame]:
+    """By channel the pairs (i, j, sim) that hold the ``k`` best of each reference record and the best of each other one.
+
+    All terms count, as products of blocks; with ``df_cap`` commoner terms are dropped, and pairs come by a join on the rest.
+    """
+    out = {}
+    for name, (x, bounds) in channel_terms(p).items():
+        made = cut(retrieval.postings(x, **bounds))
+        out[name] = retrieval.cosine_pairs(made, df_cap=df_cap) if df_cap else retrieval.cosine_best(made, k, max(3, k // 4))
     keys = p.select("id", "src", record_keys().alias("keys"))
     return out | {"keys": retrieval.key_pairs(retrieval.block_keys(keys))}
 
@@ -106,7 +112,8 @@ def channel_pairs(p: DataFrame, *, df_cap: int | None = None) -> dict[str, DataF
 def block(p: DataFrame, *, k: int = retrieval.TOP, pool: int = retrieval.POOL, df_cap: int | None = None) -> DataFrame:
     """The fused pool of candidate pairs of prepared records."""
     rows = None
-    for name, pairs in channel_pairs(p, df_cap=df_cap).items():
+    for name, pairs in channel_pairs(p, k, df_cap=df_cap).items():
+        pairs = cut(pairs)
         got = retrieval.channel(pairs, name, k) if name != "keys" else retrieval.top_k(pairs, "i", "j", k).select("i", "j", F.lit("keys").alias("ch"), "rank", "sim")
         rows = got if rows is None else rows.unionByName(got)
     return retrieval.fuse(rows, CHANNELS, pool=pool)
@@ -254,7 +261,7 @@ def store(records: DataFrame, bundle: Bundle, *, k: int = retrieval.TOP) -> Stor
     made = {name: cut(retrieval.postings(x, **bounds)) for name, (x, bounds) in channel_terms(p).items()}
     n = F.lit(float(p.count()))
     freq = {name: cut(x.groupBy("term").agg(F.max("df_all").alias("df_all")).withColumn("n_docs", n)) for name, x in made.items()}
-    reverse = {name: cut(retrieval.top_k(retrieval.cosine_pairs(x).where("sim > 0"), "j", "i", max(3, k // 4)).select("i", "j", "sim")) for name, x in made.items()}
+    reverse = {name: cut(retrieval.top_k(retrieval.cosine_best(x, 0, max(3, k // 4)), "j", "i", max(3, k // 4)).select("i", "j", "sim")) for name, x in made.items()}
     first, kept = pool_features(p, cut(block(p, k=k)), bundle)
     second = models.apply_calibrator(models.bagged(kept, PAIR_FEATURES + CONTEXT_FEATURES, bundle.matchers).select("i", "j", "p"), bundle.calibrator)
     claims = first.select("i", "j", F.col("p").alias("p1")).join(second, ["i", "j"], "left")
@@ -273,7 +280,7 @@ def resolve(new: DataFrame, kept: Store, bundle: Bundle, *, k: int = retrieval.T
     rows = None
     for name, (terms, _) in channel_terms(q).items():
         mine = retrieval.weighted(terms, kept.frequencies[name])
-        sims = cut(retrieval.cosine_pairs(mine.unionByName(kept.postings[name].join(mine.select("term").distinct(), "term", "left_semi").select(*mine.columns))))
+        sims = cut(retrieval.cosine_best(mine.unionByName(kept.postings[name].join(mine.select("term").distinct(), "term", "left_semi").select(*mine.columns)), 1 << 30, 0))
         live = retrieval.live_query(sims, kept.reverse[name].join(sims.select("j").distinct(), "j", "left_semi"), k=k)
         part = live.withColumn("ch", F.when(F.col("ch") == "rev", f"{name}_rev").otherwise(name))
         rows = part if rows is None else rows.unionByName(part)
