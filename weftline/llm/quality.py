@@ -38,6 +38,7 @@ from .wordhash import WHITESPACE_WORDS, chunks, split_words
 DIMENSIONS, NONZERO, REACH, VOCABULARY = 64, 6, 2, 40_000
 PER_CLASS, MAX_CHARS = 2500, 20_000
 HIDDEN, EPOCHS = 32, 120
+STORED_WORDS = 1 << 17
 HELD_MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 
@@ -104,7 +105,11 @@ def pool(store: WordRows, texts: pa.Array) -> np.ndarray:
             continue
         at = store.look_up(words)
         first, n = words.first[full], words.counts[full]
-        mean = np.add.reduceat(store.rows[at], first, axis=0) / n[:, None]
+        mean = np.zeros((len(full), 2 * DIMENSIONS))
+        for row, x, y in zip(mean, first.tolist(), (first + n).tolist(), strict=True):
+            for z in range(x, y, 8192):  # some words at a time, however long the text
+                row += store.rows[at[z : min(z + 8192, y)]].sum(axis=0)
+        mean /= n[:, None]
         same = np.zeros(len(at))
         same[1:] = at[1:] == at[:-1]
         same[first] = 0
@@ -200,7 +205,7 @@ def with_quality(docs: DataFrame, model: Model, *, text_col: str = "text") -> tu
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        store = kept_rows(f"quality {key}", lambda: WordRows(own.rows, 1 << 16))
+        store = kept_rows(f"quality {key}", lambda: WordRows(own.rows, STORED_WORDS))
         for batch in batches:
             p = own.probability(pool(store, batch.column(at)))
             yield pa.record_batch([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, name])
