@@ -100,11 +100,45 @@ def review_value(p: np.ndarray) -> tuple[float, int]:
     return float(gains[where]), where
 
 
+def _best_f(p: np.ndarray) -> np.ndarray:
+    """The greatest value of ``_curve`` for each row of probabilities."""
+    m, n = p.shape
+    ahead, behind = [np.ones((m, 1))], [np.ones((m, 1))]
+    for c in range(n):
+        for pmf, q in ((ahead, p[:, c, None]), (behind, p[:, n - 1 - c, None])):
+            grown = np.zeros((m, c + 2))
+            grown[:, :-1] = pmf[-1] * (1 - q)
+            grown[:, 1:] += pmf[-1] * q
+            pmf.append(grown)
+    out = behind[n][:, 0].copy()
+    for k in range(1, n + 1):
+        i, j = np.arange(k + 1)[:, None], np.arange(n - k + 1)[None, :]
+        np.maximum(out, ((ahead[k] @ ((1 + BETA2) * i / (k + BETA2 * (i + j)))) * behind[n - k]).sum(axis=1), out=out)
+    return out
+
+
+def review_values(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``review_value`` of many lists: those of one length at once, equal lists once."""
+    gain, place = np.zeros(len(lists)), np.full(len(lists), -1)
+    size = np.array([len(x) for x in lists])
+    for n in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == n)
+        p, same = np.unique(np.stack([lists[x] for x in at]).astype(float), axis=0, return_inverse=True)
+        base, one, gains = _best_f(p), np.ones((len(p), 1)), []
+        for c in range(n):
+            rest, q = np.delete(p, c, axis=1), p[:, c]
+            gains.append(q * _best_f(np.hstack([(1 - 1e-9) * one, rest])) + (1 - q) * _best_f(np.hstack([rest, 1e-9 * one])) - base)
+        g = np.stack(gains, axis=1)
+        best = np.argmax(np.round(g, 12), axis=1)
+        gain[at], place[at] = g[np.arange(len(p)), best][same.reshape(-1)], best[same.reshape(-1)]
+    return gain, place
+
+
 def review_queue(pairs: DataFrame, p: str = "p", *, least: float = 1e-4, top: int = 150) -> DataFrame:
     """(i, gain, j, p): the entities that a review would help most. ``top`` is the length of the report."""
     @F.pandas_udf("gain double, place int")
     def value(ps: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([review_value(np.asarray(x, float)) for x in ps], columns=["gain", "place"])
+        return pd.DataFrame(dict(zip(("gain", "place"), review_values(list(ps)), strict=True)))
 
     got = candidate_lists(pairs, p, None).withColumn("v", value("ps")).where((F.col("v.gain") > least) & (F.col("v.place") >= 0))
     row = got.select("i", F.col("v.gain").alias("gain"), F.element_at("ids", F.col("v.place") + 1).alias("j"), F.element_at("ps", F.col("v.place") + 1).alias("p"))
