@@ -176,6 +176,17 @@ def test_operators(spark, op):
     assert out.limit(0).count() == 0
 
 
+def test_toxicity_is_fitted_by_a_worker(spark, monkeypatch):
+    """The driver trains nothing, and the machine is the one that its own process would get."""
+    docs, labels = labelled(spark)
+    rows = labelled_sample(docs, labels, "toxic", modulus=T.HELD_MODULUS, held_out=T.HELD_OUT, per_class=T.PER_CLASS, max_chars=T.MAX_CHARS)
+    own = T.train(rows)
+    monkeypatch.setattr(T, "_machine", lambda *_: pytest.fail("trained by the driver"))
+    got = T.fit(docs, labels)
+    assert own.weight.any()
+    assert all(np.allclose(getattr(got, k), getattr(own, k), atol=1e-4) for k in ("weight", "bias", "a", "b"))
+
+
 def _folded(target, modulus, held_out):
     """(text, value, held out) of sf0.1's labelled documents."""
     folder = "/root/testdata/sf0.1"

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc32_of_id, freed, fresh, table
+from .common import crc32_of_id, freed, fresh, give_back, on_worker, table
 from .hashnumbers import WordRows, kept_rows
 from .labels import labelled_sample, words_of
 from .wordhash import WHITESPACE_WORDS, Words, chunks, split_words
@@ -462,7 +462,12 @@ def score_texts(store: WordRows, model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    return train(labelled_sample(docs, labels, "toxic", modulus=HELD_MODULUS, held_out=HELD_OUT, per_class=per_class, max_chars=max_chars))
+    """The machine, trained by one task: the driver has the sample and the model only, and gives the rest back."""
+    rows = labelled_sample(docs, labels, "toxic", modulus=HELD_MODULUS, held_out=HELD_OUT, per_class=per_class, max_chars=max_chars)
+    model = on_worker(docs.sparkSession, train, rows)
+    del rows
+    give_back()
+    return model
 
 
 def with_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text") -> tuple[DataFrame, str]:
