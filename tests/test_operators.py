@@ -306,3 +306,16 @@ def test_shared_counts(spark):
     few_at = {s: {t for t in range(60) if df_at(t, s) <= 20} for s in (1, 2, 4)}
     want = {s: sum(a[3] * b[3] for a in rows for b in rows if a[1] == 1 and b[1] == 2 and max(a[2], b[2]) <= s and set(a[4]) & set(b[4]) & few_at[s]) for s in (1, 2, 4)}
     assert {r.step: r.n for r in retrieval.shared_capped(df, [1, 2, 4], 20).collect()} == want
+
+
+def test_distractors_carry_no_words_through_a_shuffle(spark, monkeypatch):
+    """Whatever the number of blocks the rows are those of one, and pairs meet words by broadcast."""
+    from weftline.plans import block_queries
+
+    folder = "/root/testdata/sf0.001"
+    one = sorted(map(tuple, block_queries.distractors(spark, folder).collect()))
+    monkeypatch.setattr(block_queries, "_BLOCK_WORDS", 500)
+    seen, joined = [], block_queries.retrieval.top_k
+    monkeypatch.setattr(block_queries.retrieval, "top_k", lambda x, *a: seen.append(x._jdf.queryExecution().optimizedPlan().toString()) or joined(x, *a))
+    assert sorted(map(tuple, block_queries.distractors(spark, folder).collect())) == one and one
+    assert len(seen) > 2 and all("strategy=broadcast" in plan for plan in seen[:-1])

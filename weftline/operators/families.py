@@ -16,8 +16,8 @@ def _tail(t: Column, n: int) -> Column:
     return F.slice(t, F.greatest(F.lit(1), F.size(t) - n + 1), F.lit(n))
 
 
-def family_keys(r: DataFrame, family: str) -> DataFrame:
-    """(id, src, key) of one family, distinct. Records have country, nt, nsk, at (words), an (numbers), n_indic.
+def family_keys(r: DataFrame, family: str, *, unique: bool = False) -> DataFrame:
+    """(id, src, key) of one family, distinct; where ids are ``unique`` they are so without a shuffle. Records have country, nt, nsk, at (words), an (numbers), n_indic.
 
     nt: name words; np, sk, aw: pairs of name words, of their phonetic keys, of address words; ns: names written
     together, whole and in parts; ah: house number with address word.
@@ -39,14 +39,15 @@ def family_keys(r: DataFrame, family: str) -> DataFrame:
     else:
         raise ValueError(family)
     each = r.select("id", "src", "country", F.explode(keys).alias("k"))
-    return each.select("id", "src", F.concat_ws("\x1f", F.lit(family), "country", "k").alias("key")).distinct()
+    out = each.select("id", "src", F.concat_ws("\x1f", F.lit(family), "country", "k").alias("key"))
+    return out if unique else out.distinct()
 
 
-def all_keys(r: DataFrame, families: list[str]) -> DataFrame:
+def all_keys(r: DataFrame, families: list[str], *, unique: bool = False) -> DataFrame:
     """(fam, id, src, key) of several families: one table that counts and joins read."""
     out = None
     for f in families:
-        part = family_keys(r, f).select(F.lit(f).alias("fam"), "id", "src", "key")
+        part = family_keys(r, f, unique=unique).select(F.lit(f).alias("fam"), "id", "src", "key")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -71,6 +72,18 @@ def key_table_pairs(keys: DataFrame, n_others: DataFrame) -> DataFrame:
     return a.join(w, ["fam", "key"]).join(b, ["fam", "key"]).groupBy("i", "j", "fam").agg(F.max("w").alias("w"))
 
 
+def neighbours(keys: DataFrame, n_others: DataFrame) -> DataFrame:
+    """(j, near): for each other record the distinct reference records that share a key within the caps with it.
+
+    Keys go by 64-bit hashes, and only those within the caps are brought together, so a key's lists are bounded.
+    """
+    keys = keys.select("fam", "id", "src", F.xxhash64("key").alias("key"))
+    met = keys.join(weighted_keys(keys, n_others).select("fam", "key"), ["fam", "key"])
+    ahead, back = (F.collect_set(F.when(c, F.col("id"))).alias(n) for c, n in ((F.col("src") == 1, "near"), (F.col("src") != 1, "js")))
+    each = met.groupBy("fam", "key").agg(ahead, back).select(F.explode("js").alias("j"), "near")
+    return each.groupBy("j").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+
+
 def family_pairs(r: DataFrame, families: list[str]) -> DataFrame:
     """(i, j, fam, w) of several families; records and keys are prepared once."""
     r = cut(r)
