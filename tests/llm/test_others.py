@@ -161,6 +161,29 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_leave_no_files(spark):
+    """Shuffle files and the tables of past rounds go at once; the setting for that is not left in the session."""
+    disk, sc = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.sparkContext
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def kept():
+        found = {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+        folder = sc._jsc.sc().getCheckpointDir()
+        where = sc._jvm.org.apache.hadoop.fs.Path(folder.get()) if folder.isDefined() else None
+        return found, {x.getPath().getName() for x in where.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(where)} if where else set()
+
+    (shuffles, tables), setting = kept(), spark.conf.get(key, None)
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    for _ in range(50):
+        if not kept()[0] - shuffles:
+            break
+        time.sleep(0.2)
+    left = kept()
+    assert not left[0] - shuffles and len(left[1] - tables) == 1
+    assert spark.conf.get(key, None) == setting
+    assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(41)}
+
+
 @pytest.mark.parametrize("metric", ["ip", "l2"])
 def test_nearest(spark, metric):
     rng = np.random.default_rng(4)

@@ -22,7 +22,8 @@ and a banded alignment of the word sequences, as 32-bit hashes of words, matches
 (2 x matches / words of both). Classes are the connected components of the links.
 
 Plan. Documents give (id, text digest, keys); only the texts of bucket members are joined back. Counts, centres
-and classes are partial aggregates and joins, which adaptive execution splits at hot keys.
+and classes are partial aggregates and joins, which adaptive execution splits at hot keys. Tables and shuffle files are
+deleted as soon as the next ones are written.
 
 Edge cases: words are lower-cased runs of letters and digits; a text of fewer than ``K`` words is one shingle;
 word-free texts are duplicates only of equal texts; a null text is a class of its own; a null id never names a
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, freed, fresh, table
+from .common import checkpointed, dropped, freed, fresh, table
 from .components import components
 from .wordhash import ALNUM_WORDS, chunks, kgram, mix, split_words
 
@@ -263,6 +264,7 @@ def near_dup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # adaptive execution can split a hot key, as it can't where an aggregate's own partitioning is used.
     shared = checkpointed(exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = checkpointed(exploded.join(shared, "key").select("key", "cid", "first_id", "n"))
+    dropped(shared)
     central = members.groupBy("cid").agg(F.sum("n").alias("central"), F.first("first_id").alias("first_id"))
 
     # The words of members, from one row of each text.
@@ -279,16 +281,22 @@ def near_dup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return components(pairs.where("ok").select(F.col("cid").alias("a"), F.col("rep").alias("b")))
 
     ranked = checkpointed(members.join(central.select("cid", "central"), "cid").select("key", "cid", "central"))
+    dropped(members)
     first = verified(_star(ranked).select("cid", "rep").distinct())
 
     # Buckets that still hold two components: all of their texts that can be similar are compared.
     roots = links(first).withColumnRenamed("node", "cid")
     part = checkpointed(ranked.join(roots, "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root")))
+    dropped(ranked)
     torn = checkpointed(part.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key"))
     apart = part.join(torn, "key").select("cid", "root").distinct()
     known = first.select("cid", "rep").unionByName(first.select(F.col("rep").alias("cid"), F.col("cid").alias("rep")))
-    second = verified(_rest(checkpointed(apart.join(words, "cid"))).join(known, ["cid", "rep"], "left_anti"))
+    loose = checkpointed(apart.join(words, "cid"))
+    dropped(part, torn)
+    second = verified(_rest(loose).join(known, ["cid", "rep"], "left_anti"))
+    dropped(loose, words)
     root = links(first.unionByName(second))
+    dropped(first, second)
 
     named = rows.select("doc_id", "cid").join(root, F.col("cid") == F.col("node"), "left")
     named = named.select("doc_id", "cid", F.coalesce("root", "cid").alias("root"))
